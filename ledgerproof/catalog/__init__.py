@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("checks",)
+MODULES = ("checks", "intake", "splitting", "words")
 
 
 def all_queries():

@@ -213,19 +213,28 @@ def answers(t: Tables) -> DataFrame:
     def bad(n):
         return first & _every(n)
 
+    null = F.lit("null")
+
+    def quoted(x):
+        return F.coalesce(F.concat(F.lit('"'), x, F.lit('"')), null)
+
+    def number(x):
+        return F.coalesce(x.cast("string"), null)
+
     def wrap(value, source, page):
-        empty = source.isNull()
-        return F.to_variant_object(F.struct(
-            value.alias("value"),
-            F.when(~empty, F.lit(page) if isinstance(page, int) else page).alias("page_no"),
-            source.alias("source_text"),
-        ))
+        """A wrapped value; all three parts are already JSON text or columns of it."""
+        page = F.lit(str(page)) if isinstance(page, int) else page
+        return F.concat(
+            F.lit('{"value":'), value, F.lit(',"page_no":'),
+            F.when(source.isNull(), null).otherwise(page),
+            F.lit(',"source_text":'), quoted(source), F.lit("}"),
+        )
 
     def text(c):
         return F.col(c).cast("string")
 
-    def as_variant(x):
-        return x.cast("variant")
+    def printed(c):
+        return wrap(number(F.col(c)), fixed2(F.col(c)), 2)
 
     total = F.when(~first & _every(10), F.col("sum_total")).otherwise(F.col("total"))
     total_text = fixed2(total)
@@ -233,44 +242,45 @@ def answers(t: Tables) -> DataFrame:
     number_text = F.when(bad(27), F.lit("no such words here")).otherwise(F.col("invoice_number"))
     items = F.transform(
         "line_items",
-        lambda i: F.to_variant_object(F.struct(
-            i["description"].alias("description"),
-            F.when(first & _every(10, 3), as_variant(F.lit("a lot")))
-            .otherwise(as_variant(i["quantity"])).alias("quantity"),
-            i["unit_price"].alias("unit_price"),
-            i["amount"].alias("amount"),
-        )),
+        lambda i: F.concat(
+            F.lit('{"description":'), quoted(i["description"]), F.lit(',"quantity":'),
+            F.when(first & _every(10, 3), F.lit('"a lot"')).otherwise(number(i["quantity"])),
+            F.lit(',"unit_price":null,"amount":'), number(i["amount"]), F.lit("}"),
+        ),
     )
-    answer = F.struct(
-        F.when(bad(31), as_variant(F.col("supplier")))
-        .otherwise(wrap(F.col("supplier"), F.col("supplier"), 1)).alias("supplier"),
-        F.when(bad(41), wrap(F.lit(12345), number_text, 1))
-        .otherwise(wrap(F.col("invoice_number"), number_text, 1)).alias("invoice_number"),
-        wrap(date_text, date_text, 1).alias("invoice_date"),
-        wrap(text("due_date"), text("due_date"), 1).alias("due_date"),
-        wrap(F.col("currency"), F.col("currency"), 2).alias("currency"),
-        wrap(F.col("subtotal"), fixed2(F.col("subtotal")), 2).alias("subtotal"),
-        F.when(
-            bad(37),
-            wrap(F.struct(F.lit(1).alias("bad")), fixed2(F.col("tax")), 2),
-        ).otherwise(wrap(F.col("tax"), fixed2(F.col("tax")), 2)).alias("tax"),
-        F.when(
-            first & _every(6, 1), wrap(F.concat(F.lit(" "), total_text, F.lit(" ")), total_text, 2)
-        ).otherwise(
-            wrap(total, total_text, F.when(bad(17), 1).otherwise(2))
-        ).alias("total"),
-        F.when(bad(43), as_variant(F.lit("n/a"))).otherwise(F.to_variant_object(items))
-        .alias("line_items"),
+    parts = {
+        "supplier": F.when(bad(31), quoted(F.col("supplier")))
+        .otherwise(wrap(quoted(F.col("supplier")), F.col("supplier"), 1)),
+        "invoice_number": wrap(
+            F.when(bad(41), F.lit("12345")).otherwise(quoted(F.col("invoice_number"))),
+            number_text, 1,
+        ),
+        "invoice_date": wrap(quoted(date_text), date_text, 1),
+        "due_date": wrap(quoted(text("due_date")), text("due_date"), 1),
+        "currency": wrap(quoted(F.col("currency")), F.col("currency"), 2),
+        "subtotal": printed("subtotal"),
+        "tax": F.when(bad(37), wrap(F.lit('{"bad":1}'), fixed2(F.col("tax")), 2))
+        .otherwise(printed("tax")),
+        "total": F.when(
+            first & _every(6, 1), wrap(quoted(F.concat(F.lit(" "), total_text, F.lit(" "))), total_text, 2)
+        ).otherwise(wrap(number(total), total_text, F.when(bad(17), "1").otherwise("2"))),
+        "line_items": F.when(bad(43), F.lit('"n/a"')).otherwise(
+            F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))
+        ),
+    }
+    answer = F.concat(
+        F.lit("{"),
+        F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items()]),
+        F.lit("}"),
     )
     agrees = F.when(
         F.when(first, _every(9, 4)).otherwise(_every(45, 4)), F.lit(False)
     ).when(_every(3), F.lit(True))
-    review = F.struct(F.struct(agrees.alias("agrees")).alias("total"))
+    review = F.concat(F.lit('{"total":{"agrees":'), number(agrees), F.lit("}}"))
     return both.select(
         "k", F.concat("document_id", F.lit("-"), "attempt_no").alias("extraction_id"),
         "document_id", "tenant_id", "attempt_no",
-        F.to_json(answer, {"ignoreNullFields": "false"}).alias("raw"),
-        F.to_json(review, {"ignoreNullFields": "false"}).alias("review"),
+        answer.alias("raw"), review.alias("review"),
     )
 
 

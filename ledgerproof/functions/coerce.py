@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerproof.functions.text import strip_u
+from ledgerproof.functions.text import let, strip_u
 
 _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 _SPECIAL = r"(?i)^[+-]?(nan|inf|infinity)$"
@@ -29,7 +29,8 @@ def variant_at(raw: Column, path: str) -> Column:
 
 def variant_type(v: Column) -> Column:
     """VOID, STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, OBJECT or ARRAY."""
-    return F.regexp_extract(F.schema_of_variant(v), r"^[A-Z]+", 0)
+    without_args = F.substring_index(F.schema_of_variant(v), "(", 1)
+    return F.substring_index(without_args, "<", 1)
 
 
 def is_value(vtype: Column) -> Column:
@@ -47,18 +48,25 @@ def text_of(v: Column) -> Column:
 
 def number_from_text(s: Column) -> Column:
     """Read a float the lenient way: outer blanks and inner single `_` allowed."""
-    t = strip_u(s)
-    plain = F.regexp_replace(t, "_", "")
-    grouped_ok = ~(t.startswith("_") | t.endswith("_") | t.contains("__"))
-    special = F.lower(F.regexp_replace(plain, r"^[+]", ""))
-    return F.when(
-        grouped_ok & plain.rlike(_NUMBER), plain.try_cast("double")
-    ).when(
-        grouped_ok & plain.rlike(_SPECIAL),
-        F.when(special.endswith("nan"), F.lit(float("nan")))
-        .when(special.startswith("-"), F.lit(float("-inf")))
-        .otherwise(F.lit(float("inf"))),
-    )
+
+    def special(plain):
+        low = F.lower(plain)
+        return (
+            F.when(low.endswith("nan"), F.lit(float("nan")))
+            .when(low.startswith("-"), F.lit(float("-inf")))
+            .otherwise(F.lit(float("inf")))
+        )
+
+    def read(t):
+        grouped_ok = ~(t.startswith("_") | t.endswith("_") | t.contains("__"))
+        return let(
+            F.when(grouped_ok, F.replace(t, F.lit("_"), F.lit(""))),
+            lambda plain: F.when(plain.rlike(_NUMBER), plain.try_cast("double")).when(
+                plain.rlike(_SPECIAL), special(plain)
+            ),
+        )
+
+    return let(strip_u(s), read)
 
 
 def as_number(v: Column, vtype: Column) -> Column:
@@ -75,18 +83,24 @@ def as_text(v: Column, vtype: Column) -> Column:
 
 def date_from_epoch(x: Column) -> Column:
     """A date when the number is exactly midnight UTC in seconds or millis."""
-    per_day = F.when(F.abs(x) > _MILLIS_FROM, F.lit(86_400_000.0)).otherwise(F.lit(86_400.0))
-    days = x / per_day
-    in_range = days.between(-719_162, 2_932_896)
-    return F.when(
-        in_range & (days == F.floor(days)),
-        F.date_add(F.lit("1970-01-01").cast("date"), F.when(in_range, days).cast("int")),
-    )
+
+    def from_days(days):
+        exact = days.between(-719_162, 2_932_896) & (days == F.floor(days))
+        return F.when(exact, F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")))
+
+    def days(n):
+        millis = F.abs(n) > _MILLIS_FROM
+        return F.when(millis, n / 86_400_000.0).otherwise(n / 86_400.0)
+
+    return let(x, lambda n: let(days(n), from_days))
 
 
 def date_from_text(s: Column) -> Column:
-    return F.when(s.rlike(_ISO_DATE), F.left(s, F.lit(10)).try_cast("date")).when(
-        s.rlike(_EPOCH), date_from_epoch(s.try_cast("double"))
+    return let(
+        s,
+        lambda t: F.when(t.rlike(_ISO_DATE), F.left(t, F.lit(10)).try_cast("date")).when(
+            t.rlike(_EPOCH), date_from_epoch(t.try_cast("double"))
+        ),
     )
 
 

@@ -22,19 +22,9 @@ def issue_list(*conditional: Column) -> Column:
     return F.array_compact(F.array(*conditional))
 
 
-def no_issues() -> Column:
-    return F.array().cast(f"array<{ISSUE}>")
-
-
 def has_error(issues: Column) -> Column:
     return F.exists(issues, lambda i: i["severity"] == "error")
 
 
-def error_on(issues: Column, field: str) -> Column:
-    return F.exists(
-        issues, lambda i: (i["severity"] == "error") & i["field"].eqNullSafe(F.lit(field))
-    )
-
-
 def count_severity(issues: Column, severity: str) -> Column:
     return F.size(F.filter(issues, lambda i: i["severity"] == severity))

@@ -12,9 +12,11 @@ from ledgerproof.schemas import MATCH
 
 def bbox_union(words: Column) -> Column:
     """The smallest box around all words."""
-    boxes = F.transform(words, lambda w: w["bbox"])
-    low = [F.array_min(F.transform(boxes, lambda b, k=k: F.get(b, F.lit(k)))) for k in (0, 1)]
-    high = [F.array_max(F.transform(boxes, lambda b, k=k: F.get(b, F.lit(k)))) for k in (2, 3)]
+    def corner(k):
+        return F.transform(words, lambda w: F.get(w["bbox"], F.lit(k)))
+
+    low = [F.array_min(corner(k)) for k in (0, 1)]
+    high = [F.array_max(corner(k)) for k in (2, 3)]
     return F.when(F.size(words) > 0, F.array(*low, *high))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +10,13 @@ from ledgerproof.config import (
     DATE_FIELDS,
     DEFAULTS,
     NUMBER_FIELDS,
-    REQUIRED_FIELDS,
     Settings,
 )
 from ledgerproof.functions import coerce as c
-from ledgerproof.functions.issues import issue, issue_list
-from ledgerproof.functions.text import SPACE
+from ledgerproof.functions.text import SPACE, let
 from ledgerproof.schemas import HINT, ISSUE, LINE_ITEM
 
+WRAPPER = "struct<value:variant,page_no:variant,source_text:variant>"
 ITEM_FIELDS = ("description", "quantity", "unit_price", "amount")
 
 
@@ -28,54 +25,71 @@ def parse_answers(extractions: DataFrame) -> DataFrame:
     return extractions.withColumn("answer", F.try_parse_json("raw"))
 
 
-def _whole_number(v: Column, vtype: Column) -> Column:
+def _whole_number(v: Column) -> Column:
     """A page number: an integer, or a float or boolean equal to one."""
-    x = F.when(
-        vtype.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(v, "$", "double")
-    ).when(vtype == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
-    fits = (x == F.floor(x)) & x.between(-2147483648, 2147483647)
-    return F.when(fits, F.when(fits, x).cast("int"))
+
+    def number(t):
+        return F.when(
+            t.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(v, "$", "double")
+        ).when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
+
+    def whole(x):
+        fits = (x == F.floor(x)) & x.between(-2147483648, 2147483647)
+        return F.when(fits, x.cast("int"))
+
+    return let(let(c.variant_type(v), number), whole)
+
+
+def _entries(v: Column) -> Column:
+    """The top-level entries of a VARIANT object."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _field_names() -> Column:
+    return F.array(*[F.lit(f) for f in ALL_FIELDS])
 
 
 def unwrap_grounded(answers: DataFrame) -> DataFrame:
     """Split every `{value, page_no, source_text}` into a value and a hint.
 
-    Adds `values`, a struct of VARIANTs by field, and `hints`, an array with
-    one struct per field in field order. A field that is not wrapped like that
-    gets a null value and null hints.
+    Adds `cells`: per field, in field order, its `value` (VARIANT), `vtype`,
+    and the hints `page_no` and `source_text`. A field that is not wrapped like
+    that gets a null value and null hints. The fields are handled by one lambda
+    over their names, which keeps the generated code small.
     """
-    values, hints = [], []
-    for f in ALL_FIELDS:
-        value = c.variant_at(F.col("answer"), f"$.{f}.value")
-        page = c.variant_at(F.col("answer"), f"$.{f}.page_no")
-        source = c.variant_at(F.col("answer"), f"$.{f}.source_text")
-        wrapped = value.isNotNull()
-        values.append(value.alias(f))
-        hints.append(
-            F.struct(
-                F.lit(f).alias("field"),
-                F.when(wrapped, _whole_number(page, c.variant_type(page))).alias("page_no"),
-                F.when(wrapped, c.as_text(source, c.variant_type(source))).alias("source_text"),
-            ).cast(HINT)
+
+    def cell(f, e):
+        """`e` is the entry as a struct, NULL when it is not an object."""
+        wrapped = e["value"].isNotNull()
+        return F.struct(
+            f.alias("field"),
+            e["value"].alias("value"),
+            c.variant_type(e["value"]).alias("vtype"),
+            F.when(wrapped, _whole_number(e["page_no"])).alias("page_no"),
+            F.when(wrapped, c.as_text(e["source_text"], c.variant_type(e["source_text"])))
+            .alias("source_text"),
         )
-    return answers.withColumn("values", F.struct(*values)).withColumn("hints", F.array(*hints))
 
+    def unwrap(entries):
+        def one(f):
+            entry = F.try_variant_get(F.try_element_at(entries, f), "$", WRAPPER)
+            return let(entry, lambda e: cell(f, e))
+        return F.transform(_field_names(), one)
 
-def _coerce_scalar(f: str) -> Column:
-    v, t = F.col(f"values.{f}"), F.col(f"types.{f}")
-    if f in NUMBER_FIELDS:
-        return c.as_number(v, t)
-    if f in DATE_FIELDS:
-        return c.as_date(v, t)
-    return c.as_text(v, t)
+    return answers.withColumn("entries", _entries(F.col("answer"))).withColumn(
+        "cells", let(F.col("entries"), unwrap)
+    )
 
 
 def _item(x: Column) -> Column:
     """One line item; sub-fields that cannot be read become null."""
     def part(name):
-        v = c.variant_at(x, f"$.{name}")
-        t = c.variant_type(v)
-        return (c.as_text(v, t) if name == "description" else c.as_number(v, t)).alias(name)
+        read = c.as_text if name == "description" else c.as_number
+        return let(
+            c.variant_at(x, f"$.{name}"),
+            lambda v: let(c.variant_type(v), lambda t: read(v, t)),
+        ).alias(name)
+
     return F.struct(*[part(n) for n in ITEM_FIELDS]).cast(LINE_ITEM)
 
 
@@ -83,28 +97,44 @@ def _is_object(x: Column) -> Column:
     return F.coalesce(F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), F.lit(False))
 
 
-def _warning(field: str, value: Column, vtype: Column) -> Column:
-    message = F.concat(
-        F.lit(f"Field '{field}' had an invalid value and was dropped: "), c.shown(value, vtype)
+def _warning(field: Column, shown: Column) -> Column:
+    return F.struct(
+        F.lit("unparseable_field").alias("rule"),
+        F.lit("warning").alias("severity"),
+        field.alias("field"),
+        F.concat(
+            F.lit("Field '"), field, F.lit("' had an invalid value and was dropped: "), shown
+        ).alias("message"),
+    ).cast(ISSUE)
+
+
+def _read(x: Column) -> Column:
+    """A cell's value as number, date or text, whichever its field holds."""
+    field, v, t = x["field"], x["value"], x["vtype"]
+    is_number, is_date = field.isin(*NUMBER_FIELDS), field.isin(*DATE_FIELDS)
+    return F.struct(
+        F.when(is_number, c.as_number(v, t)).alias("number"),
+        F.when(is_date, c.as_date(v, t)).alias("date"),
+        F.when(~is_number & ~is_date, c.as_text(v, t)).alias("text"),
     )
-    return issue("unparseable_field", "warning", field, message)
 
 
 def coerce_record(unwrapped: DataFrame) -> DataFrame:
     """Build the typed record field by field, dropping what cannot be read.
 
-    Adds `record` (struct of the eight fields and `line_items`), `pre_issues`
-    (one `unparseable_field` warning per dropped field) and `build_error`,
-    which is set when no record can be built at all: the answer is not JSON, or
-    its `line_items` is an explicit null.
+    Adds `record` (struct of the eight fields and `line_items`), `hints`,
+    `pre_issues` (one `unparseable_field` warning per dropped field) and
+    `build_error`, which is set when no record can be built at all: the answer
+    is not a JSON object, or its `line_items` is an explicit null.
     """
-    typed = unwrapped.withColumn(
-        "types",
-        F.struct(*[c.variant_type(F.col(f"values.{f}")).alias(f) for f in ALL_FIELDS]),
-    ).withColumn("items_raw", c.variant_at(F.col("answer"), "$.line_items"))
-    typed = typed.withColumn("items_type", c.variant_type(F.col("items_raw"))).withColumn(
-        "items_array", F.try_variant_get("items_raw", "$", "array<variant>")
-    )
+    typed = unwrapped.withColumns({
+        "read": F.transform("cells", _read),
+        "items_raw": c.variant_at(F.col("answer"), "$.line_items"),
+    })
+    typed = typed.withColumns({
+        "items_type": c.variant_type(F.col("items_raw")),
+        "items_array": F.try_variant_get("items_raw", "$", "array<variant>"),
+    })
     typed = typed.withColumn(
         "bad_items",
         F.when(F.col("items_array").isNotNull(),
@@ -112,43 +142,43 @@ def coerce_record(unwrapped: DataFrame) -> DataFrame:
         .when(F.col("items_type").isNull() | (F.col("items_type") == "VOID"), F.lit(0))
         .otherwise(F.lit(1)),
     )
-    typed = typed.withColumn("scalars", F.struct(*[_coerce_scalar(f).alias(f) for f in ALL_FIELDS]))
-    empty = F.array().cast(f"array<{LINE_ITEM}>")
     items = F.when(
         F.col("items_array").isNotNull() & (F.col("bad_items") == 0),
         F.transform("items_array", _item),
-    ).otherwise(empty)
-    dropped = issue_list(*[
-        F.when(
-            c.is_value(F.col(f"types.{f}")) & F.col(f"scalars.{f}").isNull(),
-            _warning(f, F.col(f"values.{f}"), F.col(f"types.{f}")),
-        )
-        for f in ALL_FIELDS
-    ])
-    item_warning = _warning("line_items", F.col("items_raw"), F.col("items_type"))
-    return (
-        typed.withColumn("line_items", items)
-        .withColumn(
-            "record",
-            F.struct(*[F.col(f"scalars.{f}").alias(f) for f in ALL_FIELDS], F.col("line_items")),
-        )
-        .withColumn(
-            "pre_issues",
-            F.concat(
-                dropped,
-                F.when(F.col("bad_items") > 0, F.array_repeat(item_warning, F.col("bad_items")))
-                .otherwise(F.array().cast(f"array<{ISSUE}>")),
-            ),
-        )
-        .withColumn(
-            "build_error",
-            F.when(F.col("answer").isNull(), F.lit("answer is not JSON")).when(
-                F.col("items_type") == "VOID", F.lit("line_items is null")
-            ),
+    ).otherwise(F.array().cast(f"array<{LINE_ITEM}>"))
+
+    def dropped(x, r):
+        empty = r["number"].isNull() & r["date"].isNull() & r["text"].isNull()
+        return F.when(
+            c.is_value(x["vtype"]) & empty, _warning(x["field"], c.shown(x["value"], x["vtype"]))
         )
-        .drop("types", "items_raw", "items_type", "items_array", "bad_items", "scalars",
-              "line_items", "values")
-    )
+
+    item_warnings = F.when(
+        F.col("bad_items") > 0,
+        F.array_repeat(
+            _warning(F.lit("line_items"), c.shown(F.col("items_raw"), F.col("items_type"))),
+            F.col("bad_items"),
+        ),
+    ).otherwise(F.array().cast(f"array<{ISSUE}>"))
+
+    def scalar(i, f):
+        kind = "number" if f in NUMBER_FIELDS else "date" if f in DATE_FIELDS else "text"
+        return F.get("read", F.lit(i))[kind].alias(f)
+
+    return typed.withColumns({
+        "record": F.struct(
+            *[scalar(i, f) for i, f in enumerate(ALL_FIELDS)], items.alias("line_items")
+        ),
+        "hints": F.transform(
+            "cells", lambda x: F.struct(x["field"], x["page_no"], x["source_text"]).cast(HINT)
+        ),
+        "pre_issues": F.concat(
+            F.array_compact(F.zip_with("cells", "read", dropped)), item_warnings
+        ),
+        "build_error": F.when(
+            F.col("entries").isNull(), F.lit("answer is not a JSON object")
+        ).when(F.col("items_type") == "VOID", F.lit("line_items is null")),
+    }).drop("entries", "cells", "read", "items_raw", "items_type", "items_array", "bad_items")
 
 
 def build_records(extractions: DataFrame) -> DataFrame:
@@ -163,9 +193,12 @@ def field_values_long(records: DataFrame) -> DataFrame:
     plain text; numbers keep the text of the double. Only a grounded field has
     a page, box and source text.
     """
+    def match_of(f):
+        return F.get(F.filter("matches", lambda m: m["field"] == f), F.lit(0))
+
     rows = []
     for f in ALL_FIELDS:
-        m = F.get(F.filter("matches", lambda x, f=f: x["field"] == f), F.lit(0))
+        m = match_of(f)
         rows.append(
             F.struct(
                 F.lit(f).alias("field"),
@@ -239,23 +272,21 @@ def escalation_reasons(
 
 def review_normalize(reviews: DataFrame) -> DataFrame:
     """Add `agreements`, a map field -> true, false or null, from JSON `review`."""
-    v = F.try_parse_json("review")
 
-    def agrees(f):
-        entry = c.variant_at(F.col("_review"), f"$.{f}.agrees")
+    def agrees(answer):
         return F.when(
-            c.variant_type(entry) == "BOOLEAN", F.try_variant_get(entry, "$", "boolean")
+            c.variant_type(answer) == "BOOLEAN", F.try_variant_get(answer, "$", "boolean")
         )
 
-    return (
-        reviews.withColumn("_review", v)
-        .withColumn(
-            "agreements",
-            F.map_from_arrays(
-                F.array(*[F.lit(f) for f in ALL_FIELDS]), F.array(*[agrees(f) for f in ALL_FIELDS])
-            ),
+    def by_field(entries):
+        return F.transform(
+            _field_names(),
+            lambda f: let(c.variant_at(F.try_element_at(entries, f), "$.agrees"), agrees),
         )
-        .drop("_review")
+
+    entries = _entries(F.try_parse_json("review"))
+    return reviews.withColumn(
+        "agreements", F.map_from_arrays(_field_names(), let(entries, by_field))
     )
 
 
@@ -316,12 +347,3 @@ def label_extract(pages: DataFrame) -> DataFrame:
     return best.select(
         "document_id", F.to_json(answer, {"ignoreNullFields": "false"}).alias("raw")
     )
-
-
-def required(fn) -> Column:
-    """The required fields for which `fn(field)` holds, in field order."""
-    return F.array_compact(F.array(*[F.when(fn(f), F.lit(f)) for f in REQUIRED_FIELDS]))
-
-
-def any_required(fn) -> Column:
-    return reduce(lambda a, b: a | b, [fn(f) for f in REQUIRED_FIELDS])

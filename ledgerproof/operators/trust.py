@@ -10,31 +10,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerproof.config import ALL_FIELDS, DEFAULTS, REQUIRED_FIELDS, Settings
-from ledgerproof.functions.issues import count_severity, error_on, has_error
-from ledgerproof.operators.ground import is_grounded
-from ledgerproof.operators.record import any_required, escalation_reasons, required
+from ledgerproof.functions.issues import count_severity, has_error
+from ledgerproof.functions.text import let
+from ledgerproof.operators.record import escalation_reasons
 
 
-def _ungrounded(f: str) -> Column:
-    return F.col(f"record.{f}").isNotNull() & ~is_grounded(f)
+def with_facts(evaluated: DataFrame) -> DataFrame:
+    """Add `facts`: per field what the decision rests on.
 
+    `present`, `required`, `grounded` (found on its page), `disputed` (the
+    reviewer said no) and `failed` (an error is on this field).
+    """
+    presence = F.array(*[
+        F.struct(F.lit(f).alias("field"), F.col(f"record.{f}").isNotNull().alias("present"))
+        for f in ALL_FIELDS
+    ])
+
+    failing = F.transform(
+        F.filter("issues", lambda i: i["severity"] == "error"), lambda i: i["field"]
+    )
+    seen = F.struct(
+        F.transform("matches", lambda m: m["field"]).alias("found"),
+        F.col("agreements").alias("agreements"),
+        F.array_compact(failing).alias("failing"),
+    )
+
+    def facts(s):
+        def fact(p):
+            field = p["field"]
+            return F.struct(
+                field.alias("field"),
+                p["present"].alias("present"),
+                field.isin(*REQUIRED_FIELDS).alias("required"),
+                F.array_contains(s["found"], field).alias("grounded"),
+                F.try_element_at(s["agreements"], field).eqNullSafe(F.lit(False)).alias("disputed"),
+                F.array_contains(s["failing"], field).alias("failed"),
+            )
+        return F.transform(presence, fact)
 
-def _disagreed(f: str) -> Column:
-    return F.try_element_at("agreements", F.lit(f)).eqNullSafe(F.lit(False))
+    return evaluated.withColumn("facts", let(seen, facts))
 
 
-def needs_escalation() -> Column:
-    """An error, a required value not found on the page, or a disputed one."""
-    return has_error(F.col("issues")) | any_required(_ungrounded) | any_required(_disagreed)
+def _ungrounded(x: Column) -> Column:
+    return x["required"] & x["present"] & ~x["grounded"]
+
+
+def _disputed(x: Column) -> Column:
+    return x["required"] & x["disputed"]
 
 
 def with_escalation(evaluated: DataFrame) -> DataFrame:
-    """Add `suspect` and the `reasons` given to the stronger model."""
-    return evaluated.withColumn("suspect", needs_escalation()).withColumn(
+    """Add `suspect` and the `reasons` given to the stronger model.
+
+    Suspect is an answer with an error, a required value not found on its page,
+    or a disputed required value.
+    """
+    suspect = has_error(F.col("issues")) | F.exists(
+        "facts", lambda x: _ungrounded(x) | _disputed(x)
+    )
+
+    def names(cond):
+        return F.transform(F.filter("facts", cond), lambda x: x["field"])
+
+    return evaluated.withColumn("suspect", suspect).withColumn(
         "reasons",
         F.when(
             F.col("suspect"),
-            escalation_reasons(F.col("issues"), required(_ungrounded), required(_disagreed)),
+            escalation_reasons(F.col("issues"), names(_ungrounded), names(_disputed)),
         ),
     )
 
@@ -63,40 +105,40 @@ def final_attempts(evaluated: DataFrame, *columns: str) -> DataFrame:
     ).select("document_id", "escalated", "pending", "row.*")
 
 
-def base_score(f: str) -> Column:
-    """Sum of the three signals that do not depend on escalation."""
-    grounded = F.when(F.col(f"record.{f}").isNull() | is_grounded(f), 1.0).otherwise(0.0)
-    passed = F.when(error_on(F.col("issues"), f), 0.0).otherwise(1.0)
-    agreed = F.when(_disagreed(f), 0.0).otherwise(1.0)
-    return grounded + passed + agreed
-
-
 def with_signals(evaluated: DataFrame) -> DataFrame:
-    """Add `signals`, a struct of each field's three-signal sum.
+    """Add `signals`: per field the sum of the three signals other than escalation.
 
     Small enough to travel through the shuffle in place of the record.
     """
-    return evaluated.withColumn(
-        "signals", F.struct(*[base_score(f).alias(f) for f in ALL_FIELDS])
-    )
-
 
-def field_scores(signals: str = "signals", escalated: str = "escalated") -> Column:
-    """Array of (field, confidence): the mean of four signals."""
-    calm = F.when(F.col(escalated), 0.0).otherwise(1.0)
-    return F.array(*[
-        F.struct(
-            F.lit(f).alias("field"),
-            F.round((F.col(f"{signals}.{f}") + calm) / 4, 4).alias("confidence"),
+    def signal(x):
+        found = F.when(~x["present"] | x["grounded"], 1.0).otherwise(0.0)
+        passed = F.when(x["failed"], 0.0).otherwise(1.0)
+        agreed = F.when(x["disputed"], 0.0).otherwise(1.0)
+        return F.struct(
+            x["field"].alias("field"), x["required"].alias("required"),
+            (found + passed + agreed).alias("sum"),
         )
-        for f in ALL_FIELDS
-    ])
+
+    return evaluated.withColumn("signals", F.transform("facts", signal))
+
+
+def field_scores() -> Column:
+    """(field, confidence) per field: the mean of four signals."""
+    calm = F.when(F.col("escalated"), 0.0).otherwise(1.0)
+    return F.transform(
+        "signals",
+        lambda x: F.struct(
+            x["field"].alias("field"), F.round((x["sum"] + calm) / 4, 4).alias("confidence")
+        ),
+    )
 
 
-def document_score(scores: str = "scores") -> Column:
-    """The least score among the required fields."""
-    wanted = F.filter(scores, lambda s: s["field"].isin(*REQUIRED_FIELDS))
-    return F.coalesce(F.array_min(F.transform(wanted, lambda s: s["confidence"])), F.lit(0.0))
+def document_score() -> Column:
+    """The least score among the required fields; 0 when there are none."""
+    calm = F.when(F.col("escalated"), 0.0).otherwise(1.0)
+    wanted = F.transform(F.filter("signals", lambda x: x["required"]), lambda x: x["sum"])
+    return F.coalesce(F.round((F.array_min(wanted) + calm) / 4, 4), F.lit(0.0))
 
 
 def approval(score: Column, settings: Settings = DEFAULTS) -> Column:

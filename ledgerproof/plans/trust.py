@@ -15,6 +15,7 @@ from ledgerproof.operators.trust import (
     final_attempts,
     severity_counts,
     with_escalation,
+    with_facts,
     with_signals,
 )
 from ledgerproof.session import materialise
@@ -35,7 +36,7 @@ def check_answers(
     checked = validate_records(review_normalize(grounded), settings).withColumn(
         "issues", F.concat("pre_issues", "rule_issues")
     )
-    return with_signals(with_escalation(checked))
+    return with_signals(with_escalation(with_facts(checked)))
 
 
 def failed_answers(answers: DataFrame) -> DataFrame:

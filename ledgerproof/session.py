@@ -15,6 +15,8 @@ RECOMMENDED = {
     # Split a skewed join side even where that costs one more shuffle later.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Recording a Python call site per expression dominates plan building here.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
