@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("checks", "intake", "splitting", "words")
+MODULES = (
+    "checks", "intake", "splitting", "words", "records", "reviewing", "joblog", "accuracy",
+)
 
 
 def all_queries():

@@ -104,6 +104,8 @@ lines AS (
     CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS line_cents,
     CAST(sum(CAST(floor(l_extendedprice * l_tax * 100 + 0.5) AS BIGINT)) AS BIGINT) AS tax_cents,
     sum(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END) AS n_n,
+    max(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) + max(CASE WHEN l_returnflag = 'N' THEN 1 ELSE 0 END)
+      + max(CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 1 ELSE 0 END) AS n_items,
     CAST(sum(CASE WHEN l_returnflag = 'A' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS a_cents,
     CAST(sum(CASE WHEN l_returnflag = 'N' THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS n_cents,
     CAST(sum(CASE WHEN l_returnflag NOT IN ('A', 'N') THEN CAST(round(l_extendedprice * 100) AS BIGINT) ELSE 0 END) AS BIGINT) AS r_cents
@@ -123,7 +125,7 @@ base0 AS (
     CASE WHEN o_orderkey % 11 = 0 AND n_n > 0 THEN NULL
       ELSE 0e0 + CAST(a_cents AS DOUBLE) / 100e0 + CAST(n_cents AS DOUBLE) / 100e0
            + CAST(r_cents AS DOUBLE) / 100e0 END AS line_sum,
-    o_totalprice
+    o_totalprice, n_items
   FROM orders JOIN lines ON o_orderkey = l_orderkey LEFT JOIN supplier ON suppkey = s_suppkey),
 base AS (
   SELECT *, subtotal + tax AS sum_total,
@@ -301,6 +303,7 @@ ans0 AS (
          WHEN f AND k % 6 = 1 THEN CAST(format('{:.2f}', total) AS DOUBLE)
          ELSE total END AS total,
     CASE WHEN f AND k % 43 = 0 THEN NULL ELSE line_sum END AS line_sum,
+    CASE WHEN f AND k % 43 = 0 THEN 0 ELSE n_items END AS n_items,
     CASE WHEN f AND k % 43 = 0 THEN 1 ELSE 0 END AS w_items,
     CASE WHEN f AND k % 41 = 0 THEN 1 ELSE 0 END AS w_number,
     CASE WHEN f AND k % 29 = 0 THEN 1 ELSE 0 END AS w_date,

@@ -145,6 +145,11 @@ def find_matches(words: Column, hints: Column, settings: Settings = DEFAULTS) ->
     ).cast(f"array<{MATCH}>")
 
 
+def no_matches() -> Column:
+    """An empty list of matches."""
+    return F.array().cast(f"array<{MATCH}>")
+
+
 def ground_records(
     records: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:
@@ -169,9 +174,8 @@ def ground_records(
     found = found.select("extraction_id", find_matches(F.col("words"), F.col("hints"), settings).alias("m"))
     # At most one entry per field of an extraction, so the list is bounded.
     per_record = found.groupBy("extraction_id").agg(F.flatten(F.collect_list("m")).alias("matches"))
-    none = F.array().cast(f"array<{MATCH}>")
     return records.join(per_record, "extraction_id", "left").withColumn(
-        "matches", F.coalesce("matches", none)
+        "matches", F.coalesce("matches", no_matches())
     )
 
 

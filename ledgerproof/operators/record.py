@@ -165,10 +165,10 @@ def coerce_record(unwrapped: DataFrame) -> DataFrame:
         kind = "number" if f in NUMBER_FIELDS else "date" if f in DATE_FIELDS else "text"
         return F.get("read", F.lit(i))[kind].alias(f)
 
-    return typed.withColumns({
-        "record": F.struct(
-            *[scalar(i, f) for i, f in enumerate(ALL_FIELDS)], items.alias("line_items")
-        ),
+    # The items get a column of their own first: inside the struct, each later
+    # use of `record.line_items` would evaluate them again.
+    return typed.withColumn("line_items", items).withColumns({
+        "record": F.struct(*[scalar(i, f) for i, f in enumerate(ALL_FIELDS)], "line_items"),
         "hints": F.transform(
             "cells", lambda x: F.struct(x["field"], x["page_no"], x["source_text"]).cast(HINT)
         ),
@@ -178,7 +178,10 @@ def coerce_record(unwrapped: DataFrame) -> DataFrame:
         "build_error": F.when(
             F.col("entries").isNull(), F.lit("answer is not a JSON object")
         ).when(F.col("items_type") == "VOID", F.lit("line_items is null")),
-    }).drop("entries", "cells", "read", "items_raw", "items_type", "items_array", "bad_items")
+    }).drop(
+        "entries", "cells", "read", "items_raw", "items_type", "items_array", "bad_items",
+        "line_items",
+    )
 
 
 def build_records(extractions: DataFrame) -> DataFrame:

@@ -59,24 +59,28 @@ def document_detail(
     """One nested row per document with its parts.
 
     `latest` has `document_id, extraction_id, model, attempt_no, raw`. Lists are
-    gathered per document: pages and children up to the page limit of the
-    upload gate (a document beyond it is refused there), fields up to nine.
-    Issues are listed by `issue_rows`; here they are counted by severity, as
-    their number has no bound.
+    gathered per document: pages and children within the page limit of the
+    upload gate, fields up to nine. The gate refuses longer documents; should
+    one turn up, its lists are null and its counts still right. Issues are
+    listed by `issue_rows`; here they are counted by severity, as their number
+    has no bound.
     """
-    page = F.struct("page_no", "text_source", "image_key")
-    within = F.col("page_no") <= settings.max_pages
+    limit = settings.max_pages
+
+    def bounded(value, at):
+        """The list of values up to the limit; none at all if some lie beyond."""
+        kept = F.array_sort(F.collect_list(F.when(F.col(at) <= limit, value)))
+        return F.when(F.max(at) <= limit, kept)
+
     page_list = pages.groupBy("document_id").agg(
-        F.array_sort(F.collect_list(F.when(within, page))).alias("pages"),
+        bounded(F.struct("page_no", "text_source", "image_key"), "page_no").alias("pages"),
         F.count("*").alias("n_pages"),
     )
-    children = documents.where(F.col("split_from_document_id").isNotNull()).select(
-        F.col("split_from_document_id").alias("document_id"), "id",
-        (F.col("page_start") <= settings.max_pages).alias("within"),
-    ).groupBy("document_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("within"), F.col("id")))).alias(
-            "child_document_ids"
-        )
+    children = documents.where(F.col("split_from_document_id").isNotNull()).groupBy(
+        F.col("split_from_document_id").alias("document_id")
+    ).agg(
+        bounded(F.col("id"), "page_start").alias("child_document_ids"),
+        F.count("*").alias("n_children"),
     )
     fields = field_values.groupBy("extraction_id").agg(
         F.array_sort(
