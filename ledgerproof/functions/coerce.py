@@ -28,9 +28,8 @@ def variant_at(raw: Column, path: str) -> Column:
 
 
 def variant_type(v: Column) -> Column:
-    """VOID, STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, OBJECT or ARRAY."""
-    without_args = F.substring_index(F.schema_of_variant(v), "(", 1)
-    return F.substring_index(without_args, "<", 1)
+    """VOID, STRING, BIGINT, DECIMAL(..), DOUBLE, BOOLEAN, OBJECT<..> or ARRAY<..>."""
+    return F.schema_of_variant(v)
 
 
 def is_value(vtype: Column) -> Column:
@@ -38,8 +37,8 @@ def is_value(vtype: Column) -> Column:
     return F.coalesce(vtype != "VOID", F.lit(False))
 
 
-def _numeric(vtype: Column) -> Column:
-    return vtype.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
+def is_numeric(vtype: Column) -> Column:
+    return vtype.isin("BIGINT", "DOUBLE", "FLOAT") | vtype.startswith("DECIMAL")
 
 
 def text_of(v: Column) -> Column:
@@ -71,7 +70,7 @@ def number_from_text(s: Column) -> Column:
 
 def as_number(v: Column, vtype: Column) -> Column:
     return (
-        F.when(_numeric(vtype), F.try_variant_get(v, "$", "double"))
+        F.when(is_numeric(vtype), F.try_variant_get(v, "$", "double"))
         .when(vtype == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
         .when(vtype == "STRING", number_from_text(text_of(v)))
     )
@@ -106,7 +105,7 @@ def date_from_text(s: Column) -> Column:
 
 def as_date(v: Column, vtype: Column) -> Column:
     return F.when(vtype == "STRING", date_from_text(text_of(v))).when(
-        _numeric(vtype), date_from_epoch(F.try_variant_get(v, "$", "double"))
+        is_numeric(vtype), date_from_epoch(F.try_variant_get(v, "$", "double"))
     )
 
 

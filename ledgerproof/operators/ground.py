@@ -12,8 +12,9 @@ from ledgerproof.schemas import MATCH
 
 def bbox_union(words: Column) -> Column:
     """The smallest box around all words."""
+
     def corner(k):
-        return F.transform(words, lambda w: F.get(w["bbox"], F.lit(k)))
+        return F.transform(words["bbox"], lambda box: F.get(box, F.lit(k)))
 
     low = [F.array_min(corner(k)) for k in (0, 1)]
     high = [F.array_max(corner(k)) for k in (2, 3)]
@@ -22,7 +23,7 @@ def bbox_union(words: Column) -> Column:
 
 def page_text(words: Column) -> Column:
     """The lower-cased words joined by one blank."""
-    return F.lower(F.array_join(F.transform(words, lambda w: w["text"]), " "))
+    return F.lower(F.array_join(words["text"], " "))
 
 
 def _blanks(s: Column) -> Column:
@@ -66,7 +67,7 @@ def _scan(words: Column, target: Column, max_window: int) -> Column:
     Only pages with odd words come here.
     """
     n = F.size(words)
-    texts = F.transform(words, lambda w: w["text"])
+    texts = words["text"]
 
     def smallest(i):
         sizes = F.sequence(F.lit(1), F.least(F.lit(max_window), n - i + 1))
@@ -93,9 +94,9 @@ def find_window(
 
 
 def _box_at(words: Column, window: Column) -> Column:
-    return F.when(
-        window.isNotNull(), bbox_union(F.slice(words, window["start"], window["size"]))
-    )
+    first = F.get(words["bbox"], window["start"] - 1)
+    run = F.slice(words, window["start"], window["size"])
+    return F.when(window["size"] == 1, first).when(window.isNotNull(), bbox_union(run))
 
 
 def find_bbox(
@@ -120,31 +121,6 @@ def find_bbox(
     return let(page_text(words), search)
 
 
-def find_matches(words: Column, hints: Column, settings: Settings = DEFAULTS) -> Column:
-    """All hints of one page at once; the page text is prepared only once."""
-
-    def per_page(page):
-        def per_hint(h):
-            return let(
-                F.coalesce(normalize(h["source_text"]), F.lit("")),
-                lambda t: let(
-                    find_window(words, page["text"], page["plain"], t, settings.max_window),
-                    lambda w: F.struct(
-                        h["field"].alias("field"), h["page_no"].alias("page_no"),
-                        _box_at(words, w).alias("bbox"), h["source_text"].alias("source_text"),
-                    ),
-                ),
-            )
-        return F.filter(F.transform(hints, per_hint), lambda m: m["bbox"].isNotNull())
-
-    return let(
-        page_text(words),
-        lambda text: let(
-            F.struct(text.alias("text"), is_plain(words, text).alias("plain")), per_page
-        ),
-    ).cast(f"array<{MATCH}>")
-
-
 def no_matches() -> Column:
     """An empty list of matches."""
     return F.array().cast(f"array<{MATCH}>")
@@ -157,23 +133,33 @@ def ground_records(
 
     `records` has `extraction_id, document_id, hints`; `pages` has
     `document_id, page_no, words` and is already cut to the document's own
-    range. Hints travel to their page grouped by page, so a page's words are
-    shuffled once and read once for all its hints, and only boxes travel on.
+    range. The searchable text of a page is made once, before the join; a hint
+    is one narrow row, and only its box travels on.
     """
-    usable = F.filter(
-        "hints", lambda h: h["page_no"].isNotNull() & (F.coalesce(h["source_text"], F.lit("")) != "")
-    )
     asked = (
-        records.select("extraction_id", "document_id", usable.alias("hints"))
-        .withColumn(
-            "page_no", F.explode(F.array_distinct(F.transform("hints", lambda h: h["page_no"])))
+        records.select("extraction_id", "document_id", F.inline("hints"))
+        .where(F.col("page_no").isNotNull() & (F.col("source_text") != ""))
+        .withColumn("target", normalize(F.col("source_text")))
+    )
+    searchable = pages.select(
+        "document_id", "page_no", "words", page_text(F.col("words")).alias("page_text")
+    ).withColumn("plain", is_plain(F.col("words"), F.col("page_text")))
+    window = find_window(
+        F.col("words"), F.col("page_text"), F.col("plain"), F.col("target"), settings.max_window
+    )
+    boxed = (
+        asked.join(searchable, ["document_id", "page_no"])
+        .withColumn("window", window)
+        .select(
+            "extraction_id", "field", "page_no", "source_text",
+            _box_at(F.col("words"), F.col("window")).alias("bbox"),
         )
-        .withColumn("hints", F.filter("hints", lambda h: h["page_no"] == F.col("page_no")))
     )
-    found = asked.join(pages.select("document_id", "page_no", "words"), ["document_id", "page_no"])
-    found = found.select("extraction_id", find_matches(F.col("words"), F.col("hints"), settings).alias("m"))
     # At most one entry per field of an extraction, so the list is bounded.
-    per_record = found.groupBy("extraction_id").agg(F.flatten(F.collect_list("m")).alias("matches"))
+    match = F.struct("field", "page_no", "bbox", "source_text").cast(MATCH)
+    per_record = boxed.groupBy("extraction_id").agg(
+        F.collect_list(F.when(F.col("bbox").isNotNull(), match)).alias("matches")
+    )
     return records.join(per_record, "extraction_id", "left").withColumn(
         "matches", F.coalesce("matches", no_matches())
     )

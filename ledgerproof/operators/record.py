@@ -13,31 +13,34 @@ from ledgerproof.config import (
     Settings,
 )
 from ledgerproof.functions import coerce as c
+from ledgerproof.functions.issues import issue, issue_list
 from ledgerproof.functions.text import SPACE, let
 from ledgerproof.schemas import HINT, ISSUE, LINE_ITEM
 
 WRAPPER = "struct<value:variant,page_no:variant,source_text:variant>"
 ITEM_FIELDS = ("description", "quantity", "unit_price", "amount")
+ITEM_PARTS = "struct<" + ",".join(f"{n}:variant" for n in ITEM_FIELDS) + ">"
 
 
 def parse_answers(extractions: DataFrame) -> DataFrame:
-    """Add `answer`, the VARIANT of the JSON in `raw`."""
-    return extractions.withColumn("answer", F.try_parse_json("raw"))
+    """Add `answer`, the VARIANT of the JSON object in `raw`; NULL for anything else."""
+    is_object = F.col("raw").rlike(r"^\s*\{")
+    return extractions.withColumn("answer", F.when(is_object, F.try_parse_json("raw")))
 
 
-def _whole_number(v: Column) -> Column:
-    """A page number: an integer, or a float or boolean equal to one."""
-
-    def number(t):
-        return F.when(
-            t.isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), F.try_variant_get(v, "$", "double")
-        ).when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double"))
+def _page_number(v: Column) -> Column:
+    """An integer, or a float or boolean equal to one; anything else is no page."""
 
     def whole(x):
         fits = (x == F.floor(x)) & x.between(-2147483648, 2147483647)
         return F.when(fits, x.cast("int"))
 
-    return let(let(c.variant_type(v), number), whole)
+    t = c.variant_type(v)
+    return (
+        F.when(t == "BIGINT", F.try_variant_get(v, "$", "int"))
+        .when(c.is_numeric(t), let(F.try_variant_get(v, "$", "double"), whole))
+        .when(t == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int"))
+    )
 
 
 def _entries(v: Column) -> Column:
@@ -52,135 +55,116 @@ def _field_names() -> Column:
 def unwrap_grounded(answers: DataFrame) -> DataFrame:
     """Split every `{value, page_no, source_text}` into a value and a hint.
 
-    Adds `cells`: per field, in field order, its `value` (VARIANT), `vtype`,
-    and the hints `page_no` and `source_text`. A field that is not wrapped like
-    that gets a null value and null hints. The fields are handled by one lambda
-    over their names, which keeps the generated code small.
+    Adds `value_<field>` (VARIANT), `vtype_<field>`, and `hints`, one struct per
+    field in field order. A field that is not wrapped like that gets a null
+    value and null hints. Each step is a flat list of columns rather than a
+    lambda over the fields, so that it runs as generated code.
     """
-
-    def cell(f, e):
-        """`e` is the entry as a struct, NULL when it is not an object."""
-        wrapped = e["value"].isNotNull()
-        return F.struct(
-            f.alias("field"),
-            e["value"].alias("value"),
-            c.variant_type(e["value"]).alias("vtype"),
-            F.when(wrapped, _whole_number(e["page_no"])).alias("page_no"),
-            F.when(wrapped, c.as_text(e["source_text"], c.variant_type(e["source_text"])))
-            .alias("source_text"),
+    wrapped = answers.withColumns({
+        f"cell_{f}": F.try_variant_get("answer", f"$.{f}", WRAPPER) for f in ALL_FIELDS
+    })
+    parts = {}
+    for f in ALL_FIELDS:
+        cell = F.col(f"cell_{f}")
+        there = cell["value"].isNotNull()
+        parts[f"value_{f}"] = cell["value"]
+        parts[f"vtype_{f}"] = c.variant_type(cell["value"])
+        parts[f"page_{f}"] = F.when(there, _page_number(cell["page_no"]))
+        parts[f"source_{f}"] = F.when(
+            there, c.as_text(cell["source_text"], c.variant_type(cell["source_text"]))
         )
-
-    def unwrap(entries):
-        def one(f):
-            entry = F.try_variant_get(F.try_element_at(entries, f), "$", WRAPPER)
-            return let(entry, lambda e: cell(f, e))
-        return F.transform(_field_names(), one)
-
-    return answers.withColumn("entries", _entries(F.col("answer"))).withColumn(
-        "cells", let(F.col("entries"), unwrap)
+    split = wrapped.withColumns(parts)
+    hints = F.array(*[
+        F.struct(
+            F.lit(f).alias("field"), F.col(f"page_{f}").alias("page_no"),
+            F.col(f"source_{f}").alias("source_text"),
+        ).cast(HINT)
+        for f in ALL_FIELDS
+    ])
+    return split.withColumn("hints", hints).drop(
+        *[f"{part}_{f}" for f in ALL_FIELDS for part in ("cell", "page", "source")]
     )
 
 
 def _item(x: Column) -> Column:
-    """One line item; sub-fields that cannot be read become null."""
+    """One line item from its VARIANT parts; what cannot be read becomes null."""
     def part(name):
         read = c.as_text if name == "description" else c.as_number
-        return let(
-            c.variant_at(x, f"$.{name}"),
-            lambda v: let(c.variant_type(v), lambda t: read(v, t)),
-        ).alias(name)
+        return let(c.variant_type(x[name]), lambda t: read(x[name], t)).alias(name)
 
     return F.struct(*[part(n) for n in ITEM_FIELDS]).cast(LINE_ITEM)
 
 
-def _is_object(x: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(x), F.lit("OBJECT")), F.lit(False))
-
-
-def _warning(field: Column, shown: Column) -> Column:
-    return F.struct(
-        F.lit("unparseable_field").alias("rule"),
-        F.lit("warning").alias("severity"),
-        field.alias("field"),
-        F.concat(
-            F.lit("Field '"), field, F.lit("' had an invalid value and was dropped: "), shown
-        ).alias("message"),
-    ).cast(ISSUE)
+def _warning(field: str, value: Column, vtype: Column) -> Column:
+    message = F.concat(
+        F.lit(f"Field '{field}' had an invalid value and was dropped: "), c.shown(value, vtype)
+    )
+    return issue("unparseable_field", "warning", field, message)
 
 
-def _read(x: Column) -> Column:
-    """A cell's value as number, date or text, whichever its field holds."""
-    field, v, t = x["field"], x["value"], x["vtype"]
-    is_number, is_date = field.isin(*NUMBER_FIELDS), field.isin(*DATE_FIELDS)
-    return F.struct(
-        F.when(is_number, c.as_number(v, t)).alias("number"),
-        F.when(is_date, c.as_date(v, t)).alias("date"),
-        F.when(~is_number & ~is_date, c.as_text(v, t)).alias("text"),
-    )
+def _read(f: str) -> Column:
+    v, t = F.col(f"value_{f}"), F.col(f"vtype_{f}")
+    if f in NUMBER_FIELDS:
+        return c.as_number(v, t)
+    if f in DATE_FIELDS:
+        return c.as_date(v, t)
+    return c.as_text(v, t)
 
 
 def coerce_record(unwrapped: DataFrame) -> DataFrame:
     """Build the typed record field by field, dropping what cannot be read.
 
-    Adds `record` (struct of the eight fields and `line_items`), `hints`,
-    `pre_issues` (one `unparseable_field` warning per dropped field) and
-    `build_error`, which is set when no record can be built at all: the answer
-    is not a JSON object, or its `line_items` is an explicit null.
+    Adds `record` (struct of the eight fields and `line_items`), `pre_issues`
+    (one `unparseable_field` warning per dropped field) and `build_error`,
+    which is set when no record can be built at all: the answer is not a JSON
+    object, or its `line_items` is an explicit null.
     """
     typed = unwrapped.withColumns({
-        "read": F.transform("cells", _read),
+        **{f"read_{f}": _read(f) for f in ALL_FIELDS},
         "items_raw": c.variant_at(F.col("answer"), "$.line_items"),
     })
+    as_array = F.try_variant_get("items_raw", "$", "array<variant>")
     typed = typed.withColumns({
-        "items_type": c.variant_type(F.col("items_raw")),
-        "items_array": F.try_variant_get("items_raw", "$", "array<variant>"),
+        "items_null": F.is_variant_null("items_raw"),
+        # An element that is no object becomes a null entry.
+        "items_parts": F.transform(as_array, lambda x: F.try_variant_get(x, "$", ITEM_PARTS)),
     })
     typed = typed.withColumn(
         "bad_items",
-        F.when(F.col("items_array").isNotNull(),
-               F.size(F.filter("items_array", lambda x: ~_is_object(x))))
-        .when(F.col("items_type").isNull() | (F.col("items_type") == "VOID"), F.lit(0))
+        F.when(F.col("items_parts").isNotNull(),
+               F.size(F.filter("items_parts", lambda x: x.isNull())))
+        .when(F.col("items_raw").isNull() | F.col("items_null"), F.lit(0))
         .otherwise(F.lit(1)),
     )
     items = F.when(
-        F.col("items_array").isNotNull() & (F.col("bad_items") == 0),
-        F.transform("items_array", _item),
+        F.col("items_parts").isNotNull() & (F.col("bad_items") == 0),
+        F.transform("items_parts", _item),
     ).otherwise(F.array().cast(f"array<{LINE_ITEM}>"))
-
-    def dropped(x, r):
-        empty = r["number"].isNull() & r["date"].isNull() & r["text"].isNull()
-        return F.when(
-            c.is_value(x["vtype"]) & empty, _warning(x["field"], c.shown(x["value"], x["vtype"]))
+    dropped = issue_list(*[
+        F.when(
+            c.is_value(F.col(f"vtype_{f}")) & F.col(f"read_{f}").isNull(),
+            _warning(f, F.col(f"value_{f}"), F.col(f"vtype_{f}")),
         )
-
+        for f in ALL_FIELDS
+    ])
     item_warnings = F.when(
         F.col("bad_items") > 0,
         F.array_repeat(
-            _warning(F.lit("line_items"), c.shown(F.col("items_raw"), F.col("items_type"))),
+            _warning("line_items", F.col("items_raw"), c.variant_type(F.col("items_raw"))),
             F.col("bad_items"),
         ),
     ).otherwise(F.array().cast(f"array<{ISSUE}>"))
-
-    def scalar(i, f):
-        kind = "number" if f in NUMBER_FIELDS else "date" if f in DATE_FIELDS else "text"
-        return F.get("read", F.lit(i))[kind].alias(f)
-
     # The items get a column of their own first: inside the struct, each later
     # use of `record.line_items` would evaluate them again.
     return typed.withColumn("line_items", items).withColumns({
-        "record": F.struct(*[scalar(i, f) for i, f in enumerate(ALL_FIELDS)], "line_items"),
-        "hints": F.transform(
-            "cells", lambda x: F.struct(x["field"], x["page_no"], x["source_text"]).cast(HINT)
-        ),
-        "pre_issues": F.concat(
-            F.array_compact(F.zip_with("cells", "read", dropped)), item_warnings
-        ),
+        "record": F.struct(*[F.col(f"read_{f}").alias(f) for f in ALL_FIELDS], "line_items"),
+        "pre_issues": F.concat(dropped, item_warnings),
         "build_error": F.when(
-            F.col("entries").isNull(), F.lit("answer is not a JSON object")
-        ).when(F.col("items_type") == "VOID", F.lit("line_items is null")),
+            F.col("answer").isNull(), F.lit("answer is not a JSON object")
+        ).when(F.col("items_null"), F.lit("line_items is null")),
     }).drop(
-        "entries", "cells", "read", "items_raw", "items_type", "items_array", "bad_items",
-        "line_items",
+        *[f"{part}_{f}" for f in ALL_FIELDS for part in ("value", "vtype", "read")],
+        "items_raw", "items_null", "items_parts", "bad_items", "line_items",
     )
 
 

@@ -15,6 +15,9 @@ RECOMMENDED = {
     # Split a skewed join side even where that costs one more shuffle later.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM does not compile methods beyond 8000 bytes; past that size separate
+    # projections, which are split into small methods, are faster than one stage.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Recording a Python call site per expression dominates plan building here.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
