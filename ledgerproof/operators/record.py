@@ -13,7 +13,6 @@ from ledgerproof.config import (
     Settings,
 )
 from ledgerproof.functions import coerce as c
-from ledgerproof.functions.issues import issue, issue_list
 from ledgerproof.functions.text import SPACE, let
 from ledgerproof.schemas import HINT, ISSUE, LINE_ITEM
 
@@ -95,11 +94,16 @@ def _item(x: Column) -> Column:
     return F.struct(*[part(n) for n in ITEM_FIELDS]).cast(LINE_ITEM)
 
 
-def _warning(field: str, value: Column, vtype: Column) -> Column:
-    message = F.concat(
-        F.lit(f"Field '{field}' had an invalid value and was dropped: "), c.shown(value, vtype)
-    )
-    return issue("unparseable_field", "warning", field, message)
+def _warning(field: Column, value: Column, vtype: Column) -> Column:
+    return F.struct(
+        F.lit("unparseable_field").alias("rule"),
+        F.lit("warning").alias("severity"),
+        field.alias("field"),
+        F.concat(
+            F.lit("Field '"), field, F.lit("' had an invalid value and was dropped: "),
+            c.shown(value, vtype),
+        ).alias("message"),
+    ).cast(ISSUE)
 
 
 def _read(f: str) -> Column:
@@ -140,25 +144,34 @@ def coerce_record(unwrapped: DataFrame) -> DataFrame:
         F.col("items_parts").isNotNull() & (F.col("bad_items") == 0),
         F.transform("items_parts", _item),
     ).otherwise(F.array().cast(f"array<{LINE_ITEM}>"))
-    dropped = issue_list(*[
+    # What was refused, by field; the text of the warnings is rarely needed and
+    # written once for all fields to keep the plan small.
+    refused = F.array_compact(F.array(*[
         F.when(
             c.is_value(F.col(f"vtype_{f}")) & F.col(f"read_{f}").isNull(),
-            _warning(f, F.col(f"value_{f}"), F.col(f"vtype_{f}")),
+            F.struct(
+                F.lit(f).alias("field"), F.col(f"value_{f}").alias("value"),
+                F.col(f"vtype_{f}").alias("vtype"),
+            ),
         )
         for f in ALL_FIELDS
-    ])
-    item_warnings = F.when(
-        F.col("bad_items") > 0,
-        F.array_repeat(
-            _warning("line_items", F.col("items_raw"), c.variant_type(F.col("items_raw"))),
-            F.col("bad_items"),
+    ]))
+    refused_items = F.array_repeat(
+        F.struct(
+            F.lit("line_items").alias("field"), F.col("items_raw").alias("value"),
+            c.variant_type(F.col("items_raw")).alias("vtype"),
         ),
-    ).otherwise(F.array().cast(f"array<{ISSUE}>"))
+        F.col("bad_items"),
+    )
+    warnings = F.transform(
+        F.when(F.col("bad_items") > 0, F.concat(refused, refused_items)).otherwise(refused),
+        lambda x: _warning(x["field"], x["value"], x["vtype"]),
+    )
     # The items get a column of their own first: inside the struct, each later
     # use of `record.line_items` would evaluate them again.
     return typed.withColumn("line_items", items).withColumns({
         "record": F.struct(*[F.col(f"read_{f}").alias(f) for f in ALL_FIELDS], "line_items"),
-        "pre_issues": F.concat(dropped, item_warnings),
+        "pre_issues": warnings,
         "build_error": F.when(
             F.col("answer").isNull(), F.lit("answer is not a JSON object")
         ).when(F.col("items_null"), F.lit("line_items is null")),
