@@ -136,8 +136,10 @@ def ground_records(
     range. The searchable text of a page is made once, before the join; a hint
     is one narrow row, and only its box travels on.
     """
+    # `inline_outer`, because for `inline` Catalyst adds a filter on the list that
+    # it pushes below the coercion, where every step of it would be repeated.
     asked = (
-        records.select("extraction_id", "document_id", F.inline("hints"))
+        records.select("extraction_id", "document_id", F.inline_outer("hints"))
         .where(F.col("page_no").isNotNull() & (F.col("source_text") != ""))
         .withColumn("target", normalize(F.col("source_text")))
     )
