@@ -11,7 +11,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("quality",)
+MODULES = ("warc", "quality", "rollup")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
