@@ -11,7 +11,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("warc", "quality", "rollup")
+MODULES = ("warc", "language", "packing", "quality", "rollup", "bpe")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ledgerproof.session import shared_folder
 
@@ -49,3 +51,33 @@ def batches(rows, size: int):
     """Lists of at most `size` consecutive items."""
     for start in range(0, len(rows), size):
         yield rows[start:start + size]
+
+
+def with_python(df: DataFrame, column: str, into: str, schema: str, compute) -> DataFrame:
+    """`df` with one more struct column `into`, computed from the text column in Python.
+
+    `compute` gets a list of texts and returns an Arrow array per field of `schema`. Rows keep their
+    other columns, so nothing is joined back. Arrow batches are cut again, to some megabytes each.
+    """
+    kind = StructType.fromDDL(schema)
+    target = StructType([*df.schema.fields, StructField(into, kind)])
+    at, limit = df.columns.index(column), 4 << 20
+
+    def run(parts):
+        for part in parts:
+            texts = part.column(at)
+            start = held = 0
+            for k in range(part.num_rows):
+                held += len(texts[k].as_py() or "") if limit < part.nbytes else 0
+                if held >= limit:
+                    yield extended(part.slice(start, k + 1 - start))
+                    start, held = k + 1, 0
+            if start < part.num_rows:
+                yield extended(part.slice(start))
+
+    def extended(part):
+        fields = compute(part.column(at).to_pylist())
+        struct = pa.StructArray.from_arrays(fields, names=kind.names)
+        return pa.RecordBatch.from_arrays([*part.columns, struct], [*part.schema.names, into])
+
+    return df.mapInArrow(run, target)
