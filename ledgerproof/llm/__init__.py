@@ -11,7 +11,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("warc", "language", "packing", "quality", "rollup", "setsketch", "pii", "bpe")
+MODULES = ("warc", "language", "packing", "quality", "neighbours", "rollup", "setsketch", "pii", "bpe")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
