@@ -80,6 +80,10 @@ def covered(places: Column) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step)
 
 
+def text_digest(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def line_entry(line: Column) -> Column:
     plain = normalised(line)
     return F.struct(
@@ -101,7 +105,7 @@ def measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
     }).select(
         "doc_id", "host", "n_symbols", "word_chars", "w", F.size("w").alias("n_words"),
         (F.size("raw") - F.size(F.array_distinct("raw"))).alias("n_dup_lines"),
-        F.sort_array(F.transform("raw", line_entry)).alias("lines"),
+        F.sort_array(F.transform("raw", line_entry)).alias("lines"), text_digest("t").alias("digest"),
     ).withColumn("windows", windows_of(F.col("w"))).drop("w").withColumn(
         "places", repeated(F.col("windows"))
     ).select(
@@ -109,7 +113,7 @@ def measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
         F.col("n_words").cast("long"), F.col("word_chars").cast("long"),
         F.col("n_symbols").cast("long"), F.col("n_dup_lines").cast("long"),
         covered(F.col("places")).alias("n_repeat_words"),
-        "lines",
+        "lines", "digest",
     )
 
 
@@ -130,7 +134,8 @@ def judged(
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The verdict on every document, the lines to remove per host, and the lines of each row.
 
-    Verdicts: `row, doc_id, host`, the counts, `n_removed_words, base_failed, depleted, kept`.
+    Verdicts: `row, doc_id, host, digest`, the counts, `n_removed_words, removed` (the hashes of the
+    lines to remove), `base_failed, depleted, kept`.
     """
     measures = staged(
         measured(docs, doc_id, text, host).withColumn("row", F.monotonically_increasing_id())
@@ -140,7 +145,9 @@ def judged(
     removed = lines.alias("l").join(
         frequent.alias("f"),
         F.col("l.host").eqNullSafe(F.col("f.host")) & (F.col("l.h") == F.col("f.h")),
-    ).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
+    ).groupBy("row").agg(
+        F.sum("words").alias("n_removed_words"), F.collect_set("l.h").alias("removed")
+    )
     verdicts = measures.drop("lines").join(removed, "row", "left").withColumn(
         "n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long"))
     ).withColumns({
@@ -171,6 +178,32 @@ def quality_rules(docs: DataFrame, limits: Limits = DEFAULT, **columns: str) ->
     return judged(docs, limits=limits, **columns)[0]
 
 
+def cleaned(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
+    limits: Limits = DEFAULT,
+) -> DataFrame:
+    """The kept documents without the removed lines, `n_chars` counted anew where there is one."""
+    verdicts = judged(docs, doc_id, text, host, limits)[0]
+    changes = verdicts.where(~F.col("kept") | F.col("removed").isNotNull()).groupBy(
+        F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest")
+    ).agg(F.any_value("kept").alias("__kept"), F.any_value("removed").alias("__removed"))
+    rows = docs.join(
+        changes,
+        F.col(doc_id).eqNullSafe(F.col("__doc")) & (text_digest(text) == F.col("__digest")), "left",
+    ).where(F.coalesce("__kept", F.lit(True)))
+    left = F.array_join(F.filter(
+        F.split(F.col(text), "\n"),
+        lambda line: ~has_word(line)
+        | ~F.array_contains(F.col("__removed"), F.unhex(F.md5(normalised(line)))),
+    ), "\n")
+    out = rows.withColumn(
+        text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(left)
+    )
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 def op4_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

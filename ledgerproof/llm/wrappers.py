@@ -510,9 +510,10 @@ def host_wrappers(
     chosen = rows.select("id", "host").distinct().withColumn("h", F.xxhash64("id")).withColumn(
         "n", F.row_number().over(order)
     ).where(F.col("n") <= options.sample).select("id", "host")
-    sample = rows.join(chosen, (rows.id.eqNullSafe(chosen.id)) & (rows.host == chosen.host)).select(
-        rows.host, "html"
-    )
+    sample = rows.alias("r").join(
+        chosen.alias("c"),
+        F.col("r.id").eqNullSafe(F.col("c.id")) & (F.col("r.host") == F.col("c.host")),
+    ).select("r.host", "r.html")
 
     def infer(key, group: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(t for t in group["html"].tolist() if isinstance(t, str))[:options.sample]
