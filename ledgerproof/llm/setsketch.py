@@ -7,10 +7,11 @@ likelihood of two sketches (whose cardinalities are known) drops those that can'
 and the rest is confirmed on the full sets.
 
 Documents with equal sets are one class and are compared once. Within a bucket, members are compared
-with a leader instead of with each other: first the member that shares most buckets with others, then
-members of the components that are still apart, until the bucket holds one component or every pair in
-it has been looked at. So a large group of copies costs about one comparison per member, and no link
-between two components is left out. Links are folded into components by alternating stars.
+with a leader instead of with each other: first the member that shares most buckets with others. Then
+buckets that still hold several components form clusters around the largest of them, and members
+outside it lead in turn, until every bucket holds one component or every pair in it has been looked
+at. So a large group of copies costs about one comparison per member, and no link between two
+components is left out. Links are folded into components by alternating stars.
 
 Chances: documents of similarity 0.8 share no band with probability 5e-8, and the likelihood test
 drops such a pair with probability below 1e-5.
@@ -37,15 +38,14 @@ from pyspark.sql import functions as F
 from ledgerproof.llm.common import fresh_folder, staged, table, with_python
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
-MASK = (1 << 64) - 1
 
 
 @dataclass(frozen=True)
 class Options:
     """Two documents are linked from `percent` similarity on. Sketches have `registers` (a power of
     two) of base `base`, in bands of `rows`. A pair is dropped when its likelihood at any similarity
-    from `percent` on is less than exp(-`doubt`) of the best. `leaders` members of a bucket are
-    compared per round, with at most about `block` members per task."""
+    from `percent` on is less than exp(-`doubt`) of the best. `leaders` members of a cluster are
+    compared per round, with about `block` members per task."""
 
     words: int = 5
     percent: int = 80
@@ -249,14 +249,13 @@ def register_rows(column) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint16).reshape(len(values), -1)
 
 
-def bucket_links(options: Options):
-    """A function that compares the leaders of one block of a bucket with its members."""
+def cluster_links(options: Options):
+    """A function that compares the leaders in one block of a cluster with its members."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.reset_index(drop=True)
         registers = np.frombuffer(b"".join(group.registers), np.uint16).reshape(len(group), -1)
         bands = registers.reshape(len(group), -1, options.rows)
-        band = int(group.band.iat[0])
         sets: dict[int, np.ndarray] = {}
 
         def set_of(k):
@@ -270,11 +269,10 @@ def bucket_links(options: Options):
         members = np.flatnonzero(~lead)
         out = []
         for k in np.flatnonzero(lead):
-            # Two leaders meet twice; a pair that shares an earlier band is compared there.
+            # Two leaders meet twice, once is enough.
             some = members[(comp[members] != comp[k])
                            & (~is_leader[members] | (node[members] > node[k]))]
-            earlier = (bands[some, :band] == bands[k, :band]).all(axis=2).any(axis=1)
-            some = some[~earlier]
+            some = some[(bands[some] == bands[k]).all(axis=2).any(axis=1)]
             if len(some):
                 some = some[plausible(
                     np.broadcast_to(registers[k], (len(some), registers.shape[1])),
@@ -298,54 +296,62 @@ def first_leaders(buckets: DataFrame) -> DataFrame:
     )
 
 
-def apart(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The rows of buckets that hold more than one component, with `comp`."""
-    rows = buckets.withColumn("comp", F.col("node")) if labels is None else buckets.join(
-        labels, "node", "left"
-    ).withColumn("comp", F.coalesce("component", "node")).drop("component")
-    rows = staged(rows)
-    mixed_keys = rows.groupBy("key").agg(
-        F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")
-    ).where("low <> high").select("key", "size")
-    return rows.join(mixed_keys, "key")
+def apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component: `key, node, n, comp, cluster`. A
+    bucket belongs to the cluster of the component that has most members in it."""
+    rows = staged(buckets.join(labels, "node", "left").withColumn(
+        "comp", F.coalesce("component", "node")
+    ).drop("component"))
+    clusters = rows.groupBy("key", "comp").agg(F.count("*").alias("part")).groupBy("key").agg(
+        F.max_by("comp", F.struct("part", -F.col("comp"))).alias("cluster"),
+        F.count("*").alias("parts"),
+    ).where("parts > 1").drop("parts")
+    return staged(rows.join(clusters, "key"))
 
 
-def links_between(members: DataFrame, buckets: DataFrame, options: Options) -> DataFrame | None:
-    """`node, component` over all links among the members of `buckets` (`key, band, node`)."""
+def links_between(members: DataFrame, buckets: DataFrame, options: Options) -> DataFrame:
+    """`node, component` over all links among the members of `buckets` (`key, node, n`)."""
     hubs = first_leaders(buckets)
-    pairs = buckets.join(hubs, "key").where(F.col("node") != F.col("leader")).select(
+    rest = staged(buckets.join(hubs, "key").where(F.col("node") != F.col("leader")))
+    pairs = rest.select(
         F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")
     ).distinct()
-    labels = staged(components(confirmed_pairs(pairs, members, options)))
-    rest = buckets.join(hubs, "key").where(F.col("node") != F.col("leader")).drop("leader")
+    labels = components(confirmed_pairs(pairs, members, options))
+    rest = rest.drop("leader")
     while True:
-        active = staged(apart(rest, labels))
+        active = apart(rest, labels)
         if active.isEmpty():
             return labels
-        # Leaders come from the components with fewest members in the bucket.
-        parts = active.groupBy("key", "comp").agg(F.count("*").alias("part"))
-        order = Window.partitionBy("key").orderBy("part", "node")
-        leaders = staged(active.join(parts, ["key", "comp"]).withColumn(
+        # Of each cluster, what is not in its component leads, smallest components first. Members
+        # travel once per cluster, not once per bucket.
+        nodes = active.select("cluster", "node", "n", "comp").distinct()
+        parts = nodes.groupBy("cluster", "comp").agg(F.count("*").alias("part"))
+        order = Window.partitionBy("cluster").orderBy("part", "node")
+        leaders = staged(nodes.where("comp <> cluster").join(parts, ["cluster", "comp"]).withColumn(
             "rank", F.row_number().over(order)
-        ).where(F.col("rank") <= options.leaders).select("key", "node", "comp", "band", "size"))
-        blocks = F.ceil(F.col("size") / options.block).cast("int")
-        rows = active.select(
-            "key", "band", "node", "comp",
-            F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"),
+        ).where(F.col("rank") <= options.leaders).select("cluster", "node", "comp"))
+        # A block is bounded by its members and by the size of their sets.
+        sizes = nodes.groupBy("cluster").agg(F.ceil(
+            (F.count("*") + F.sum("n") / 1000) / options.block
+        ).cast("int").alias("blocks"))
+        rows = nodes.join(sizes, "cluster").select(
+            "cluster", "node", "comp",
+            F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"),
             F.lit(False).alias("lead"),
-        ).unionByName(leaders.select(
-            "key", "band", "node", "comp",
-            F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("lead"),
+        ).unionByName(leaders.join(sizes, "cluster").select(
+            "cluster", "node", "comp",
+            F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+            F.lit(True).alias("lead"),
         ))
-        found = rows.join(members, "node").groupBy("key", "block").applyInPandas(
-            bucket_links(options), "a long, b long"
+        found = rows.join(members, "node").groupBy("cluster", "block").applyInPandas(
+            cluster_links(options), "a long, b long"
         )
         stars = labels.where("node <> component").select(
             F.col("node").alias("a"), F.col("component").alias("b")
         )
-        labels = staged(components(stars.unionByName(found)))
-        rest = active.join(leaders.select("key", "node"), ["key", "node"], "left_anti").select(
-            "key", "band", "node"
+        labels = components(stars.unionByName(found))
+        rest = active.join(leaders.select("cluster", "node"), ["cluster", "node"], "left_anti").select(
+            "key", "node", "n"
         )
 
 
@@ -364,12 +370,12 @@ def near_duplicates(
         F.any_value("registers").alias("registers"),
     ).withColumn("node", F.monotonically_increasing_id()))
     width = 2 * options.rows
-    bands = classes.select("node", F.posexplode(F.transform(
+    bands = classes.select("node", "n", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(options.registers // options.rows - 1)),
         lambda j: F.xxhash64(F.substring("registers", j * width + 1, F.lit(width)), j),
-    )).alias("band", "key"))
+    )).alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    buckets = staged(bands.join(shared, "key", "left_semi").select("key", "band", "node"))
+    buckets = staged(bands.join(shared, "key", "left_semi").select("key", "node", "n"))
     # The texts of the candidates, by the smallest id of each class.
     wanted = buckets.select("node").distinct().join(classes, "node")
     path = fresh_folder(spark, "candidates")
