@@ -46,6 +46,10 @@ RULES_SQL = [
     ("due_date_before_invoice_date", "error", "due_date", DUE_SQL),
     ("invalid_currency", "warning", "currency", CURRENCY_SQL),
 ]
+# The rules and fields of a record's issues, sorted, as one text.
+RULE_NAMES_SQL = "array_to_string(list_sort(list_filter([" + ", ".join(
+    f"CASE WHEN ({m}) IS NOT NULL THEN '{r}:{f}' END" for r, _, f, m in RULES_SQL
+) + "], lambda x: x IS NOT NULL)), '|')"
 COLUMNS = ("document_id", "rule", "severity", "field", "message")
 
 
@@ -318,12 +322,77 @@ flags AS (
 SELECT document_id, tenant_id, attempt_no, escalated, false AS pending, confidence,
   {STATUS_SQL} AS status, n_errors,
   n_warnings + CASE WHEN dup THEN 1 ELSE 0 END + CASE WHEN unk THEN 1 ELSE 0 END AS n_warnings,
-  dup AS is_duplicate, unk AS unknown_supplier
+  dup AS is_duplicate, unk AS unknown_supplier, CAST(NULL AS VARCHAR) AS error
 FROM flags""")
 def trust_flow(t):
     return plan.trust_flow(b.answers(t), b.pages(t), b.suppliers(t))
 
 
+def broken_answers(t):
+    """Answers of which some are no record, in the first or second attempt, or still to come."""
+    rows = b.answers(t)
+    first, k = F.col("attempt_no") == 1, F.col("k")
+    raw = F.when(first & (k % 13 == 0), "not json").when(~first & (k % 11 == 0), "[]")
+    return rows.where(first | (k % 17 != 3)).withColumn("raw", F.coalesce(raw, F.col("raw")))
+
+
+@query("trust_outcomes", WITH_ANS + f""",
+tries2 AS (
+  SELECT o.document_id, o.k, o.suspect, f.confidence, f.attempt_no
+  FROM judged o JOIN final f ON f.document_id = o.document_id WHERE o.attempt_no = 1)
+SELECT document_id, CASE WHEN k % 13 = 0 THEN 'failed' WHEN NOT suspect THEN {STATUS_SQL}
+    WHEN k % 17 = 3 THEN 'extracted' WHEN k % 11 = 0 THEN 'failed' ELSE {STATUS_SQL} END AS status,
+  k % 13 <> 0 AND suspect AND k % 17 = 3 AS pending,
+  CASE WHEN k % 13 = 0 OR NOT suspect OR k % 17 = 3 THEN 1 ELSE 2 END AS attempt_no,
+  CASE WHEN k % 13 = 0 OR (suspect AND (k % 17 = 3 OR k % 11 = 0)) THEN NULL ELSE confidence END AS confidence,
+  k % 13 = 0 OR (suspect AND k % 17 <> 3 AND k % 11 = 0) AS has_error
+FROM tries2""")
+def trust_outcomes(t):
+    return plan.trust_flow(broken_answers(t), b.pages(t), b.suppliers(t)).select(
+        "document_id", "status", "pending", "attempt_no", "confidence",
+        F.col("error").isNotNull().alias("has_error"),
+    )
+
+
+@query("failed_answers", WITH_ANS + """
+SELECT extraction_id, document_id, attempt_no FROM judged
+WHERE (attempt_no = 1 AND k % 13 = 0) OR (attempt_no = 2 AND k % 11 = 0 AND k % 17 <> 3)""")
+def failed_answers(t):
+    return plan.failed_answers(broken_answers(t)).select("extraction_id", "document_id", "attempt_no")
+
+
+EXTRACTION_ISSUES = (
+    ("e_supplier", "missing_required_field", "error", "supplier"),
+    ("e_number", "missing_required_field", "error", "invoice_number"),
+    ("e_date", "missing_required_field", "error", "invoice_date"),
+    ("e_lines", "line_items_subtotal_mismatch", "error", "subtotal"),
+    ("e_total", "total_mismatch", "error", "total"),
+    ("e_due", "due_date_before_invoice_date", "error", "due_date"),
+    ("w_currency", "invalid_currency", "warning", "currency"),
+    ("w_items", "unparseable_field", "warning", "line_items"),
+    ("w_number", "unparseable_field", "warning", "invoice_number"),
+    ("w_date", "unparseable_field", "warning", "invoice_date"),
+    ("w_tax", "unparseable_field", "warning", "tax"),
+)
+
+
+@query("extraction_issues", WITH_ANS + "," + b.SUPPLIERS_SQL + " UNION ALL ".join(
+    f"SELECT extraction_id, document_id, '{rule}' AS rule, '{severity}' AS severity, '{field}' AS field "
+    f"FROM judged WHERE {flag} = 1" for flag, rule, severity, field in EXTRACTION_ISSUES)
+    + """ UNION ALL SELECT extraction_id, document_id, 'unknown_supplier', 'warning', 'supplier' FROM judged
+WHERE supplier <> '' AND NOT EXISTS (SELECT 1 FROM known WHERE known.tenant_id = judged.tenant_id
+  AND lower(known.name) = lower(trim(judged.supplier)))""")
+def extraction_issues(t):
+    """The issue table over both attempts: what was dropped, the rules, unknown suppliers."""
+    rows = checked(t)
+    columns = ("extraction_id", "document_id", "rule", "severity", "field")
+    unknown = cross.unknown_suppliers(plan.targets_of(rows), b.suppliers(t)).select(
+        "extraction_id", "document_id", F.lit("unknown_supplier").alias("rule"),
+        F.lit("warning").alias("severity"), F.lit("supplier").alias("field"),
+    )
+    return plan.record_issues(rows).select(*columns).unionByName(unknown)
+
+
 @query("confidence_write_back", WITH_ANS + " UNION ALL ".join(
     f"SELECT j.extraction_id, '{f}' AS field, CASE WHEN f.extraction_id IS NOT NULL THEN "
     f"(f.{c} + CASE WHEN f.escalated THEN 0 ELSE 1 END) / 4e0 END AS confidence "

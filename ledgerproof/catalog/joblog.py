@@ -84,19 +84,26 @@ def _folded(t):
 FOLD_SQL = "WITH " + JOBS_SQL + f""",
 failures AS (SELECT document_id, stage, created_at, event_id, event_id % 97 = 0 AS rejected
   FROM jobs WHERE status = 'failed'),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY document_id, stage ORDER BY created_at, event_id) AS rn
-  FROM failures WHERE NOT rejected),
-counted AS (SELECT document_id, stage, max(rn) AS attempts, max(created_at) AS at_
-  FROM ranked WHERE rn <= 5 GROUP BY document_id, stage),
-refused AS (SELECT DISTINCT document_id, stage FROM failures WHERE rejected),
+lived AS (
+  -- In order of time: how often a job had failed when this row was written, and whether it had
+  -- been rejected by then.
+  SELECT *, sum(CASE WHEN rejected THEN 0 ELSE 1 END) OVER w AS failed_so_far,
+    max(CASE WHEN rejected THEN 1 ELSE 0 END) OVER w AS rejected_by_now
+  FROM failures
+  WINDOW w AS (PARTITION BY document_id, stage ORDER BY created_at, event_id ROWS UNBOUNDED PRECEDING)),
+counted AS (
+  SELECT document_id, stage,
+    count(*) FILTER (NOT rejected AND rejected_by_now = 0 AND failed_so_far <= 5) AS attempts,
+    max(created_at) FILTER (NOT rejected AND rejected_by_now = 0 AND failed_so_far <= 5) AS at_,
+    max(rejected_by_now) AS rejected
+  FROM lived GROUP BY document_id, stage),
 folded AS (
-  SELECT coalesce(c.document_id, r.document_id) AS document_id, coalesce(c.stage, r.stage) AS stage,
-    coalesce(attempts, 0) AS attempts,
-    CASE WHEN r.stage IS NOT NULL OR attempts >= 5 THEN 'failed' ELSE 'queued' END AS job_status,
-    CASE WHEN r.stage IS NOT NULL THEN 'rejected' WHEN attempts >= 5 THEN 'failed' END AS document_status,
-    CASE WHEN r.stage IS NULL AND attempts < 5 THEN
+  SELECT document_id, stage, CAST(attempts AS INTEGER) AS attempts,
+    CASE WHEN attempts >= 5 OR rejected = 1 THEN 'failed' ELSE 'queued' END AS job_status,
+    CASE WHEN attempts >= 5 THEN 'failed' WHEN rejected = 1 THEN 'rejected' END AS document_status,
+    CASE WHEN attempts < 5 AND rejected = 0 THEN
       strftime(at_ + to_seconds(CAST(10 * pow(2, greatest(attempts - 1, 0)) AS BIGINT)), '{STAMP}') END AS next_run_at
-  FROM counted c FULL OUTER JOIN refused r ON r.document_id = c.document_id AND r.stage = c.stage)
+  FROM counted)
 """
 
 

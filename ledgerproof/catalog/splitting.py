@@ -125,19 +125,50 @@ def text_parts(t):
 
 
 @query("document_text", PAGES_SQL + """
-SELECT document_id, CASE WHEN max(page_no) <= 25 THEN string_agg(
-    '--- Page ' || page_no || ' (' || text_source || ') ---' || chr(10) || text,
-    chr(10) || chr(10) ORDER BY page_no) END AS document_text, max(page_no) > 25 AS too_long
-FROM pg GROUP BY document_id""")
+SELECT document_id, string_agg('--- Page ' || page_no || ' (' || text_source || ') ---' || chr(10) || text,
+  chr(10) || chr(10) ORDER BY page_no) AS document_text FROM pg GROUP BY document_id""")
 def document_text(t):
     return pg.document_text(pages(t))
 
 
-@query("classify_input", PAGES_SQL + """
-SELECT document_id, CASE WHEN max(page_no) <= 25 THEN string_agg(
-    '--- Page ' || page_no || ' ---' || chr(10) || left(text, 2000),
-    chr(10) || chr(10) ORDER BY page_no) END AS classify_text, max(page_no) > 25 AS too_long
+def long_pages(t):
+    """Sixteen conversations bound into one document: far more pages than an upload may have."""
+    turns = F.col("conv_id") % 16 * 100 + F.col("turn") + 1
+    return t.conversations.select(
+        F.concat(F.lit("B"), F.floor(F.col("conv_id") / 16)).alias("document_id"),
+        turns.cast("int").alias("page_no"),
+        F.when(F.col("turn") % 4 == 3, "ocr").otherwise("text_layer").alias("text_source"), "text",
+    )
+
+
+LONG_SQL = """
+WITH pg AS (
+  SELECT 'B' || (conv_id // 16) AS document_id, CAST(conv_id % 16 * 100 + turn + 1 AS INTEGER) AS page_no,
+    CASE WHEN turn % 4 = 3 THEN 'ocr' ELSE 'text_layer' END AS text_source, text FROM conversations)
+"""
+
+
+@query("long_document_text", LONG_SQL + """
+SELECT document_id, count(*) AS n_pages, md5(string_agg(
+    '--- Page ' || page_no || ' (' || text_source || ') ---' || chr(10) || text,
+    chr(10) || chr(10) ORDER BY page_no)) AS text_md5,
+  md5(string_agg('--- Page ' || page_no || ' ---' || chr(10) || left(text, 2000),
+    chr(10) || chr(10) ORDER BY page_no)) AS classify_md5
 FROM pg GROUP BY document_id""")
+def long_document_text(t):
+    bound = long_pages(t)
+    return (
+        pg.document_text(bound)
+        .join(pg.classify_input(bound), "document_id")
+        .join(pg.document_stats(bound), "document_id")
+        .select("document_id", F.col("page_count").alias("n_pages"),
+                F.md5("document_text").alias("text_md5"), F.md5("classify_text").alias("classify_md5"))
+    )
+
+
+@query("classify_input", PAGES_SQL + """
+SELECT document_id, string_agg('--- Page ' || page_no || ' ---' || chr(10) || left(text, 2000),
+  chr(10) || chr(10) ORDER BY page_no) AS classify_text FROM pg GROUP BY document_id""")
 def classify_input(t):
     return pg.classify_input(pages(t))
 

@@ -37,34 +37,36 @@ def next_run_at(failed_at: Column, attempts: Column, settings: Settings = DEFAUL
 def fold_failures(failures: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """State of every failed (document_id, stage) after its failures.
 
-    `failures` has `document_id, stage, failed_at, event_id, rejected`. A job
-    is out of retries at the failure that reaches `max_attempts`; failures
-    logged after it are not counted. The rank filter runs before the shuffle,
-    so a job with very many failure rows sends a handful per task. A security
-    rejection ends a job at once and is not counted as an attempt.
+    `failures` has `document_id, stage, failed_at, event_id, rejected`. A job ends at its first
+    security rejection, which is no attempt, or at the failure that reaches `max_attempts`,
+    whichever comes first; what is logged after that is not counted. The rank filter runs before
+    the shuffle, so a job with very many failure rows sends a handful per task.
     """
     key = ["document_id", "stage"]
     order = Window.partitionBy(*key).orderBy("failed_at", "event_id")
+    at = F.struct("failed_at", "event_id")
     counted = (
         failures.where(~F.col("rejected"))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= settings.max_attempts)
         .groupBy(*key)
-        .agg(F.max("rank").alias("attempts"), F.max("failed_at").alias("last_failed_at"))
+        .agg(F.array_sort(F.collect_list(at)).alias("first"))
     )
-    refused = failures.where("rejected").groupBy(*key).agg(F.min("failed_at").alias("rejected_at"))
-    both = counted.join(refused, key, "full_outer")
-    is_refused = F.col("rejected_at").isNotNull()
-    attempts = F.coalesce("attempts", F.lit(0))
+    refused = failures.where("rejected").groupBy(*key).agg(F.min(at).alias("rejected_at"))
+    before = F.filter(
+        "first", lambda x: F.col("rejected_at").isNull() | (x < F.col("rejected_at"))
+    )
+    both = counted.join(refused, key, "full_outer").withColumn("counted", before)
+    attempts = F.greatest(F.coalesce(F.size("counted"), F.lit(0)), F.lit(0))
     dead = attempts >= settings.max_attempts
+    refused_first = F.col("rejected_at").isNotNull() & ~dead
+    last = F.get("counted", attempts - 1)["failed_at"]
     return both.select(
         *key,
         attempts.alias("attempts"),
-        F.when(is_refused | dead, "failed").otherwise("queued").alias("job_status"),
-        F.when(is_refused, "rejected").when(dead, "failed").alias("document_status"),
-        F.when(~is_refused & ~dead, next_run_at(F.col("last_failed_at"), attempts, settings)).alias(
-            "next_run_at"
-        ),
+        F.when(refused_first | dead, "failed").otherwise("queued").alias("job_status"),
+        F.when(refused_first, "rejected").when(dead, "failed").alias("document_status"),
+        F.when(~refused_first & ~dead, next_run_at(last, attempts, settings)).alias("next_run_at"),
     )
 
 

@@ -86,32 +86,18 @@ def text_parts(pages: DataFrame) -> DataFrame:
     return pages.withColumn("part", F.concat(header, F.col("text")))
 
 
-def _assemble(pages: DataFrame, part: Column, out: str, settings: Settings) -> DataFrame:
-    """Join the parts per document.
-
-    The upload gate refuses documents over `max_pages`, so at most that many
-    parts are gathered per document. A longer one that still turns up is kept
-    as a row with `too_long` set and no text, exactly as the gate treats it.
-    """
-    within = F.col("page_no") <= settings.max_pages
+def _assemble(pages: DataFrame, part: Column, out: str) -> DataFrame:
+    """Join all parts of each document in page order. The group is one document."""
     grouped = pages.groupBy("document_id").agg(
-        F.collect_list(F.when(within, F.struct("page_no", part.alias("part")))).alias("parts"),
-        F.max("page_no").alias("last_page"),
-    )
-    too_long = F.col("last_page") > settings.max_pages
-    joined = F.array_join(
-        F.transform(F.array_sort("parts"), lambda p: p["part"]), "\n\n"
-    )
-    return grouped.select(
-        "document_id",
-        F.when(~too_long, joined).alias(out),
-        too_long.alias("too_long"),
+        F.collect_list(F.struct("page_no", part.alias("part"))).alias("parts")
     )
+    joined = F.array_join(F.transform(F.array_sort("parts"), lambda p: p["part"]), "\n\n")
+    return grouped.select("document_id", joined.alias(out))
 
 
-def document_text(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+def document_text(pages: DataFrame) -> DataFrame:
     """The text shown to the extraction model, one row per document."""
-    return _assemble(text_parts(pages), F.col("part"), "document_text", settings)
+    return _assemble(text_parts(pages), F.col("part"), "document_text")
 
 
 def classify_input(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -124,7 +110,7 @@ def classify_input(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame
         F.lit("--- Page "), F.col("page_no"), F.lit(" ---\n"),
         F.left(F.col("text"), F.lit(settings.classify_chars)),
     )
-    return _assemble(pages, part, "classify_text", settings)
+    return _assemble(pages, part, "classify_text")
 
 
 def own_pages(documents: DataFrame, pages: DataFrame) -> DataFrame:

@@ -229,10 +229,12 @@ def field_values_wide(field_values: DataFrame) -> DataFrame:
 
 
 def model_cost(calls: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Add `cost_usd` from `tier`, `input_tokens` and `output_tokens`."""
-    strong = F.col("tier") == "strong"
-    price_in = F.when(strong, settings.strong_price_in).otherwise(settings.cheap_price_in)
-    price_out = F.when(strong, settings.strong_price_out).otherwise(settings.cheap_price_out)
+    """Add `cost_usd` from `tier`, `input_tokens` and `output_tokens`; null for an unknown tier."""
+    tier = F.col("tier")
+    price_in = F.when(tier == "strong", settings.strong_price_in).when(
+        tier == "cheap", settings.cheap_price_in)
+    price_out = F.when(tier == "strong", settings.strong_price_out).when(
+        tier == "cheap", settings.cheap_price_out)
     tokens_in = F.coalesce("input_tokens", F.lit(0))
     tokens_out = F.coalesce("output_tokens", F.lit(0))
     return calls.withColumn(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerproof.config import DEFAULTS, DOCUMENT_STATUSES, NUMBER_FIELDS, TERMINAL_STATUSES, Settings
-from ledgerproof.functions.coerce import number_from_text
-from ledgerproof.functions.text import strip_u
+from pyspark.sql.window import Window
+
+from ledgerproof.config import ALL_FIELDS, DEFAULTS, NUMBER_FIELDS, TERMINAL_STATUSES, Settings
+from ledgerproof.operators.ingest import approved_outbox
 
 
 def list_documents(
@@ -54,32 +55,23 @@ def latest_jobs(jobs: DataFrame) -> DataFrame:
 
 def document_detail(
     documents: DataFrame, pages: DataFrame, latest: DataFrame, field_values: DataFrame,
-    issues: DataFrame, jobs: DataFrame, settings: Settings = DEFAULTS,
+    issues: DataFrame, jobs: DataFrame,
 ) -> DataFrame:
     """One nested row per document with its parts.
 
-    `latest` has `document_id, extraction_id, model, attempt_no, raw`. Lists are
-    gathered per document: pages and children within the page limit of the
-    upload gate, fields up to nine. The gate refuses longer documents; should
-    one turn up, its lists are null and its counts still right. Issues are
-    listed by `issue_rows`; here they are counted by severity, as their number
-    has no bound.
+    `latest` has `document_id, extraction_id` and whatever of the latest extraction is to be shown
+    (`model, attempt_no, data, tokens, cost_usd, latency_ms`). Lists are whole: the pages and
+    children of one document, the fields and issues of one extraction (at most a few per field,
+    line item and rule).
     """
-    limit = settings.max_pages
-
-    def bounded(value, at):
-        """The list of values up to the limit; none at all if some lie beyond."""
-        kept = F.array_sort(F.collect_list(F.when(F.col(at) <= limit, value)))
-        return F.when(F.max(at) <= limit, kept)
-
     page_list = pages.groupBy("document_id").agg(
-        bounded(F.struct("page_no", "text_source", "image_key"), "page_no").alias("pages"),
+        F.array_sort(F.collect_list(F.struct("page_no", "text_source", "image_key"))).alias("pages"),
         F.count("*").alias("n_pages"),
     )
     children = documents.where(F.col("split_from_document_id").isNotNull()).groupBy(
         F.col("split_from_document_id").alias("document_id")
     ).agg(
-        bounded(F.col("id"), "page_start").alias("child_document_ids"),
+        F.array_sort(F.collect_list("id")).alias("child_document_ids"),
         F.count("*").alias("n_children"),
     )
     fields = field_values.groupBy("extraction_id").agg(
@@ -87,7 +79,10 @@ def document_detail(
             F.collect_list(F.struct("field", "value", "page_no", "bbox", "confidence"))
         ).alias("fields")
     )
-    counts = issues.groupBy("extraction_id").agg(
+    found = issues.groupBy("extraction_id").agg(
+        F.array_sort(
+            F.collect_list(F.struct("field", "rule", "severity", "message"))
+        ).alias("issues"),
         F.count_if(F.col("severity") == "error").alias("n_errors"),
         F.count_if(F.col("severity") == "warning").alias("n_warnings"),
     )
@@ -101,7 +96,15 @@ def document_detail(
         .join(latest, "document_id", "left")
         .join(job, "document_id", "left")
         .join(fields, "extraction_id", "left")
-        .join(counts, "extraction_id", "left")
+        .join(found, "extraction_id", "left")
+    )
+
+
+def page_images(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """The image key of each asked page (`document_id, page_no`); null where there is none."""
+    keys = ["document_id", "page_no"]
+    return asked.join(pages.select(*keys, "image_key"), keys, "left").select(
+        *keys, "image_key", F.col("image_key").isNotNull().alias("found")
     )
 
 
@@ -129,15 +132,36 @@ def bbox_percent(bbox: Column, width: Column, height: Column) -> Column:
     )
 
 
-def _class(field: Column, value: Column) -> Column:
-    """Values are compared within their kind: numbers as doubles, text exactly."""
-    return F.when(field.isin(*NUMBER_FIELDS), value.try_cast("double"))
+# How a browser reads a number, and its white space.
+DECIMAL = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+FORM_SPACE = "[\\t-\\r \\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+
+
+def form_number(text: Column) -> Column:
+    """The number that a trimmed form entry means, null if it is none: decimal, or digits after 0x,
+    0o or 0b."""
+    decimal = F.when(text.rlike(rf"\A{DECIMAL}\z"), text.try_cast("double"))
+    endless = F.when(
+        text.rlike(r"\A[+-]?Infinity\z"),
+        F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))),
+    )
+
+    def based(pattern: str, base: int) -> Column:
+        digits = F.filter(F.split(F.substring(F.lower(text), 3, 1 << 30), ""), lambda d: d != "")
+        return F.when(text.rlike(rf"\A0{pattern}+\z"), F.aggregate(
+            digits, F.lit(0.0), lambda total, d: total * base + F.instr(F.lit("0123456789abcdef"), d) - 1
+        ))
+
+    return F.coalesce(
+        decimal, endless, based("[xX][0-9a-fA-F]", 16), based("[oO][0-7]", 8), based("[bB][01]", 2)
+    )
 
 
 def same_value(field: Column, old: Column, new: Column) -> Column:
-    a, b = _class(field, old), _class(field, new)
-    numeric = a.isNotNull() & b.isNotNull()
-    return F.when(numeric, a == b).otherwise(old.eqNullSafe(new))
+    """Numbers in number fields are equal as doubles, everything else as text."""
+    number = field.isin(*NUMBER_FIELDS)
+    a, b = F.when(number, form_number(old)), F.when(number, form_number(new))
+    return F.when(a.isNotNull() & b.isNotNull(), a == b).otherwise(old.eqNullSafe(new))
 
 
 def effective_corrections(
@@ -145,25 +169,37 @@ def effective_corrections(
 ) -> DataFrame:
     """Corrections that change something: existing field, different value.
 
-    Joined to the document's latest extraction, with `old_value`.
+    `corrections` has `seq`, the order they came in. Each is compared with what the one before it
+    left, so `old_value` and `new_value` of a field form a chain.
     """
     asked = corrections.join(latest.select("document_id", "extraction_id"), "document_id")
-    current = field_values.select("extraction_id", "field", F.col("value").alias("old_value"))
-    return asked.join(current, ["extraction_id", "field"]).where(
-        ~same_value(F.col("field"), F.col("old_value"), F.col("new_value"))
+    current = field_values.select("extraction_id", "field", F.col("value").alias("first_value"))
+    order = Window.partitionBy("extraction_id", "field").orderBy("seq")
+    # An unchanged value leaves what the one before it left, so looking one back is enough.
+    return (
+        asked.join(current, ["extraction_id", "field"])
+        .withColumn("nth", F.row_number().over(order))
+        .withColumn("before", F.lag("new_value").over(order))
+        .withColumn(
+            "old_value",
+            F.when(F.col("nth") == 1, F.col("first_value")).otherwise(F.col("before")),
+        )
+        .where(~same_value(F.col("field"), F.col("old_value"), F.col("new_value")))
+        .drop("nth", "before", "first_value")
     )
 
 
 def correction_audit(effective: DataFrame) -> DataFrame:
     return effective.select(
-        "document_id", "extraction_id", "field", "old_value", "new_value", "reviewer"
+        "document_id", "extraction_id", "field", "seq", "old_value", "new_value", "reviewer"
     )
 
 
 def apply_corrections(field_values: DataFrame, effective: DataFrame) -> DataFrame:
-    """New field values: changed ones replaced and fully trusted."""
-    changed = effective.select(
-        "extraction_id", "field", "new_value", F.lit(True).alias("changed")
+    """New field values: the last correction of each field counts and is fully trusted."""
+    changed = effective.groupBy("extraction_id", "field").agg(
+        F.max_by(F.struct("new_value"), "seq")["new_value"].alias("new_value"),
+        F.lit(True).alias("changed"),
     )
     hit = F.coalesce("changed", F.lit(False))
     return (
@@ -174,6 +210,41 @@ def apply_corrections(field_values: DataFrame, effective: DataFrame) -> DataFram
     )
 
 
+def corrected_data(field_values: DataFrame, latest: DataFrame) -> DataFrame:
+    """`document_id, data`: the field values of each document's latest extraction as one struct, for
+    its event. Numbers are numbers."""
+    names = [*ALL_FIELDS, "line_items"]
+
+    def typed(f):
+        value = F.max(F.when(F.col("field") == f, F.col("value")))
+        return form_number(value) if f in NUMBER_FIELDS else value
+
+    return latest.select("document_id", "extraction_id").join(field_values, "extraction_id").groupBy(
+        "document_id"
+    ).agg(*[typed(f).alias(f) for f in names]).select("document_id", F.struct(*names).alias("data"))
+
+
+def submit_corrections(
+    documents: DataFrame, corrections: DataFrame, latest: DataFrame, field_values: DataFrame,
+    reviewed: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A review round as one flow: the new field values, the audit rows, the documents (reviewed
+    ones approved), and an event per document approved here, with its data as corrected.
+
+    `reviewed` has the `document_id` of every submitted review, also those without a correction; by
+    default those of the corrections.
+    """
+    reviewed = corrections if reviewed is None else reviewed
+    effective = effective_corrections(corrections, latest, field_values)
+    values = apply_corrections(field_values, effective)
+    approved = approve_corrected(documents, reviewed, latest)
+    done = approved.join(
+        reviewed.select(F.col("document_id").alias("id")).distinct(), "id", "left_semi"
+    )
+    events = approved_outbox(done, corrected_data(values, latest))
+    return values, correction_audit(effective), approved, events
+
+
 def approve_corrected(
     documents: DataFrame, reviewed: DataFrame, latest: DataFrame
 ) -> DataFrame:
@@ -193,15 +264,16 @@ def approve_corrected(
     )
 
 
-def type_correction(field: Column, entered: Column) -> Column:
-    """What an edited form value means: blank is null, numbers in number fields.
-
-    Gives the text to store; a number is written the way a double prints, and
-    text that is no number stays as it is.
-    """
-    text = strip_u(entered)
-    number = F.when(field.isin(*NUMBER_FIELDS), number_from_text(text))
-    return F.when(text != "", F.coalesce(number.cast("string"), text))
+def type_correction(original_is_number: Column, entered: Column) -> Column:
+    """What an edited form value means, as the text to store: blank is null; where the original
+    value is a number, what a browser reads as one is written the way a double prints, and an
+    endless one is null, as JSON has none; other text stays as it is."""
+    text = F.regexp_replace(
+        entered, rf"\A{FORM_SPACE}+|(?<!{FORM_SPACE}){FORM_SPACE}+\z", ""
+    )
+    number = F.when(original_is_number, form_number(text))
+    finite = F.when(F.abs(number) < float("inf"), number.cast("string"))
+    return F.when(text != "", F.when(number.isNotNull(), finite).otherwise(text))
 
 
 def status_counts(documents: DataFrame) -> DataFrame:
@@ -210,8 +282,3 @@ def status_counts(documents: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n_documents"))
         .withColumn("is_terminal", F.col("status").isin(*TERMINAL_STATUSES))
     )
-
-
-def check_statuses(documents: DataFrame) -> DataFrame:
-    """Rows whose status is not one of the known ones."""
-    return documents.where(~F.col("status").isin(*DOCUMENT_STATUSES))

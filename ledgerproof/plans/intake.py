@@ -27,10 +27,19 @@ def intake(
     uploads: DataFrame, documents: DataFrame, settings: Settings = DEFAULTS
 ) -> tuple[DataFrame, DataFrame]:
     """New document rows, and the refused uploads with their reasons."""
-    gated = upload_gate(uploads, settings)
+    return admit(gate(uploads, settings), documents)
+
+
+def gate(uploads: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """The gate's verdict and the hash of each upload, without its bytes."""
+    hashed = content_hash(upload_gate(uploads, settings))
+    return hashed.withColumn("file_hash", F.when(F.col("accepted"), F.col("file_hash"))).drop("content")
+
+
+def admit(gated: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New document rows, and the refused uploads with their reasons, from gated uploads."""
     refused = gated.where(~F.col("accepted")).select("upload_id", "tenant_id", "reasons")
-    # The bytes are needed for nothing but the hash, so they are not shuffled.
-    passed = content_hash(gated.where("accepted")).drop("content")
+    passed = gated.where("accepted")
     first = mark_duplicates(new_uploads(passed, documents)).where(~F.col("duplicate"))
     return documents_from_uploads(storage_names(first)), refused
 

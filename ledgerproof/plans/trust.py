@@ -21,17 +21,14 @@ from ledgerproof.operators.trust import (
 from ledgerproof.session import materialise
 
 
-def check_answers(
-    answers: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS
+def check_records(
+    built: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Coerce, ground, validate and judge every answer, all attempts in one pass.
+    """Ground, validate and judge built records, all attempts in one pass.
 
-    `answers` has `extraction_id, document_id, tenant_id, attempt_no, raw,
-    review`. Answers no record can be built from are left out here; see
-    `failed_answers`. Adds `record, matches, agreements, issues, suspect,
-    reasons, signals`.
+    `built` is what `build_records` gives, without its failures. It is read twice, so a caller that
+    can should write it first. Adds `matches, agreements, issues, suspect, reasons, signals`.
     """
-    built = build_records(answers).where(F.col("build_error").isNull())
     grounded = ground_records(built, pages, settings)
     checked = validate_records(review_normalize(grounded), settings).withColumn(
         "issues", F.concat("pre_issues", "rule_issues")
@@ -39,10 +36,25 @@ def check_answers(
     return with_signals(with_escalation(with_facts(checked)))
 
 
+def check_answers(
+    answers: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """`check_records` from answers: `extraction_id, document_id, tenant_id, attempt_no, raw,
+    review`. Answers no record can be built from are left out here; see `failed_answers`.
+    """
+    return check_records(
+        build_records(answers).where(F.col("build_error").isNull()), pages, settings
+    )
+
+
 def failed_answers(answers: DataFrame) -> DataFrame:
-    """Answers no record can be built from; their jobs retry and then fail."""
-    return build_records(answers).where(F.col("build_error").isNotNull()).select(
-        "extraction_id", "document_id", "build_error"
+    """Answers no record can be built from, with the reason; their jobs retry and then fail."""
+    return failures_of(build_records(answers))
+
+
+def failures_of(built: DataFrame) -> DataFrame:
+    return built.where(F.col("build_error").isNotNull()).select(
+        "extraction_id", "document_id", "tenant_id", "attempt_no", "build_error"
     )
 
 
@@ -55,22 +67,33 @@ def targets_of(checked: DataFrame) -> DataFrame:
     )
 
 
-def record_issues(checked: DataFrame) -> DataFrame:
-    """The issues of the record checks as rows."""
-    return issue_rows(checked, "issues", "extraction_id", "document_id", "tenant_id")
+def record_issues(checked: DataFrame, stage=materialise) -> DataFrame:
+    """The issues of the record checks as rows.
+
+    The lists are written first (`stage`): a filter on the exploded list would otherwise be pushed
+    below the steps that make it, where all of them are repeated.
+    """
+    ids = ("extraction_id", "document_id", "tenant_id")
+    return issue_rows(stage(checked.select(*ids, "issues"), "issues"), "issues", *ids)
 
 
 def trust_flow(
     answers: DataFrame, pages: DataFrame, suppliers: DataFrame,
     settings: Settings = DEFAULTS, stage=materialise,
 ) -> DataFrame:
-    """One decided row per document.
+    """One row per document: decided, waiting for a second answer, or failed.
 
-    The decision depends only on the document's own answers. Its narrow result
-    is written once (`stage`), because the cross-document checks read it three
-    times: as targets, as candidates, and as the rows they are counted onto.
+    A document fails when its first answer is no record, or when it needs a second one and that is
+    none. Answers are parsed once and written (`stage`), because the record is read twice. The
+    decision depends only on the document's own answers. Its narrow result is written once too: the
+    cross-document checks read it three times, as targets, as candidates, and as the rows they are
+    counted onto.
     """
-    checked = severity_counts(check_answers(answers, pages, settings)).withColumns({
+    built = stage(build_records(answers), "records")
+    failures = failures_of(built)
+    checked = severity_counts(check_records(
+        built.where(F.col("build_error").isNull()).drop("build_error"), pages, settings
+    )).withColumns({
         "supplier": F.col("record.supplier"),
         "invoice_number": F.col("record.invoice_number"),
     })
@@ -84,11 +107,27 @@ def trust_flow(
         F.count_if(F.col("rule") == "unknown_supplier").alias("n_unknown"),
     )
     zero = F.lit(0).cast("bigint")
-    return decided.join(cross, "extraction_id", "left").select(
-        "document_id", "tenant_id", "attempt_no", "escalated", "pending", "confidence", "status",
+    second = failures.where(F.col("attempt_no") == 2).select(
+        "document_id", F.col("build_error").alias("error")
+    )
+    failed = F.col("pending") & F.col("error").isNotNull()
+    rows = decided.join(cross, "extraction_id", "left").join(second, "document_id", "left").select(
+        "document_id", "tenant_id", F.when(failed, 2).otherwise(F.col("attempt_no")).alias("attempt_no"),
+        "escalated", (F.col("pending") & ~failed).alias("pending"), "confidence",
+        F.when(failed, "failed").otherwise(F.col("status")).alias("status"),
         "n_errors",
         (F.col("n_warnings") + F.coalesce("n_duplicate", zero) + F.coalesce("n_unknown", zero))
         .alias("n_warnings"),
         (F.coalesce("n_duplicate", zero) > 0).alias("is_duplicate"),
         (F.coalesce("n_unknown", zero) > 0).alias("unknown_supplier"),
+        F.when(failed, F.col("error")).alias("error"),
     )
+    none = {c: F.lit(None).cast(rows.schema[c].dataType) for c in rows.columns}
+    return rows.unionByName(failures.where(F.col("attempt_no") == 1).select(*[
+        value.alias(c) for c, value in (none | {
+            "document_id": F.col("document_id"), "tenant_id": F.col("tenant_id"),
+            "attempt_no": F.col("attempt_no"), "escalated": F.lit(False), "pending": F.lit(False),
+            "status": F.lit("failed"), "is_duplicate": F.lit(False),
+            "unknown_supplier": F.lit(False), "error": F.col("build_error"),
+        }).items()
+    ]))

@@ -36,5 +36,5 @@ FIELD_VALUES = (
 ISSUES = "extraction_id string, field string, rule string, severity string, message string"
 SUPPLIERS = "tenant_id string, name string"
 CORRECTIONS = (
-    "document_id string, field string, new_value string, reviewer string"
+    "document_id string, field string, seq bigint, new_value string, reviewer string"
 )

@@ -50,8 +50,11 @@ def _stem(path):
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Label files (one JSON object each), with `sample`, the file's stem."""
-    files = spark.read.schema(LABEL_SCHEMA).option("multiLine", "true").json(f"{path}/*.json")
+    """Label files (one JSON object each), with `sample`, the file's stem. A malformed file is an
+    error, not a row of nulls."""
+    files = spark.read.schema(LABEL_SCHEMA).option("multiLine", "true").option(
+        "mode", "FAILFAST"
+    ).json(f"{path}/*.json")
     return files.withColumn("sample", _stem(F.col("_metadata.file_path")))
 
 

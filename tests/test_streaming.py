@@ -48,6 +48,62 @@ def test_ingest_stream_equals_batch_and_never_repeats(spark, tmp_path):
     assert spark.read.parquet(paths[1]).count() == 2
 
 
+def test_new_checkpoint_and_rerun_lose_nothing(spark, tmp_path):
+    uploads = tmp_path / "uploads"
+    documents, refused = str(tmp_path / "documents"), str(tmp_path / "refused")
+
+    def run(checkpoint):
+        flows.ingest_stream(
+            files.stream_uploads(spark, str(uploads)), documents, refused, str(tmp_path / checkpoint)
+        ).awaitTermination()
+        rows = spark.read.parquet(documents).collect()
+        assert len({(r.tenant_id, r.file_hash) for r in rows}) == len(rows)
+        return sorted(r.filename for r in rows)
+
+    put(uploads, "a", "one.pdf", b"%PDF-1.4 one")
+    assert run("first") == ["one.pdf"]
+    put(uploads, "a", "again.pdf", b"%PDF-1.4 one")
+    put(uploads, "a", "two.pdf", b"%PDF-1.4 two")
+    assert run("second") == ["one.pdf", "two.pdf"]
+    assert run("first") == ["one.pdf", "two.pdf"]
+    # A batch whose commit was lost runs again and leaves the same rows.
+    for commit in (tmp_path / "first" / "commits").glob("*1*"):
+        commit.rename(tmp_path / f"lost-{commit.name}")
+    assert run("first") == ["one.pdf", "two.pdf"]
+
+
+def test_page_facts_and_stage_stream(spark, tmp_path):
+    uploads = tmp_path / "uploads"
+    put(uploads, "a", "long.pdf", b"%PDF-1.4 long")
+    put(uploads, "a", "short.pdf", b"%PDF-1.4 short")
+
+    def facts(batch):
+        return batch.withColumn(
+            "page_count", F.when(F.col("filename") == "long.pdf", 30).otherwise(2).cast("int"))
+
+    paths = [str(tmp_path / p) for p in ("documents", "refused", "cp")]
+    flows.ingest_stream(
+        files.stream_uploads(spark, str(uploads)), *paths, page_facts=facts).awaitTermination()
+    assert [r.filename for r in spark.read.parquet(paths[0]).collect()] == ["short.pdf"]
+    (refused,) = spark.read.parquet(paths[1]).collect()
+    assert "30 pages" in refused.reasons[0]
+    out = str(tmp_path / "names")
+    for checkpoint in ("cp1", "cp2"):
+        stream = files.stream_uploads(spark, str(uploads))
+        flows.stage_stream(
+            stream, lambda rows: rows.select("filename"), out, str(tmp_path / checkpoint)
+        ).awaitTermination()
+    assert spark.read.parquet(out).count() == 4
+
+
+def test_malformed_label_is_an_error(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "bad.json").write_text('{"supplier": ')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_labels(spark, str(tmp_path)).collect()
+
+
 def test_outbox_stream(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame(
