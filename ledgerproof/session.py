@@ -33,18 +33,23 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by `spark.checkpoint.dir`.
 
-    Only a local session without the setting gets a temporary folder; on a
-    cluster a missing setting is an error, because a machine-local path would
-    be lost with its machine.
+    The setting is required: a machine-local path would be lost with its machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="ledgerproof-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
-    raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    if not folder:
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    return folder
+
+
+def with_local_folder(spark: SparkSession) -> SparkSession:
+    """Name a work folder for a session on one machine that has none, as tests and tools use.
+
+    A cluster's session is left as it is.
+    """
+    unset = not spark.conf.get("spark.checkpoint.dir", None)
+    if unset and spark.sparkContext.master.startswith("local["):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ledgerproof-"))
+    return spark
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
