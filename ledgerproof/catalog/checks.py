@@ -8,9 +8,10 @@ from ledgerproof.catalog import base as b
 from ledgerproof.catalog.core import joined, query
 from ledgerproof.config import ALL_FIELDS, DEFAULTS
 from ledgerproof.functions.issues import issue_list
-from ledgerproof.operators import cross, ground, rules, trust
-from ledgerproof.operators.record import build_records
+from ledgerproof.operators import cross, ground, review, rules, trust
+from ledgerproof.operators.record import build_records, field_values_long
 from ledgerproof.plans import trust as plan
+from ledgerproof.session import materialise
 
 FIXED = "format('{:.2f}', %s)"
 WITH_BASE = "WITH " + b.BASE_SQL
@@ -157,6 +158,32 @@ def duplicate_invoice_as_of(t):
     return cross.earlier_duplicates(targets, targets).select("document_id", "tenant_id", "other_id")
 
 
+@query("duplicate_after_correction", WITH_BASE + """,
+own AS (
+  SELECT document_id, tenant_id, lower(trim(coalesce(supplier, ''))) AS ns,
+    lower(trim(coalesce(invoice_number, ''))) AS nn FROM base
+  WHERE supplier <> '' AND invoice_number <> ''),
+now AS (
+  SELECT document_id, tenant_id, lower(trim(coalesce(supplier, ''))) AS ns,
+    CASE WHEN k % 10 = 0 THEN 'inv-1' ELSE lower(trim(coalesce(invoice_number, ''))) END AS nn FROM base)
+SELECT own.document_id, own.tenant_id, min(now.document_id) AS other_id FROM own JOIN now
+  ON now.tenant_id = own.tenant_id AND now.ns = own.ns AND now.nn = own.nn AND now.document_id <> own.document_id
+GROUP BY own.document_id, own.tenant_id""")
+def duplicate_after_correction(t):
+    """Records against the current, human-corrected values of the others."""
+    rows = b.records(t).withColumn("matches", ground.no_matches())
+    ids = rows.select("extraction_id", "document_id", "tenant_id")
+    values = field_values_long(rows).withColumn("confidence", F.lit(0.5))
+    asked = b.base(t).where(F.col("k") % 10 == 0).select(
+        "document_id", F.lit("invoice_number").alias("field"), F.lit(1).cast("bigint").alias("seq"),
+        F.lit("INV-1").alias("new_value"), F.lit("r").alias("reviewer"),
+    )
+    corrected = review.apply_corrections(values, review.effective_corrections(asked, ids, values))
+    return cross.duplicate_invoices(_targets(t), cross.current_values(ids, corrected)).select(
+        "document_id", "tenant_id", "other_id"
+    )
+
+
 @query("unknown_supplier", WITH_BASE + "," + b.SUPPLIERS_SQL + """
 SELECT document_id, tenant_id, supplier FROM base WHERE supplier <> '' AND NOT EXISTS (
   SELECT 1 FROM known WHERE known.tenant_id = base.tenant_id
@@ -223,11 +250,13 @@ def issue_profile(t):
 # --- trust decision --------------------------------------------------------
 
 def checked(t):
-    return plan.check_answers(b.answers(t), b.pages(t))
+    """Both attempts judged; the parsed answers are written once, as they are read twice."""
+    built = materialise(build_records(b.answers(t)).where(F.col("build_error").isNull()), "records")
+    return plan.check_records(built.drop("build_error"), b.pages(t))
 
 
-def final(t):
-    rows = trust.severity_counts(checked(t))
+def final(t, rows=None):
+    rows = trust.severity_counts(checked(t) if rows is None else rows)
     return trust.final_attempts(rows, "extraction_id", "tenant_id", "signals", "n_errors",
                                 "n_warnings")
 
@@ -405,7 +434,7 @@ def confidence_write_back(t):
     values = rows.select("extraction_id", F.explode(fields).alias("field")).withColumn(
         "confidence", F.lit(None).cast("double")
     )
-    return trust.write_back(values, trust.decide(final(t))).select(
+    return trust.write_back(values, trust.decide(final(t, rows))).select(
         "extraction_id", "field", "confidence"
     )
 

@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from ledgerproof.functions.issues import issue
 from ledgerproof.functions.text import fold
-from ledgerproof.operators.skew import MIN_ROWS, SHARE, heavy_keys, spread_join
 
 KEYS = ["tenant_id", "supplier_key", "number_key"]
 
@@ -50,24 +49,36 @@ def two_smallest(candidates: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_invoices(
-    targets: DataFrame, latest: DataFrame, share: float = SHARE, min_rows: int = MIN_ROWS
-) -> DataFrame:
+def current_values(extractions: DataFrame, field_values: DataFrame) -> DataFrame:
+    """The duplicate check's view of the current field values, corrections included.
+
+    `extractions` has the latest `extraction_id, document_id, tenant_id` of each document.
+    """
+    def value(f):
+        return F.max(F.when(F.col("field") == f, F.col("value"))).alias(f)
+
+    wanted = field_values.where(F.col("field").isin("supplier", "invoice_number"))
+    values = wanted.groupBy("extraction_id").agg(value("supplier"), value("invoice_number"))
+    return extractions.select("extraction_id", "document_id", "tenant_id").join(
+        values, "extraction_id"
+    )
+
+
+def duplicate_invoices(targets: DataFrame, latest: DataFrame) -> DataFrame:
     """Targets whose (supplier, number) another document of the tenant has.
 
     `targets` has `extraction_id, document_id, tenant_id, supplier,
     invoice_number`; `latest` has the current values of every document's latest
     attempt. Adds `other_id`, the smallest id among the other documents. The
-    join is one row per target whatever the size of a group of equal invoices,
-    and groups holding a large share of the targets are spread over slices.
+    join is one row per target whatever the size of a group of equal invoices.
+    Its right side has one row per key, so Spark splits a key that holds a
+    large share of the targets by itself.
     """
     usable = with_keys(
         targets.where((F.col("supplier") != "") & (F.col("invoice_number") != ""))
     )
     pairs = two_smallest(with_keys(latest))
-    counts = usable.groupBy(*KEYS).agg(F.count("*").alias("n"))
-    heavy = heavy_keys(counts, KEYS, share=share, min_rows=min_rows)
-    joined = spread_join(usable, pairs, KEYS, heavy, "inner", F.col("extraction_id"))
+    joined = usable.join(pairs, KEYS)
     other = F.when(F.col("first_id") != F.col("document_id"), F.col("first_id")).otherwise(
         F.col("second_id")
     )
@@ -78,9 +89,7 @@ def duplicate_invoices(
     )
 
 
-def earlier_duplicates(
-    targets: DataFrame, latest: DataFrame, share: float = SHARE, min_rows: int = MIN_ROWS
-) -> DataFrame:
+def earlier_duplicates(targets: DataFrame, latest: DataFrame) -> DataFrame:
     """As `duplicate_invoices`, but only documents created before the target.
 
     Both sides carry `created_at`. Looking at the earliest other document is
@@ -97,9 +106,7 @@ def earlier_duplicates(
         .groupBy(*KEYS)
         .agg(F.min("at").alias("a"), F.max(F.when(F.col("rank") == 2, F.col("at"))).alias("b"))
     )
-    counts = usable.groupBy(*KEYS).agg(F.count("*").alias("n"))
-    heavy = heavy_keys(counts, KEYS, share=share, min_rows=min_rows)
-    joined = spread_join(usable, pairs, KEYS, heavy, "inner", F.col("extraction_id"))
+    joined = usable.join(pairs, KEYS)
     other = F.when(F.col("a.document_id") != F.col("document_id"), F.col("a")).otherwise(F.col("b"))
     return (
         joined.withColumn("other", other)

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerproof.config import DEFAULTS, EXTENSIONS, SIGNATURES, STRUCTURE_DENYLIST, Settings
-from ledgerproof.operators.skew import MIN_ROWS, SHARE, heavy_keys, spread_join
 
 
 def sniff_mime(content: Column) -> Column:
@@ -84,25 +83,21 @@ def content_hash(uploads: DataFrame) -> DataFrame:
     return uploads.withColumn("file_hash", F.sha2("content", 256))
 
 
-def mark_duplicates(
-    uploads: DataFrame, share: float = SHARE, min_rows: int = MIN_ROWS
-) -> DataFrame:
+def mark_duplicates(uploads: DataFrame) -> DataFrame:
     """Give every upload the id of the first one with its tenant and bytes.
 
     The first upload per (tenant_id, file_hash) wins; its id is `document_id`
     for all copies and `duplicate` is true on the later ones. The first is
-    found by a plain aggregate (combined before the shuffle), and heavily
-    copied content is spread over slices when it is joined back.
+    found by a plain aggregate (combined before the shuffle) with one row per
+    key, so Spark splits heavily copied content when it is joined back.
     """
     keys = ["tenant_id", "file_hash"]
-    first = uploads.groupBy(*keys).agg(
-        F.min(F.struct("created_at", "upload_id")).alias("first"),
-        F.count("*").alias("n"),
+    winners = uploads.groupBy(*keys).agg(
+        F.min_by("upload_id", F.struct("created_at", "upload_id")).alias("document_id")
+    )
+    return uploads.join(winners, keys).withColumn(
+        "duplicate", F.col("upload_id") != F.col("document_id")
     )
-    heavy = heavy_keys(first, keys, share=share, min_rows=min_rows)
-    winners = first.select(*keys, F.col("first.upload_id").alias("document_id"))
-    joined = spread_join(uploads, winners, keys, heavy, "inner", F.col("upload_id"))
-    return joined.withColumn("duplicate", F.col("upload_id") != F.col("document_id"))
 
 
 def new_uploads(uploads: DataFrame, documents: DataFrame) -> DataFrame:

@@ -1,61 +1,11 @@
-"""Joins and windows that stay balanced when one key holds much of the data."""
+"""Windows that stay balanced when one key holds much of the data."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# A key is heavy above this share of all rows: at most 1/SHARE keys can be,
-# which bounds the table of heavy keys whatever the data size.
-SHARE = 1e-3
-# Below this many rows a key is never worth spreading.
-MIN_ROWS = 200_000
-
-
-def heavy_keys(
-    key_counts: DataFrame, keys: list[str], n: str = "n",
-    share: float = SHARE, min_rows: int = MIN_ROWS,
-) -> DataFrame:
-    """Keys that hold more than `share` of all rows, with a slice count each.
-
-    `key_counts` has one row per key. The result has fewer than 1/share rows.
-    """
-    total = key_counts.select(F.sum(n)).scalar()
-    unit = F.greatest(total * F.lit(share), F.lit(float(min_rows)))
-    return key_counts.where(F.col(n) > unit).select(
-        *keys, F.ceil(F.col(n) / unit).cast("int").alias("slices")
-    )
-
-
-def spread_join(
-    big: DataFrame, small: DataFrame, keys: list[str], heavy: DataFrame,
-    how: str, spread_by: Column,
-) -> DataFrame:
-    """Join `big` to the one-row-per-key `small`, spreading heavy keys.
-
-    Rows of a heavy key get a slice number from `spread_by` (a stable row id)
-    and the matching `small` row is repeated once per slice; every other key
-    has the single slice 0. The rows that come out are those of the plain join.
-    """
-    heavy = F.broadcast(heavy)  # fewer than 1/share rows by construction
-    big = (
-        big.join(heavy, keys, "left")
-        .withColumn(
-            "slice",
-            F.when(
-                F.col("slices").isNotNull(), F.pmod(F.xxhash64(spread_by), F.col("slices"))
-            ).otherwise(F.lit(0)).cast("int"),
-        )
-        .drop("slices")
-    )
-    small = (
-        small.join(heavy, keys, "left")
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)))
-        .drop("slices")
-    )
-    return big.join(small, [*keys, "slice"], how).drop("slice")
-
 
 def run_index(
     df: DataFrame, group: str, order: list[str], value: str, out: str, width: int = 4096

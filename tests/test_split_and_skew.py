@@ -24,14 +24,13 @@ def test_page_groups_against_brute_force_across_block_edges(spark):
         assert got == want
 
 
-def test_duplicates_with_a_spread_hot_key(spark):
+def test_duplicates_with_a_hot_key(spark):
     rows = [(f"u{i:03d}", "t", "hot" if i % 3 else f"h{i}", i // 10) for i in range(300)]
     df = spark.createDataFrame(rows, "upload_id string, tenant_id string, file_hash string, created_at int")
-    for limits in ({}, {"share": 0.01, "min_rows": 1}):
-        got = ingest.mark_duplicates(df, **limits).collect()
-        assert len(got) == 300
-        assert {r.document_id for r in got if r.file_hash == "hot"} == {"u001"}
-        assert sum(r.duplicate for r in got) == 199
+    got = ingest.mark_duplicates(df).collect()
+    assert len(got) == 300
+    assert {r.document_id for r in got if r.file_hash == "hot"} == {"u001"}
+    assert sum(r.duplicate for r in got) == 199
 
 
 def test_safety_phrases(spark):
