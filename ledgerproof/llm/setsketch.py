@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerproof.llm.common import fresh_folder, staged, table, with_python
+from ledgerproof.llm.common import dropping_shuffles, fresh_folder, staged, table, with_python
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -355,11 +355,10 @@ def links_between(members: DataFrame, buckets: DataFrame, options: Options) -> D
         )
 
 
-def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", options: Options = DEFAULT,
-) -> DataFrame:
-    """`doc_id, n_shingles, component_id, kept` of each document: the size of its set, the smallest
-    id among the documents that links lead to, and whether that is its own."""
+def linked_classes(
+    docs: DataFrame, doc_id: str, text: str, options: Options
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketched rows, the classes of rows with equal sets, and the components of classes."""
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = staged(
@@ -387,7 +386,16 @@ def near_duplicates(
     members = spark.read.schema(
         "node long, n long, registers binary, text string"
     ).parquet(path)
-    labels = links_between(members, buckets, options)
+    return rows, classes, links_between(members, buckets, options)
+
+
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", options: Options = DEFAULT,
+) -> DataFrame:
+    """`doc_id, n_shingles, component_id, kept` of each document: the size of its set, the smallest
+    id among the documents that links lead to, and whether that is its own."""
+    with dropping_shuffles(docs.sparkSession):
+        rows, classes, labels = linked_classes(docs, doc_id, text, options)
     named = classes.select("digest", "first", "node").join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
