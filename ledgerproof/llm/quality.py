@@ -7,6 +7,7 @@ that way is depleted and rejected.
 Copies must not make their own lines look like boilerplate. So documents are told apart by the
 company a line keeps: the smallest hash among the document's *other* lines. Copies of one document
 share it and count once; a line set into different documents meets different company each time.
+Near-copies share it mostly, so lines that meet the same company in most texts are left alone.
 
 Defined cases: a null text has no words or lines and fails the base rules; a null host is a host of
 its own; repeated rows each get their row back and count as one document; an empty table gives an
@@ -28,10 +29,11 @@ SYMBOLS = "#*$%&|<>"
 @dataclass(frozen=True)
 class Limits:
     """A line is removed when more documents of a host hold it than the larger of `documents` and
-    `share` of the host's documents. A document is depleted when less than `left` percent of its
-    words stay."""
+    `share` of the host's documents, and they are at least `apart` percent of the different texts
+    that hold it. A document is depleted when less than `left` percent of its words stay."""
 
     documents: int = 20
+    apart: int = 50
     share: float = 0.002
     left: int = 30
     min_words: int = 50
@@ -120,9 +122,14 @@ def measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
 def frequent_lines(lines: DataFrame, measures: DataFrame, limits: Limits) -> DataFrame:
     """The lines of each host held by more documents than allowed: `host, h`."""
     hosts = measures.groupBy("host").agg(F.count("*").alias("host_documents"))
-    counted = lines.select("host", "h", "company").distinct().groupBy("host", "h").agg(
-        F.count("*").alias("n_documents")
-    ).where(F.col("n_documents") > limits.documents)
+    counted = lines.select("host", "h", "company", "digest").distinct().groupBy(
+        "host", "h", "company"
+    ).agg(F.count("*").alias("texts")).groupBy("host", "h").agg(
+        F.count("*").alias("n_documents"), F.sum("texts").alias("n_texts")
+    ).where(
+        (F.col("n_documents") > limits.documents)
+        & (100 * F.col("n_documents") >= limits.apart * F.col("n_texts"))
+    )
     return counted.alias("c").join(
         hosts.alias("s"), F.col("c.host").eqNullSafe(F.col("s.host"))
     ).where(F.col("n_documents") > F.col("host_documents") * limits.share).select("c.host", "h")
@@ -160,14 +167,15 @@ def judged(
 
 
 def exploded(measures: DataFrame) -> DataFrame:
-    """One row per line occurrence: `row, host, h, words, company`."""
+    """One row per line occurrence: `row, host, digest, h, words, company`."""
     lines = F.col("lines")
     first = F.get(lines, F.lit(0))["h"]
     second = F.get(F.filter(lines, lambda x: x["h"] != first), F.lit(0))["h"]
     return measures.select(
-        "row", "host", first.alias("first"), second.alias("second"), F.explode("lines").alias("x")
+        "row", "host", "digest", first.alias("first"), second.alias("second"),
+        F.explode("lines").alias("x"),
     ).select(
-        "row", "host", F.col("x.h").alias("h"), F.col("x.words").alias("words"),
+        "row", "host", "digest", F.col("x.h").alias("h"), F.col("x.words").alias("words"),
         F.when(F.col("x.h") == F.col("first"), F.col("second")).otherwise(F.col("first"))
         .alias("company"),
     )
@@ -224,29 +232,30 @@ WITH d AS (
   FROM (SELECT row, i, count(*) OVER (PARTITION BY row, win) AS n FROM win), range(3) r(k)
   WHERE n >= 2 GROUP BY row
 ), raw AS (
-  SELECT row, host, line FROM (SELECT row, host, unnest(string_split(t, chr(10))) AS line FROM d)
+  SELECT row, host, t, line FROM (SELECT row, host, t, unnest(string_split(t, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dup AS (
   SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM raw GROUP BY row
 ), norm AS (
-  SELECT row, host, trim(regexp_replace(translate(line,
+  SELECT row, host, t, trim(regexp_replace(translate(line,
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
     '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw
 ), h AS (
-  SELECT row, host, line, md5(line) AS h, len(string_split(line, ' ')) AS words FROM norm
+  SELECT row, host, t, line, md5(line) AS h, len(string_split(line, ' ')) AS words FROM norm
 ), firsts AS (
   SELECT row, min(h) AS first FROM h GROUP BY row
 ), seconds AS (
   SELECT row, first, min(h) FILTER (h <> first) AS second FROM h JOIN firsts USING (row)
   GROUP BY row, first
 ), c AS (
-  SELECT host, line, count(DISTINCT coalesce(CASE WHEN h = first THEN second ELSE first END, '')) AS n
+  SELECT host, line, count(DISTINCT coalesce(CASE WHEN h = first THEN second ELSE first END, '')) AS n,
+    count(DISTINCT t) AS texts
   FROM h JOIN seconds USING (row) GROUP BY host, line
 ), hosts AS (
   SELECT host, count(*) AS docs FROM d GROUP BY host
 ), frequent AS (
   SELECT c.host, c.line FROM c JOIN hosts ON c.host IS NOT DISTINCT FROM hosts.host
-  WHERE n > 20 AND n > docs * 0.002
+  WHERE n > 20 AND n > docs * 0.002 AND 100 * n >= 50 * texts
 ), gone AS (
   SELECT row, sum(words) AS n_removed_words FROM h JOIN frequent f
   ON h.host IS NOT DISTINCT FROM f.host AND h.line = f.line GROUP BY row

@@ -68,6 +68,17 @@ def test_boilerplate_goes_and_copies_stay(documents):
     assert clean[0].row == "x"
 
 
+def test_near_copies_keep_their_lines(documents):
+    lines = [prose(k, 20) for k in range(10)]
+    rows = []
+    for k in range(60):  # each changes one line of the same text
+        own = list(lines)
+        own[k % 10] = prose(1000 + k, 20)
+        rows.append((k, "\n".join(own), None, "a"))
+    found = quality_rules(documents(*rows, (99, "\n".join(lines), None, "a")), Limits(documents=5, share=0.0))
+    assert all(r.kept and r.n_removed_words == 0 for r in found.collect())
+
+
 def test_repeated_rows_nulls_and_empty_table(documents):
     rows = [(1, prose(1)), (1, prose(1)), (None, prose(2), None, None), (None, None, None, None)]
     assert quality_rules(documents(*rows)).count() == 4
