@@ -165,7 +165,7 @@ def units_of(page: str) -> list[Unit]:
         elif name in INLINE:
             if name == "a":
                 depth = 1
-            elif name in ("br", "img", "wbr") and name == "br":
+            elif name == "br":
                 say(" ")
         else:
             flush()
@@ -324,21 +324,15 @@ def furniture(key: str, inside: bool) -> bool:
         kind, _, value = attribute.partition("=")
         if kind == "hidden" or kind == "role" and value.lower() in FURNITURE_ROLES:
             return True
-        if kind in ("class", "id") and name not in ("html", "body", *MAIN_TAGS[1:]):
+        if kind in ("class", "id") and name not in ("html", "body", "main"):
             if any(w.lower() in FURNITURE_WORDS for w in WORDS.findall(value)):
                 return True
     return False
 
 
-def main_path(path: tuple[str, ...]) -> tuple[str, ...] | None:
-    """The outermost container on the path that is marked as the article, if there is one and it
-    does not stand in furniture."""
-    for k, key in enumerate(path):
-        if furniture(key, False):
-            return None
-        if key.partition("|")[0] == "article" or key.partition("|")[0] == "main":
-            return path[:k + 1]
-    return None
+def ending_in(path: tuple[str, ...], tag: str) -> tuple[str, ...] | None:
+    """The path up to its outermost container of this tag."""
+    return next((path[:k + 1] for k, key in enumerate(path) if key.partition("|")[0] == tag), None)
 
 
 def outside(path: tuple[str, ...]) -> bool:
@@ -355,12 +349,10 @@ def chosen_containers(blocks: list[tuple[tuple[str, ...], int]]) -> list[tuple[s
     """Where the article is, from places of text and their sizes: marked containers, else the
     container named like content, else the deepest one with most of the text."""
     places = [(path, size) for path, size in blocks if not outside(path)]
-    marked = sorted({m for path, _ in places if (m := main_path(path))})
-    if any(p[-1].partition("|")[0] == "article" for p in _ends(places)):
-        articles = sorted({e for e in _ends(places) if e[-1].partition("|")[0] == "article"})
-        return articles
-    if marked:
-        return marked
+    for tag in MAIN_TAGS:
+        marked = {m for path, _ in places if (m := ending_in(path, tag))}
+        if marked:
+            return sorted(marked)
     total: dict[tuple[str, ...], int] = {}
     for path, size in places:
         for k in range(len(path) + 1):
@@ -377,20 +369,6 @@ def chosen_containers(blocks: list[tuple[tuple[str, ...], int]]) -> list[tuple[s
     return [best]
 
 
-def _ends(places) -> list[tuple[str, ...]]:
-    """Every prefix of the paths that ends in a marked container, outermost ones."""
-    out = []
-    for path, _ in places:
-        for k, key in enumerate(path):
-            if key.partition("|")[0] in MAIN_TAGS and key.partition("|")[0] == "article":
-                out.append(path[:k + 1])
-                break
-        else:
-            if m := main_path(path):
-                out.append(m)
-    return out
-
-
 def inferred(pages: list[str], options: Options = DEFAULT) -> dict:
     """The wrapper of the pages of one host: where the article is, and the items with their roles."""
     streams = {}
