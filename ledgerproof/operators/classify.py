@@ -9,6 +9,7 @@ from ledgerproof.config import DEFAULTS, Settings
 from ledgerproof.functions.text import fold
 from ledgerproof.operators.skew import run_index
 
+# The types that operators know when they are not told; plans pass the registry's.
 REGISTERED = ("invoice",)
 
 

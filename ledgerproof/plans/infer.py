@@ -14,8 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerproof.config import DEFAULTS, Settings
-from ledgerproof.operators.record import model_cost
+from ledgerproof import registry
+from ledgerproof.config import ALL_FIELDS, DEFAULTS, NUMBER_FIELDS, Settings
+from ledgerproof.operators.classify import normalize_answers
+from ledgerproof.operators.pages import classify_input
+from ledgerproof.operators.record import build_records, model_cost
 from ledgerproof.plans.trust import check_answers
 from ledgerproof.session import materialise
 
@@ -23,6 +26,13 @@ RESPONSE = (
     "document_id string, raw string, review string, "
     "input_tokens bigint, output_tokens bigint, latency_ms int"
 )
+REVIEW_RESPONSE = (
+    "extraction_id string, review string, input_tokens bigint, output_tokens bigint, latency_ms int"
+)
+CLASSIFY_RESPONSE = (
+    "document_id string, raw string, input_tokens bigint, output_tokens bigint, latency_ms int"
+)
+PAGE_ANSWERS = "struct<pages:array<struct<page_no:int,doc_type:string,confidence:double>>>"
 Model = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -50,20 +60,86 @@ def _as_attempt(
     )
 
 
+def review_requests(built: DataFrame) -> DataFrame:
+    """What the reviewer is shown of each built answer: `extraction_id, review_text`, one line per
+    field with its value and the text it is said to come from."""
+    def shown(x):
+        return F.coalesce(F.concat(F.lit("'"), x, F.lit("'")), F.lit("None"))
+
+    def line(f):
+        value = F.col(f"record.{f}").cast("string")
+        value = F.coalesce(value, F.lit("None")) if f in NUMBER_FIELDS else shown(value)
+        hint = F.get(F.filter("hints", lambda h: h["field"] == f), F.lit(0))
+        return F.concat(
+            F.lit(f"- {f}: value="), value, F.lit(", source_text="), shown(hint["source_text"])
+        )
+
+    return built.select("extraction_id", "document_id", F.concat(
+        F.lit("Fields to review:\n"), F.concat_ws("\n", *[line(f) for f in ALL_FIELDS])
+    ).alias("review_text"))
+
+
+def call_reviewer(
+    built: DataFrame, reviewer: Model, tier: str, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """`extraction_id, review, review_cost_usd, review_latency_ms` of a reviewer that sees values and
+    source texts only, not the document."""
+    answers = call_model(review_requests(built), reviewer, f"review-{tier}", REVIEW_RESPONSE)
+    return model_cost(answers.withColumn("tier", F.lit(tier)), settings).select(
+        "extraction_id", "review", F.col("cost_usd").alias("review_cost_usd"),
+        F.col("latency_ms").alias("review_latency_ms"),
+    )
+
+
+def call_classifier(
+    pages: DataFrame, classifier: Model, settings: Settings = DEFAULTS
+) -> tuple[DataFrame, DataFrame]:
+    """Page types as the classifier sees them, and what each call cost.
+
+    Returns classified pages (see `normalize_answers`) and `document_id, cost_usd, latency_ms`. An
+    answer that is no JSON, or has no pages, leaves all pages of its document unknown.
+    """
+    requests = classify_input(pages, settings)
+    answers = call_model(requests, classifier, "classify", CLASSIFY_RESPONSE)
+    costs = model_cost(answers.withColumn("tier", F.lit("cheap")), settings).select(
+        "document_id", "cost_usd", "latency_ms"
+    )
+    given = answers.select(
+        "document_id", F.posexplode(F.from_json("raw", PAGE_ANSWERS)["pages"]).alias("k", "p")
+    ).select(
+        "document_id", (F.col("k") + 1).alias("answer_no"), "p.page_no", "p.doc_type", "p.confidence"
+    )
+    return normalize_answers(pages, given, registry.names(), settings), costs
+
+
 def two_pass(
     requests: DataFrame, pages: DataFrame, cheap: Model, strong: Model,
-    settings: Settings = DEFAULTS,
+    settings: Settings = DEFAULTS, reviewer: Model | None = None,
 ) -> DataFrame:
     """Ask the cheap model about every document, the strong one about doubts.
 
     `requests` has `document_id, tenant_id, document_text`. Only documents
     whose first answer is suspect reach the strong model; they carry the
-    reasons. Returns the answers of both attempts.
+    reasons. Returns the answers of both attempts. With a `reviewer`, each
+    attempt's answers go through it by its own call, whose cost and latency are
+    added as columns; without one, `review` is what the model itself returned.
     """
-    first = _as_attempt(call_model(requests, cheap, "cheap"), requests, 1, "cheap", settings)
+    def reviewed(attempt, tier):
+        if reviewer is None:
+            return attempt
+        built = build_records(attempt).where(F.col("build_error").isNull())
+        return attempt.drop("review").join(
+            call_reviewer(built, reviewer, tier, settings), "extraction_id", "left"
+        )
+
+    first = reviewed(
+        _as_attempt(call_model(requests, cheap, "cheap"), requests, 1, "cheap", settings), "cheap"
+    )
     doubts = check_answers(first, pages, settings).where("suspect").select(
         "document_id", F.concat(F.lit("- "), F.array_join("reasons", "\n- ")).alias("prior_issues")
     )
     again = requests.join(doubts, "document_id")
-    second = _as_attempt(call_model(again, strong, "strong"), requests, 2, "strong", settings)
+    second = reviewed(
+        _as_attempt(call_model(again, strong, "strong"), requests, 2, "strong", settings), "strong"
+    )
     return first.unionByName(second)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerproof import registry
 from ledgerproof.config import DEFAULTS, Settings
 from ledgerproof.operators.classify import (
     group_ranges,
@@ -48,5 +49,8 @@ def split(
     documents: DataFrame, pages: DataFrame, answers: DataFrame, settings: Settings = DEFAULTS
 ) -> tuple[DataFrame, DataFrame]:
     """Documents and pages after splitting by page type."""
-    grouped = page_groups(normalize_answers(pages, answers, settings=settings))
-    return split_documents(documents, group_ranges(grouped)), split_pages(pages, grouped)
+    grouped = page_groups(normalize_answers(pages, answers, registry.names(), settings))
+    return (
+        split_documents(documents, group_ranges(grouped), registry.names()),
+        split_pages(pages, grouped),
+    )

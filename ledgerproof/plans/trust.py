@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerproof import registry
 from ledgerproof.config import DEFAULTS, Settings
-from ledgerproof.operators.cross import cross_issues
 from ledgerproof.operators.ground import ground_records
 from ledgerproof.operators.record import build_records, review_normalize
-from ledgerproof.operators.rules import issue_rows, validate_records
+from ledgerproof.operators.rules import issue_rows
 from ledgerproof.operators.trust import (
     decide,
     final_attempts,
@@ -22,15 +22,15 @@ from ledgerproof.session import materialise
 
 
 def check_records(
-    built: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS
+    built: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS, doc_type: str = "invoice"
 ) -> DataFrame:
-    """Ground, validate and judge built records, all attempts in one pass.
+    """Ground, validate and judge built records of one type, all attempts in one pass.
 
     `built` is what `build_records` gives, without its failures. It is read twice, so a caller that
     can should write it first. Adds `matches, agreements, issues, suspect, reasons, signals`.
     """
     grounded = ground_records(built, pages, settings)
-    checked = validate_records(review_normalize(grounded), settings).withColumn(
+    checked = registry.get(doc_type).validate(review_normalize(grounded), settings).withColumn(
         "issues", F.concat("pre_issues", "rule_issues")
     )
     return with_signals(with_escalation(with_facts(checked)))
@@ -79,7 +79,7 @@ def record_issues(checked: DataFrame, stage=materialise) -> DataFrame:
 
 def trust_flow(
     answers: DataFrame, pages: DataFrame, suppliers: DataFrame,
-    settings: Settings = DEFAULTS, stage=materialise,
+    settings: Settings = DEFAULTS, stage=materialise, doc_type: str = "invoice",
 ) -> DataFrame:
     """One row per document: decided, waiting for a second answer, or failed.
 
@@ -89,10 +89,11 @@ def trust_flow(
     cross-document checks read it three times, as targets, as candidates, and as the rows they are
     counted onto.
     """
-    built = stage(build_records(answers), "records")
+    kind = registry.get(doc_type)
+    built = stage(kind.build(answers), "records")
     failures = failures_of(built)
     checked = severity_counts(check_records(
-        built.where(F.col("build_error").isNull()).drop("build_error"), pages, settings
+        built.where(F.col("build_error").isNull()).drop("build_error"), pages, settings, doc_type
     )).withColumns({
         "supplier": F.col("record.supplier"),
         "invoice_number": F.col("record.invoice_number"),
@@ -102,7 +103,7 @@ def trust_flow(
         "n_errors", "n_warnings",
     )
     decided = stage(decide(final, settings), "decided")
-    cross = cross_issues(decided, decided, suppliers).groupBy("extraction_id").agg(
+    cross = kind.cross_check(decided, decided, suppliers).groupBy("extraction_id").agg(
         F.count_if(F.col("rule") == "duplicate_invoice_number").alias("n_duplicate"),
         F.count_if(F.col("rule") == "unknown_supplier").alias("n_unknown"),
     )

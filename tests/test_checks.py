@@ -70,10 +70,9 @@ def test_duplicates_against_brute_force_with_a_hot_key(spark):
         others = sorted(o[1] for o in rows if key(o) == key(r) and o[1] != r[1])
         if r[3] and r[4] and others:
             want[r[1]] = others[0]
-    for limits in ({}, {"share": 0.05, "min_rows": 1}):
-        got = {r.document_id: r.other_id
-               for r in cross.duplicate_invoices(df, df, **limits).collect()}
-        assert got == want
+    got = {r.document_id: r.other_id
+           for r in cross.duplicate_invoices(df, df).collect()}
+    assert got == want
     assert want["y1"] == "y2"
 
 
@@ -153,3 +152,54 @@ def test_two_pass_asks_the_strong_model_only_about_doubts(spark, tmp_path):
     assert both.count() == 3
     lines = open(log).read().splitlines()
     assert len(lines) == 1 and "actually appear" in lines[0] and lines[0].endswith("total")
+
+
+def test_reviewer_and_classifier_are_calls_of_their_own(spark):
+    requests = spark.createDataFrame(
+        [("a", "t", "x"), ("b", "t", "x")],
+        "document_id string, tenant_id string, document_text string")
+
+    def respond(batch):
+        return batch[["document_id"]].assign(
+            raw=answer(), review=None, input_tokens=1_000_000, output_tokens=0, latency_ms=5)
+
+    def reviewer(batch):
+        assert all("- total: value=" in t and "source_text='" in t for t in batch.review_text)
+        return batch[["extraction_id"]].assign(
+            review=[reviewed(d == "a") for d in batch.document_id], input_tokens=2_000_000,
+            output_tokens=0, latency_ms=7)
+
+    both = infer.two_pass(
+        requests, page(spark, ["a", "b"]), respond, respond, reviewer=reviewer).collect()
+    rows = sorted((r.extraction_id, r.cost_usd, r.review_cost_usd, r.review_latency_ms) for r in both)
+    assert rows == [("a-1", 0.30, 0.60, 7), ("b-1", 0.30, 0.60, 7), ("b-2", 1.25, 2.50, 7)]
+
+    pages = spark.createDataFrame(
+        [("a", 1, "one"), ("a", 2, "two"), ("b", 1, "x")], "document_id string, page_no int, text string")
+
+    def classifier(batch):
+        assert any("--- Page 2 ---" in t for t in batch.classify_text)
+        raw = ['{"pages":[{"page_no":1,"doc_type":" Invoice","confidence":0.9},{"page_no":9}]}' if d == "a"
+               else "no json" for d in batch.document_id]
+        return batch[["document_id"]].assign(raw=raw, input_tokens=0, output_tokens=0, latency_ms=3)
+
+    found, costs = infer.call_classifier(pages, classifier)
+    assert sorted((r.document_id, r.page_no, r.doc_type) for r in found.collect()) == [
+        ("a", 1, "invoice"), ("a", 2, "unknown"), ("b", 1, "unknown")]
+    assert costs.count() == 2
+
+
+def test_a_registered_type_is_used(spark):
+    from dataclasses import replace
+
+    from ledgerproof import registry
+
+    kind = registry.get("invoice")
+    registry.register(replace(kind, name="lenient", validate=lambda rows, settings: rows.withColumn(
+        "rule_issues", F.filter("pre_issues", lambda i: F.lit(False)))))
+    raw = json.dumps({**json.loads(answer()), "supplier": {"value": None}})
+    answers = spark.createDataFrame([("d-1", "d", "t", 1, raw, reviewed())], ANSWERS)
+    suppliers = spark.createDataFrame([("t", "Acme Co")], "tenant_id string, name string")
+    for name, errors in (("invoice", 1), ("lenient", 0)):
+        (row,) = plan.trust_flow(answers, page(spark, ["d"]), suppliers, doc_type=name).collect()
+        assert (row.n_errors > 0) == bool(errors)
