@@ -47,7 +47,7 @@ def with_local_folder(spark: SparkSession) -> SparkSession:
     A cluster's session is left as it is.
     """
     unset = not spark.conf.get("spark.checkpoint.dir", None)
-    if unset and spark.sparkContext.master.startswith("local["):
+    if unset and spark.sparkContext.master.partition("[")[0] == "local":
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ledgerproof-"))
     return spark
 
