@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerproof.llm.language import Classifier, Options, held_out, language_id, learned
+from ledgerproof.llm.language import Classifier, Options, held_out, language_id
 
 EN = "the house and water with that from have this which their would about there people river".split()
 DE = "der und nicht mit sich auch werden einer haben diese wurde zwischen straße über fluss".split()
