@@ -45,7 +45,7 @@ class Options:
     """Two documents are linked from `percent` similarity on. Sketches have `registers` (a power of
     two) of base `base`, in bands of `rows`. A pair is dropped when its likelihood at any similarity
     from `percent` on is less than exp(-`doubt`) of the best. `leaders` members of a cluster are
-    compared per round, with about `block` members per task."""
+    compared per round, of `leader_size` shingles in all, with about `block` members per task."""
 
     words: int = 5
     percent: int = 80
@@ -54,7 +54,8 @@ class Options:
     base: float = 1.001
     rate: float = 20.0
     doubt: float = 12.0
-    leaders: int = 256
+    leaders: int = 1024
+    leader_size: int = 2_000_000
     block: int = 1024
 
 
@@ -185,32 +186,29 @@ def sketched(docs: DataFrame, text: str, into: str, options: Options) -> DataFra
 
 
 def components(links: DataFrame) -> DataFrame:
-    """`node, component` of every node of the links `a, b`: the smallest node that can be reached."""
-    edges = staged(links.where("a <> b").select("a", "b").distinct())
+    """`node, component` of every node of the links `a, b`: the smallest node that can be reached.
+
+    Each round a node takes the smallest label around it and then the label of that label, so the
+    rounds grow with the logarithm of the longest way.
+    """
+    there = links.where("a <> b").select("a", "b")
+    back = there.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    edges = staged(there.unionByName(back).distinct().repartition("b"))
+    labels = staged(edges.groupBy(F.col("b").alias("node")).agg(
+        F.least("b", F.min("a")).alias("component")
+    ))
     before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            "a", F.least("a", "m").alias("m")
-        )
-        large = both.join(low, "a").where(F.col("b") > F.col("a")).select(
-            F.col("b").alias("a"), F.col("m").alias("b")
-        ).distinct()
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(
-            "a <> b"
+        near = edges.join(labels, edges.b == labels.node).select(
+            F.col("a").alias("node"), "component"
         )
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").where("b <> m").select(
-            F.col("b").alias("a"), F.col("m").alias("b")
-        ).unionByName(least.withColumnRenamed("m", "b")).distinct()
-        edges = staged(small)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        best = labels.unionByName(near).groupBy("node").agg(F.min("component").alias("component"))
+        up = best.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        labels = staged(best.join(up, "component").select("node", F.col("next").alias("component")))
+        now = labels.agg(F.count("*"), F.sum(F.col("component").cast("decimal(38,0)"))).first()
         if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    )
+            return labels
+        before = now  # labels only fall, so an equal sum means that none did
 
 
 def confirmed_pairs(pairs: DataFrame, members: DataFrame, options: Options) -> DataFrame:
@@ -329,7 +327,9 @@ def links_between(members: DataFrame, buckets: DataFrame, options: Options) -> D
         order = Window.partitionBy("cluster").orderBy("part", "node")
         leaders = staged(nodes.where("comp <> cluster").join(parts, ["cluster", "comp"]).withColumn(
             "rank", F.row_number().over(order)
-        ).where(F.col("rank") <= options.leaders).select("cluster", "node", "comp"))
+        ).where(F.col("rank") <= options.leaders).withColumn(
+            "before", F.sum("n").over(order) - F.col("n")
+        ).where(F.col("before") < options.leader_size).select("cluster", "node", "comp"))
         # A block is bounded by its members and by the size of their sets.
         sizes = nodes.groupBy("cluster").agg(F.ceil(
             (F.count("*") + F.sum("n") / 1000) / options.block
@@ -431,4 +431,32 @@ def op8_setsketch_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), options=Options(words=2))
 
 
+SQL = {"op8_setsketch_duplicates": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, ws[i] || ' ' || ws[i + 1] AS sh
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w WHERE len(ws) > 1)
+  UNION SELECT doc_id, ws[1] FROM w WHERE len(ws) = 1
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+  WHERE 100 * c >= 80 * (x.n + y.n - c)
+), ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS start, doc_id AS found FROM n
+  UNION SELECT start, b FROM reach JOIN ways ON ways.a = reach.found
+)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(min(found), w.doc_id) AS component_id,
+  w.doc_id = coalesce(min(found), w.doc_id) AS kept
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach ON reach.start = w.doc_id
+GROUP BY w.doc_id, n.n
+"""}
+
 QUERIES = {"op8_setsketch_duplicates": op8_setsketch_duplicates}

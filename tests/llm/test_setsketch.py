@@ -63,7 +63,7 @@ def corpus():
 def test_same_as_all_pairs(documents):
     rows = corpus()
     docs = documents(*rows, extra="component")
-    for k, options in ((2, S.Options(words=2)), (5, S.Options(leaders=2, block=8))):
+    for k, options in ((2, S.Options(words=2)), (5, S.Options(leaders=16, block=8))):
         got = sorted(map(tuple, S.near_duplicates(docs, options=options).collect()), key=repr)
         assert got == brute(rows, k)
 
@@ -74,7 +74,7 @@ def test_hard_cluster_without_a_centre(documents):
     base = [f"w{k}" for k in range(300)]
     rows = [(k, " ".join(edited(base, rng, 0.05))) for k in range(60)]
     got = sorted(map(tuple, S.near_duplicates(
-        documents(*rows), options=S.Options(words=2, leaders=3, block=7)).collect()), key=repr)
+        documents(*rows), options=S.Options(words=2, leaders=20, block=7)).collect()), key=repr)
     assert got == brute(rows, 2)
 
 
