@@ -7,8 +7,8 @@ all vectors are compared by their exact inner product. How many parts a query ne
 the sample.
 
 Equal vectors are searched once: of their ids only the smallest can be among the nearest, and equal
-queries have equal neighbours but for themselves. Parts are compared in blocks of bounded size, so a
-part that holds a third of all rows is only more blocks.
+queries have equal neighbours but for themselves. Parts are compared in blocks of bounded size: a
+part that holds a third of all rows is only more blocks, and small parts share one.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor
 do those without the most frequent length; of rows that share an id one vector counts; ties go to the smaller id; rows
@@ -203,20 +203,34 @@ def fitted(vectors: np.ndarray, rows: int, options: Options = DEFAULT) -> Router
 
 
 def best_rows(
-    query: np.ndarray, vectors: np.ndarray, first: np.ndarray, count: int
+    query: np.ndarray, vectors: np.ndarray, first: np.ndarray, allowed: np.ndarray, count: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """The places and inner products of the `count` nearest of each query, in double precision;
-    ties to the smaller `first`."""
-    rough = query @ vectors.T
+    """The places and inner products of the `count` nearest of each query among the vectors it is
+    `allowed` to see, in double precision; ties to the smaller `first`. Where a query sees fewer,
+    the rest has score -inf."""
+    rough = np.where(allowed, query @ vectors.T, -np.inf)
     wide = min(len(vectors), count + 16)
     some = np.argpartition(-rough, wide - 1, axis=1)[:, :wide]
     exact = np.zeros(some.shape)
     for d in range(query.shape[1]):  # one order of additions for every pair
         exact += query[:, d, None] * vectors[:, d][some]
+    exact[~np.take_along_axis(allowed, some, axis=1)] = -np.inf
     order = np.lexsort((first[some], -exact), axis=1)[:, :count]
     return np.take_along_axis(some, order, axis=1), np.take_along_axis(exact, order, axis=1)
 
 
+def bundles(sizes: dict[int, int], block: int) -> dict[int, tuple[int, int]]:
+    """Parts that are compared together: `part -> (bundle, blocks)`. Small parts share a bundle of at
+    most `block` rows, a larger part is a bundle of several blocks."""
+    out, number, held = {}, 0, 0
+    for part, size in sorted(sizes.items()):
+        if held and held + size > block:
+            number, held = number + 1, 0
+        out[part] = (number, max(1, -(-size // block)))
+        held += size
+    return out
+
+
 # Spark
 
 
@@ -290,38 +304,48 @@ def nearest(
     sent = routed(
         vectors.join(asked.select("first").distinct(), "first"), router, router.probes, "first"
     )
-    # Blocks of each part, for its vectors and for its queries; there are `parts` rows of them.
-    sizes = index.groupBy("part").agg(F.ceil(F.count("*") / options.block).cast("int").alias("blocks"))
-    asks = staged(sent)
-    waits = asks.groupBy("part").agg(F.ceil(F.count("*") / options.block).cast("int").alias("turns"))
-    plan = F.broadcast(sizes.join(waits, "part"))
+    # There are `parts` sizes at most.
+    sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}
+    plan = F.broadcast(rows.sparkSession.createDataFrame(
+        [(part, *where) for part, where in bundles(sizes, options.block).items()],
+        "part int, bundle int, blocks int",
+    ))
+    asks = staged(sent.join(plan, "part").groupBy("bundle", "blocks", "first").agg(
+        F.any_value("vector").alias("vector"), F.collect_list("part").alias("parts")
+    ))
+    turns = F.broadcast(asks.groupBy("bundle").agg(
+        F.ceil(F.count("*") / options.block).cast("int").alias("turns")
+    ))
     spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    candidates = index.join(plan, "part").select(
-        "part", F.pmod(F.xxhash64("first"), "blocks").cast("int").alias("block"),
-        spread(F.col("turns")).alias("turn"), "first", "vector",
+    candidates = index.join(plan, "part").join(turns, "bundle").select(
+        F.col("bundle").alias("bundle"), F.pmod(F.xxhash64("first"), "blocks").cast("int").alias("block"),
+        spread(F.col("turns")).alias("turn"), "first", "vector", "part",
     )
-    questions = asks.join(plan, "part").select(
-        "part", spread(F.col("blocks")).alias("block"),
-        F.pmod(F.xxhash64("first"), "turns").cast("int").alias("turn"), "first", "vector",
+    questions = asks.join(turns, "bundle").select(
+        F.col("bundle").alias("bundle"), spread(F.col("blocks")).alias("block"),
+        F.pmod(F.xxhash64("first"), "turns").cast("int").alias("turn"), "first", "vector", "parts",
     )
 
     def compare(ask: pd.DataFrame, pool: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query": [], "first": [], "score": []}).astype(
+            {"query": "int64", "first": "int64", "score": "float64"}
+        )]
         if not len(ask) or not len(pool):
-            return pd.DataFrame({"query": [], "first": [], "score": []}).astype(
-                {"query": "int64", "first": "int64"}
-            )
+            return out[0]
         stock, first = np.stack(pool["vector"]), pool["first"].to_numpy()
-        out = []
+        own = pool["part"].to_numpy()
         for start in range(0, len(ask), 256):
             some = ask.iloc[start:start + 256]
-            at, score = best_rows(np.stack(some["vector"]), stock, first, count + 1)
+            allowed = np.array([np.isin(own, parts) for parts in some["parts"]])
+            at, score = best_rows(np.stack(some["vector"]), stock, first, allowed, count + 1)
+            found = np.isfinite(score).ravel()
             out.append(pd.DataFrame({
-                "query": np.repeat(some["first"].to_numpy(), at.shape[1]),
-                "first": first[at].ravel(), "score": score.ravel(),
+                "query": np.repeat(some["first"].to_numpy(), at.shape[1])[found],
+                "first": first[at].ravel()[found], "score": score.ravel()[found],
             }))
         return pd.concat(out)
 
-    keys = ("part", "block", "turn")
+    keys = ("bundle", "block", "turn")
     found = questions.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(
         compare, "query long, first long, score double"
     )
