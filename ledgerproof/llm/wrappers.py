@@ -33,8 +33,8 @@ from ledgerproof.llm.common import staged, table
 @dataclass(frozen=True)
 class Options:
     """`sample` pages per host (smallest hash of the id) are aligned. Text that is the same on
-    `constant` pages or more, and on every one of them, is template. Wrappers are broadcast up to
-    `broadcast` bytes in all, and joined by a shuffle beyond that."""
+    `constant` pages or more, and on every one of them, is template. Wrappers, and the ids of the
+    sample, are broadcast up to `broadcast` bytes in all, and joined by a shuffle beyond that."""
 
     sample: int = 12
     constant: int = 5
@@ -42,6 +42,7 @@ class Options:
 
 
 DEFAULT = Options()
+ROW_BYTES = 100  # of an id and a host, about
 
 # Elements of HTML by their part in the text, and words that name page furniture.
 INLINE = frozenset(
@@ -488,8 +489,11 @@ def host_wrappers(
     chosen = rows.select("id", "host").distinct().withColumn("h", F.xxhash64("id")).withColumn(
         "n", F.row_number().over(order)
     ).where(F.col("n") <= options.sample).select("id", "host")
+    chosen = staged(chosen)
+    # Few hosts: their sample reaches the pages, and the pages are not shuffled.
+    few = chosen.count() * ROW_BYTES <= options.broadcast
     sample = rows.alias("r").join(
-        chosen.alias("c"),
+        (F.broadcast(chosen) if few else chosen).alias("c"),
         F.col("r.id").eqNullSafe(F.col("c.id")) & (F.col("r.host") == F.col("c.host")),
     ).select("r.host", "r.html")
 
