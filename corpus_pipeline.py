@@ -45,10 +45,16 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    found = near_duplicates(docs)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates: the smallest id, null last. Rows are told apart by a
+    key of their own, since ids may be null or repeated; it is written, so that it stays the same."""
+    key = unused(docs, "row_key")
+    path = fresh_folder(spark, "corpus-keyed")
+    docs.withColumn(key, F.monotonically_increasing_id()).write.option(
+        "compression", "zstd"
+    ).parquet(path)
+    keyed = spark.read.parquet(path)
+    gone = near_duplicates(keyed, row=key).where(~F.col("kept")).select(F.col("row").alias(key))
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ Defined cases: texts without words, null texts included, have an empty set and a
 nothing; a text with fewer words than a shingle is one shingle; rows that share an id but not a text
 are told apart by their sets; a null id joins its component but does not name it, and a component of
 null ids has a null id; repeated rows get their row back each; an empty table gives an empty result;
-other columns are ignored.
+other columns are ignored. With a row key exactly one row of each component is kept, whatever its id.
 """
 
 from __future__ import annotations
@@ -356,14 +356,17 @@ def links_between(members: DataFrame, buckets: DataFrame, options: Options) -> D
 
 
 def linked_classes(
-    docs: DataFrame, doc_id: str, text: str, options: Options
+    docs: DataFrame, doc_id: str, text: str, options: Options, row: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sketched rows, the classes of rows with equal sets, and the components of classes."""
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = staged(
-        sketched(source, "text", "s", options).select("doc_id", "s.n", "s.digest", "s.registers")
+    key = [F.col(row).alias("row")] if row else []
+    source = docs.select(
+        F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *key
     )
+    rows = staged(sketched(source, "text", "s", options).select(
+        "doc_id", *(["row"] if row else []), "s.n", "s.digest", "s.registers"
+    ))
     classes = staged(rows.where("n > 0").groupBy("digest").agg(
         F.min("doc_id").alias("first"), F.any_value("n").alias("n"),
         F.any_value("registers").alias("registers"),
@@ -391,21 +394,37 @@ def linked_classes(
 
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", options: Options = DEFAULT,
+    row: str | None = None,
 ) -> DataFrame:
     """`doc_id, n_shingles, component_id, kept` of each document: the size of its set, the smallest
-    id among the documents that links lead to, and whether that is its own."""
+    id among the documents that links lead to, and whether that is its own.
+
+    `row` names a column that is different in every row. It is returned as `row`, and `kept` is then
+    true for one row of each component, the smallest by id (null last), set and `row`, and for every
+    row with an empty set."""
     with dropping_shuffles(docs.sparkSession):
-        rows, classes, labels = linked_classes(docs, doc_id, text, options)
+        rows, classes, labels = linked_classes(docs, doc_id, text, options, row)
     named = classes.select("digest", "first", "node").join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
     names = named.groupBy("component").agg(F.min("first").alias("component_id"))
     found = named.join(names, "component").select("digest", "component_id")
-    return rows.drop("registers").join(found, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"),
+    out = rows.drop("registers").join(found, "digest", "left").select(
+        "doc_id", *(["row"] if row else []), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         .alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    )
+    if not row:
+        return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # First within the classes, then within their components.
+    best = rows.where("n > 0").groupBy("digest").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("x")
+    ).join(named.select("digest", "component"), "digest").groupBy("component").agg(
+        F.min(F.struct("x.unnamed", "x.doc_id", "digest", "x.row"))["row"].alias("best")
+    ).select("best")
+    return out.join(best, F.col("row") == F.col("best"), "left").withColumn(
+        "kept", (F.col("n_shingles") == 0) | F.col("best").isNotNull()
+    ).drop("best")
 
 
 def same_set(words: int):

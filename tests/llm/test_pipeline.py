@@ -58,3 +58,25 @@ def test_run_and_empty_table(documents, tmp_path):
     assert corpus_pipeline.run(docs.sparkSession, str(tmp_path)).select("doc_id").distinct().count() == 62
     docs.where(F.lit(False)).write.parquet(str(tmp_path / "none" / "documents.parquet"))
     assert corpus_pipeline.run(docs.sparkSession, str(tmp_path / "none")).count() == 0
+
+
+def test_near_dedup_by_row(documents):
+    """Null and repeated ids: one row of each group stays, and no other row goes."""
+    base = prose(EN, 1)
+    near = lambda k: base.replace(base.split()[k], "edited", 1)
+    only_null, far = prose(EN, 2), [prose(EN, k) for k in range(3, 7)]
+    rows = [
+        (1, base), (None, near(3)), (None, far[0]), (None, far[1]),  # a null id joins 1
+        (2, near(5)), (2, far[2]),  # 2 is a near-copy of 1, and another text
+        (3, far[3]), (3, far[3]), (3, far[3].upper()),  # repeated rows
+        (None, only_null), (None, only_null), (None, only_null + " more"),  # no id at all
+        (None, None), (None, ""),
+    ]
+    docs = documents(*rows, extra="row_key")
+    out = corpus_pipeline.drop_near_duplicates(docs.sparkSession, docs, "")
+    assert out.columns == docs.columns
+    left = [(r.doc_id, (r.text or "").lower()) for r in out.collect()]
+    assert left.count((1, base)) == 1 and left.count((3, far[3])) == 1
+    assert (None, far[0]) in left and (None, far[1]) in left and (2, far[2]) in left
+    assert sum(text.startswith(only_null) for _, text in left) == 1
+    assert left.count((None, "")) == 2 and len(left) == 8
