@@ -209,14 +209,32 @@ def best_rows(
     `allowed` to see, in double precision; ties to the smaller `first`. Where a query sees fewer,
     the rest has score -inf."""
     rough = np.where(allowed, query @ vectors.T, -np.inf)
-    wide = min(len(vectors), count + 16)
-    some = np.argpartition(-rough, wide - 1, axis=1)[:, :wide]
-    exact = np.zeros(some.shape)
-    for d in range(query.shape[1]):  # one order of additions for every pair
-        exact += query[:, d, None] * vectors[:, d][some]
-    exact[~np.take_along_axis(allowed, some, axis=1)] = -np.inf
-    order = np.lexsort((first[some], -exact), axis=1)[:, :count]
-    return np.take_along_axis(some, order, axis=1), np.take_along_axis(exact, order, axis=1)
+    width = min(len(vectors), count)
+    # Whatever may reach the last place: rough and exact scores differ by roundings only.
+    last = -np.partition(-rough, width - 1, axis=1)[:, width - 1]
+    size = np.sqrt((query**2).sum(axis=1) * (vectors**2).sum(axis=1).max())
+    margin = 4 * (query.shape[1] + 1) * np.finfo(float).eps * size
+    maybe = allowed & ~(rough < (last - margin)[:, None])
+    places = np.zeros((len(query), width), np.int64)
+    scores = np.full((len(query), width), -np.inf)
+    ends = np.cumsum(maybe.sum(axis=1))
+    start = 0
+    while start < len(query):  # as many queries as have a million candidates, one at least
+        held = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, held + (1 << 20), "right")))
+        asker, some = np.nonzero(maybe[start:stop])
+        asker += start
+        exact = np.zeros(len(some))
+        for d in range(query.shape[1]):  # one order of additions for every pair
+            exact += query[asker, d] * vectors[some, d]
+        order = np.lexsort((first[some], -exact, asker))
+        asker, some, exact = asker[order], some[order], exact[order]
+        rank = np.arange(len(some)) - np.searchsorted(asker, asker)
+        kept = rank < width
+        places[asker[kept], rank[kept]] = some[kept]
+        scores[asker[kept], rank[kept]] = exact[kept]
+        start = stop
+    return places, scores
 
 
 def bundles(sizes: dict[int, int], block: int) -> dict[int, tuple[int, int]]:

@@ -77,3 +77,18 @@ def test_few_rows_and_empty_table(spark):
     assert found(spark, rows, [0], N.DEFAULT) == {0: [(1, 16.0)]}
     assert found(spark, rows[:1], [0], N.DEFAULT) == {}
     assert found(spark, [], [0], N.DEFAULT) == {}
+
+
+def test_ties_at_the_last_place():
+    """Binary vectors: many more than the count tie at its score, the smaller ids win."""
+    rng = np.random.default_rng(4)
+    bits = np.array([[float(c) for c in f"{k:012b}"] for k in range(1, 4096)])
+    first = rng.permutation(len(bits)) * 7
+    query, allowed = bits[rng.integers(0, len(bits), 40)], rng.random((40, len(bits))) < 0.9
+    allowed[0] = False
+    allowed[0, :5] = True
+    places, scores = N.best_rows(query, bits, first, allowed, 21)
+    for k in range(len(query)):
+        want = sorted((-float(query[k] @ bits[i]), first[i]) for i in np.flatnonzero(allowed[k]))[:21]
+        seen = np.isfinite(scores[k])
+        assert [(-x, i) for x, i in zip(scores[k][seen], first[places[k][seen]])] == want
