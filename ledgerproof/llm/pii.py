@@ -1,11 +1,14 @@
 """Personal data with a skip-chain conditional random field.
 
 Patterns give the base spans (e-mail, IP address, card, phone). A random field labels the tokens that
-hold a digit or an `@`; all other tokens are observed as ordinary words. Neighbouring tokens share
-chain potentials. Tokens that repeat earlier ones, or have the same long digits, share skip
-potentials over any distance. Loopy message passing makes the labels of a document consistent, with
-the base spans as evidence, so that a number written out once as a phone number is found again where
-it stands without its prefix. The field adds spans and a further kind, `secret`; base spans stay.
+hold a digit or an `@`, and those that hold or repeat what the secret pattern matches; all other
+tokens are observed as ordinary words. Neighbouring tokens share chain potentials. Tokens that are
+equal, or have the same long digits, share skip potentials over any distance: each is linked with
+the evidence among them, or with the first of them where there is none, so that the last repeat
+hears of it as the first does. Loopy message passing, until the messages settle, makes the labels of
+a document consistent, with the base spans as evidence, so that a number written out once as a phone
+number is found again where it stands without its prefix. The field adds spans and a further kind,
+`secret`; base spans stay.
 
 The weights are trained by pseudo-likelihood on a bounded sample of the documents, with the patterns
 as labels. All texts are read whole; patterns are written so that none of them is quadratic.
@@ -35,8 +38,8 @@ LABELS = ("", *KINDS)  # "" is an ordinary token
 @dataclass(frozen=True)
 class Options:
     """`sample` documents (smallest hash of the id among those with a token to label) of at most
-    `sample_tokens` tokens each train the field. `rounds` of messages, damped; `sure` is the belief
-    from which a span is added."""
+    `sample_tokens` tokens each train the field. Messages are passed for `rounds` rounds at least and
+    until they settle; `sure` is the belief from which a span is added."""
 
     sample: int = 1500
     sample_tokens: int = 200
@@ -62,8 +65,13 @@ CUES = ("password", "passwd", "secret", "token", "key", "phone", "tel", "call",
 
 SALIENT = re.compile(r"[0-9@]")
 SOLID = re.compile(r"\S*")
+WORD = re.compile(r"\S+")
 EDGE = "\"'()[]{}<>,.;:!?"
 
+# Messages have settled when none changes by more. Each `SLOWER` rounds they are damped more, so that
+# those that swing settle as well; after `MOST_ROUNDS` they are taken as they are.
+SETTLED, SLOWER, MOST_ROUNDS = 1e-7, 200, 2000
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -117,11 +125,39 @@ class Graph:
     spans: np.ndarray  # (n, 2)
     features: np.ndarray  # (n, d) of 0 and 1
     chain: np.ndarray  # (e, 2)
-    skip: np.ndarray
+    alike: list[list[int]]  # tokens with a key in common, in order
+
+    @property
+    def skip(self) -> np.ndarray:
+        return self.skip_links(np.full(len(self.spans), -1))
+
+    def skip_links(self, fixed: np.ndarray) -> np.ndarray:
+        """Stars over the tokens alike. Their centres are the first token of each label among the
+        evidence (`fixed`, -1 where there is none), or the first token. What the chain joins is not
+        joined again, but with evidence."""
+        joined = {tuple(x) for x in self.chain.tolist()}
+        out = set()
+        for group in self.alike:
+            centres: dict[int, int] = {}
+            for k in group:
+                if fixed[k] >= 0:
+                    centres.setdefault(int(fixed[k]), k)
+            for centre in centres.values():
+                out |= {(min(centre, k), max(centre, k)) for k in group if fixed[k] < 0}
+            if not centres:
+                out |= {(group[0], k) for k in group[1:]} - joined
+        return links(out)
+
+
+def links(pairs) -> np.ndarray:
+    return np.array(sorted(pairs), np.int64).reshape(-1, 2)
 
 
 def tokens(text: str, limit: int | None = None) -> list[tuple[int, int]]:
-    """The blank-separated tokens that hold a digit or an @."""
+    """The blank-separated tokens that hold a digit or an @, and those that hold or repeat a secret."""
+    plain = [x[1:] for x in secret_spans(text) if not SALIENT.search(text, *x[1:])]
+    if plain:
+        return tokens_with(text, plain, limit)
     found, end = [], 0
     hit = SALIENT.search(text)
     while hit and (limit is None or len(found) < limit):
@@ -134,6 +170,23 @@ def tokens(text: str, limit: int | None = None) -> list[tuple[int, int]]:
     return found
 
 
+def tokens_with(
+    text: str, plain: list[tuple[int, int]], limit: int | None
+) -> list[tuple[int, int]]:
+    """The tokens of a text with secrets that hold neither a digit nor an @."""
+    values = {text[a:b].lower() for a, b in plain}
+    found, at = [], 0
+    for m in WORD.finditer(text):
+        if limit is not None and len(found) >= limit:
+            break
+        holds = False
+        while at < len(plain) and plain[at][0] < m.end():
+            at, holds = at + 1, True
+        if holds or SALIENT.search(m[0]) or m[0].strip(EDGE).lower() in values:
+            found.append(m.span())
+    return found
+
+
 def stripped(text: str, start: int, end: int) -> tuple[int, int]:
     """A token without quotes, brackets and punctuation around it."""
     token = text[start:end]
@@ -170,28 +223,23 @@ N_FEATURES = len(features_of("1", "1", []))
 
 def graph_of(text: str, limit: int | None = None) -> Graph:
     raw = tokens(text, limit)
-    spans, features, chain, skip = [], [], [], []
+    spans, features, chain = [], [], []
     seen: dict = {}
     for k, (start, end) in enumerate(raw):
         a, b = stripped(text, start, end)
         token = text[a:b]
         spans.append((a, b))
         features.append(features_of(token, text[start:end], text[max(0, start - 40):start].split()[-2:]))
-        near = k and not text[raw[k - 1][1]:start].strip() and start - raw[k - 1][1] <= 3
-        if near:
+        if k and not text[raw[k - 1][1]:start].strip() and start - raw[k - 1][1] <= 3:
             chain.append((k - 1, k))
         number = "".join(c for c in token if "0" <= c <= "9")
         keys = {("same", token.lower())} | ({("digits", number[-7:])} if len(number) >= 7 else set())
         for key in keys:
-            # One link to the last token alike: the others are reached through it.
-            other = seen.get(key)
-            if other is not None and not (near and other == k - 1):
-                skip.append((other, k))
-            seen[key] = k
-    pairs = lambda x: np.array(sorted(set(x)), np.int64).reshape(-1, 2)
+            seen.setdefault(key, []).append(k)
     return Graph(
         np.array(spans, np.int64).reshape(-1, 2),
-        np.array(features, np.uint8).reshape(-1, N_FEATURES), pairs(chain), pairs(skip),
+        np.array(features, np.uint8).reshape(-1, N_FEATURES), links(set(chain)),
+        [group for group in seen.values() if len(group) > 1],
     )
 
 
@@ -251,29 +299,37 @@ def trained(
 
 
 def beliefs(field: Field, graph: Graph, fixed: np.ndarray, rounds: int) -> np.ndarray:
-    """Label probabilities of each token after loopy message passing. `fixed` holds the labels that
-    are evidence, -1 where there is none."""
+    """Label probabilities of each token after loopy message passing, for `rounds` rounds at least
+    and until the messages settle. `fixed` holds the labels that are evidence, -1 where there is
+    none."""
     n, size = len(graph.spans), len(LABELS)
     own = graph.features @ field.node
     known = fixed >= 0
     own[known] = -50.0
     own[known, fixed[known]] = 0.0
-    links = np.vstack([graph.chain, graph.skip, graph.chain[:, ::-1], graph.skip[:, ::-1]])
-    kinds = [field.chain] * len(graph.chain) + [field.skip] * len(graph.skip)
-    if len(links):
+    skip = graph.skip_links(fixed)
+    ways = np.vstack([graph.chain, skip, graph.chain[:, ::-1], skip[:, ::-1]])
+    kinds = [field.chain] * len(graph.chain) + [field.skip] * len(skip)
+    if len(ways):
         power = np.exp(np.array(kinds * 2))
-        source, target = links.T
-        half = len(links) // 2
+        source, target = ways.T
+        half = len(ways) // 2
         back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
-        message = np.zeros((len(links), size))
-        for _ in range(rounds):
+        message = np.zeros((len(ways), size))
+        share = 0.5
+        for turn in range(1, max(rounds, MOST_ROUNDS) + 1):
             total = own.copy()
             np.add.at(total, target, message)
             out = total[source] - message[back]
             out = np.exp(out - out.max(axis=1, keepdims=True))
             new = np.log(np.einsum("es,est->et", out, power) + 1e-300)
             new -= new.max(axis=1, keepdims=True)
-            message = 0.5 * message + 0.5 * new
+            change = np.abs(new - message).max()
+            message = (1 - share) * message + share * new
+            if change <= SETTLED and turn >= rounds:
+                break
+            if turn % SLOWER == 0:
+                share /= 2
         np.add.at(own, target, message)
     p = np.exp(own - own.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
@@ -283,9 +339,11 @@ def added_spans(
     text: str, base: list[tuple[str, int, int]], field: Field | None, options: Options = DEFAULT
 ) -> list[tuple[str, int, int]]:
     """The spans that the field finds beside the base spans."""
-    if field is None or not SALIENT.search(text):
+    if field is None:
         return []
     graph = graph_of(text)
+    if not len(graph.spans):
+        return []
     fixed = labels_of(graph, base)
     fixed[fixed == 0] = -1
     belief = beliefs(field, graph, fixed, options.rounds)
@@ -312,7 +370,7 @@ def added_spans(
 def train(docs: DataFrame, options: Options = DEFAULT) -> Field | None:
     """The field, from a sample of the documents `doc_id, text`. The driver gets the features of at
     most `sample * sample_tokens` tokens."""
-    usable = docs.where(F.col("text").rlike("[0-9@]"))
+    usable = docs.where(F.col("text").rlike("[0-9@]") | F.col("text").rlike(SECRET.pattern))
     chosen = usable.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(
         options.sample
     ).select("doc_id")
@@ -322,10 +380,13 @@ def train(docs: DataFrame, options: Options = DEFAULT) -> Field | None:
             rows = []
             for text in part.column(0).to_pylist():
                 graph = graph_of(text, options.sample_tokens)
-                labels = labels_of(graph, base_spans(text) + secret_spans(text))
+                base = base_spans(text)
+                labels = labels_of(graph, base + secret_spans(text))
+                fixed = labels_of(graph, base)
+                skip = graph.skip_links(np.where(fixed == 0, -1, fixed))
                 rows.append((
                     graph.features.tobytes(), labels.tolist(), graph.chain.ravel().tolist(),
-                    graph.skip.ravel().tolist(),
+                    skip.ravel().tolist(),
                 ))
             columns = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([

@@ -140,3 +140,38 @@ def test_redaction(documents):
 def test_empty_table(documents):
     none = documents((1, "a")).where("false")
     assert pii.train(none) is None and pii.with_spans(none, None).count() == 0
+
+
+def test_every_repeat_hears_the_evidence():
+    """40 bare repeats of one number, and 400 more tokens between them; before and after it."""
+    bare = " ".join(f"word 9885552485 word {k}x{k}" for k in range(40))
+    node = pii.np.zeros((pii.N_FEATURES, len(pii.LABELS)))
+    node[0, 0] = 1.0
+    power = pii.np.eye(len(pii.LABELS)) * 4
+    field = pii.Field(node, pii.np.zeros_like(power), power)
+    for text in (f"+1 (988) 555-2485 {bare}", f"{bare} word +1 (988) 555-2485"):
+        added = pii.added_spans(text, pii.base_spans(text), field)
+        assert [(kind, text[a:b]) for kind, a, b in added] == [("phone", "9885552485")] * 40
+
+
+def test_messages_settle():
+    """Evidence at one end of a chain of 60 tokens, against exact sums along it."""
+    size, n = len(pii.LABELS), 60
+    field = pii.Field(pii.np.zeros((pii.N_FEATURES, size)), pii.np.eye(size) * 6.0, pii.np.eye(size))
+    graph = pii.graph_of(" ".join(f"{chr(97 + k % 26)}{k}" for k in range(n)))
+    assert len(graph.chain) == n - 1 and not len(graph.skip)
+    fixed = pii.np.full(n, -1)
+    fixed[0] = 4
+    step = pii.np.exp(field.chain) / pii.np.exp(field.chain).sum(axis=1)[0]
+    want = pii.np.linalg.matrix_power(step, n - 1)[4]
+    assert pii.np.allclose(pii.beliefs(field, graph, fixed, 12)[-1], want, atol=1e-5)
+
+
+def test_secrets_of_letters_enter_the_field():
+    text = 'password = "correcthorsebattery" or user=some and later correcthorsebattery. end 1'
+    graph = pii.graph_of(text)
+    assert [text[a:b] for a, b in graph.spans.tolist()] == ["correcthorsebattery"] * 2 + ["1"]
+    assert graph.skip.tolist() == [[0, 1]]
+    assert pii.labels_of(graph, pii.secret_spans(text)).tolist() == [pii.LABELS.index("secret"), 0, 0]
+    long = "password=abcdefghijklmnop " * 20_000
+    assert len(pii.graph_of(long).spans) == 20_000
