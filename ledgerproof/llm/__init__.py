@@ -11,7 +11,10 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("warc", "language", "packing", "quality", "neighbours", "wrappers", "rollup", "setsketch", "pii", "bpe")
+MODULES = (
+    "warc", "language", "packing", "quality", "neighbours", "wrappers", "rollup", "setsketch", "pii",
+    "bpe", "exact", "resample",
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
