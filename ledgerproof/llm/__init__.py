@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
     "warc", "language", "packing", "quality", "neighbours", "wrappers", "rollup", "setsketch", "pii",
-    "bpe", "exact", "resample",
+    "bpe", "exact", "resample", "alignment",
 )
 
 
