@@ -27,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -167,24 +167,26 @@ def compared(texts: DataFrame, members: DataFrame, options: Options = DEFAULT) -
     """`row, leader, equal` of each member that isn't the leader itself.
 
     `members` has `row, leader, n`. A group of n rows is cut into shares; the leader's chunks are
-    copied once for each share.
+    copied once for each share, and every share is compared with its copy. The rows of one share and
+    chunk number are at most about `share`.
     """
     shares = F.expr(f"cast((n - 1) div {options.share} as int)") + 1
-    found = chunks_of(
-        texts.select("row", "n_bytes", "bytes").join(members, "row"), options
-    ).drop("behind", "n_bytes")
     of_leader = F.col("row") == F.col("leader")
-    copies = found.where(of_leader).select(
-        "leader", "k", F.col("chunk").alias("expected"),
-        F.explode(F.sequence(F.lit(0), shares - 1)).alias("part"),
+    own = F.pmod(F.xxhash64("row"), shares).cast("int")
+    found = chunks_of(
+        texts.select("row", "n_bytes", "bytes").join(members, "row").withColumn(
+            "part", F.explode(F.when(of_leader, F.sequence(F.lit(0), shares - 1)).otherwise(F.array(own)))
+        ), options,
+    )
+    # Equal lengths have the same chunks, so the leader's is always there.
+    expected = F.max(F.when(of_leader, F.col("chunk"))).over(
+        Window.partitionBy("leader", "part", "k")
     )
-    others = found.where(~of_leader).select(
-        "row", "leader", "k", "chunk", F.pmod(F.xxhash64("row"), shares).cast("int").alias("part")
+    return found.select(
+        "row", "leader", "part", "k", "chunk", expected.alias("expected")
+    ).where(~of_leader).groupBy("row", "leader").agg(
+        F.every(F.col("chunk") == F.col("expected")).alias("equal")
     )
-    # Both have the same length and so the same chunks.
-    return others.join(copies, ["leader", "part", "k"]).select(
-        "row", "leader", (F.col("chunk") == F.col("expected")).alias("equal")
-    ).groupBy("row", "leader").agg(F.every("equal").alias("equal"))
 
 
 def exact_duplicates(
