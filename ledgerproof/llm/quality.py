@@ -4,10 +4,12 @@ Normalised lines are hashed and the distinct documents of a host that hold a lin
 Lines above the limits are boilerplate and are removed; a document that loses most of its words
 that way is depleted and rejected.
 
-Copies must not make their own lines look like boilerplate. So documents are told apart by the
-company a line keeps: the smallest hash among the document's *other* lines. Copies of one document
-share it and count once; a line set into different documents meets different company each time.
-Near-copies share it mostly, so lines that meet the same company in most texts are left alone.
+Documents are told apart by their texts, so exact copies count once. Near-copies must not make their
+own lines look like boilerplate either. So lines that too many texts hold are candidates first, and
+in a second pass the documents with a candidate are told apart by what else they say: the smallest
+hash among their lines that are no candidates. Lines that are edits of a candidate don't count for
+that: those that have a candidate's first or second half, or stand where other texts have a candidate
+between the same two lines. Near-copies say nothing else and count as one document.
 
 Defined cases: a null text has no words or lines and fails the base rules; a null host is a host of
 its own; repeated rows each get their row back and count as one document; an empty table gives an
@@ -21,46 +23,54 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerproof.llm.common import ASCII_SPACE, WORD_GAP, lower_ascii, staged, table, words_of
+from ledgerproof.llm.common import ASCII_SPACE, fresh_folder, staged, table
 
-SYMBOLS = "#*$%&|<>"
+SYMBOL = "[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
 class Limits:
     """A line is removed when more documents of a host hold it than the larger of `documents` and
-    `share` of the host's documents, and they are at least `apart` percent of the different texts
-    that hold it. A document is depleted when less than `left` percent of its words stay."""
+    `share` of the host's documents. A document is depleted when less than `left` percent of its
+    words stay. Halves of lines are compared from `half` words on."""
 
     documents: int = 20
-    apart: int = 50
     share: float = 0.002
     left: int = 30
     min_words: int = 50
     repeated: int = 50
+    half: int = 3
 
 
 DEFAULT = Limits()
 
 
-def normalised(line: Column) -> Column:
-    """Lower case (ASCII), digits alike, white space as one space."""
-    plain = F.translate(lower_ascii(line), "123456789", "000000000")
-    return F.trim(F.regexp_replace(plain, WORD_GAP, " "))
+def normalised(text: Column) -> Column:
+    """Lower case, white space within lines as one space."""
+    return F.regexp_replace(F.lower(text), "[\\x20\\x09\\x0B-\\x0D]+", " ")
 
 
-def has_word(line: Column) -> Column:
-    return F.translate(line, ASCII_SPACE, "") != ""
+def words_of(text: Column) -> Column:
+    """The words in order."""
+    plain = F.regexp_replace(text, "[\\x09-\\x0D]", " ")
+    return F.array_remove(F.split(plain, " "), "")
 
 
-def windows_of(words: Column) -> Column:
-    """The 3-word windows as `(h, i)`, sorted by hash and then place."""
+def window_hashes(words: Column) -> Column:
     n = F.size(words)
     starts = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
-    return F.sort_array(F.transform(starts, lambda i: F.struct(
-        F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"),
-        i.alias("i"),
-    )))
+    return F.transform(
+        starts, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    )
+
+
+def sorted_windows(hashes: Column) -> Column:
+    """The 3-word windows as `(h, i)`, sorted by hash and then place; none if all differ, as in most
+    texts."""
+    placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), placed).otherwise(
+        F.array().cast("array<struct<h:bigint,i:int>>")
+    )
 
 
 def repeated(windows: Column) -> Column:
@@ -82,80 +92,135 @@ def covered(places: Column) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step)
 
 
-def text_digest(text: str) -> Column:
-    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+def line_entry(line: Column, place: Column, limits: Limits) -> Column:
+    """A line's place, hash and words, and keys of its first and second half."""
+    n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    first = F.floor(n / 2).cast("int")
 
+    def half(name, count):
+        words = F.call_function("substring_index", line, F.lit(" "), count)
+        return F.when(n >= 2 * limits.half, F.xxhash64(F.lit(name), words))
 
-def line_entry(line: Column) -> Column:
-    plain = normalised(line)
     return F.struct(
-        F.unhex(F.md5(plain)).alias("h"),
-        (F.length(plain) - F.length(F.translate(plain, " ", "")) + 1).alias("words"),
+        place.alias("place"), F.unhex(F.md5(line)).alias("h"), n.cast("int").alias("words"),
+        half("first", first).alias("first"), half("second", first - n.cast("int")).alias("second"),
     )
 
 
-def measured(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
-    """One row per document: the base counts, and its lines as `(h, words)` sorted by hash."""
+def measured(docs: DataFrame, doc_id: str, text: str, host: str, limits: Limits) -> DataFrame:
+    """One row per document: the base counts, its lines in order, and `host` without nulls."""
+    blank = F.lit(ASCII_SPACE)
     return docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(host).alias("host"),
+        F.col(doc_id).alias("doc_id"),
+        F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("")).alias("host"),
         F.coalesce(F.col(text), F.lit("")).alias("t"),
     ).withColumns({
         "w": words_of(F.col("t")),
-        "raw": F.filter(F.split("t", "\n"), has_word),
-        "n_symbols": F.length("t") - F.length(F.translate("t", SYMBOLS, "")),
-        "word_chars": F.length(F.translate("t", ASCII_SPACE, "")),
+        "raw": F.filter(F.split("t", "\n"), lambda line: F.btrim(line, blank) != ""),
+        "plain": F.transform(F.split(normalised(F.col("t")), "\n"), lambda line: F.trim(line)),
     }).select(
-        "doc_id", "host", "n_symbols", "word_chars", "w", F.size("w").alias("n_words"),
-        (F.size("raw") - F.size(F.array_distinct("raw"))).alias("n_dup_lines"),
-        F.sort_array(F.transform("raw", line_entry)).alias("lines"), text_digest("t").alias("digest"),
-    ).withColumn("windows", windows_of(F.col("w"))).drop("w").withColumn(
-        "places", repeated(F.col("windows"))
-    ).select(
-        "doc_id", "host",
-        F.col("n_words").cast("long"), F.col("word_chars").cast("long"),
-        F.col("n_symbols").cast("long"), F.col("n_dup_lines").cast("long"),
-        covered(F.col("places")).alias("n_repeat_words"),
-        "lines", "digest",
+        "doc_id", "host", "w",
+        (F.size(F.split("t", SYMBOL, -1)) - 1).cast("long").alias("n_symbols"),
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        (F.size("raw") - F.size(F.array_distinct("raw"))).cast("long").alias("n_dup_lines"),
+        F.filter(
+            F.transform("plain", lambda line, k: F.when(line != "", line_entry(line, k, limits))),
+            lambda entry: entry.isNotNull(),
+        ).alias("lines"),
+        F.unhex(F.md5("t")).alias("digest"),
+    ).withColumn("hashes", window_hashes(F.col("w"))).withColumns({
+        "n_words": F.size("w").cast("long"), "windows": sorted_windows(F.col("hashes")),
+    }).drop("w", "hashes").withColumn("places", repeated(F.col("windows"))).select(
+        "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        covered(F.col("places")).alias("n_repeat_words"), "lines", "digest",
     )
 
 
-def frequent_lines(lines: DataFrame, measures: DataFrame, limits: Limits) -> DataFrame:
-    """The lines of each host held by more documents than allowed: `host, h`."""
-    hosts = measures.groupBy("host").agg(F.count("*").alias("host_documents"))
-    counted = lines.select("host", "h", "company", "digest").distinct().groupBy(
-        "host", "h", "company"
-    ).agg(F.count("*").alias("texts")).groupBy("host", "h").agg(
-        F.count("*").alias("n_documents"), F.sum("texts").alias("n_texts")
-    ).where(
-        (F.col("n_documents") > limits.documents)
-        & (100 * F.col("n_documents") >= limits.apart * F.col("n_texts"))
+def above(counted: DataFrame, hosts: DataFrame, limits: Limits) -> DataFrame:
+    """The lines whose `n` documents are more than the limits of their host: `host, h`."""
+    return counted.where(F.col("n") > limits.documents).join(hosts, "host").where(
+        F.col("n") > F.col("host_documents") * limits.share
+    ).select("host", "h")
+
+
+def touched_documents(measures: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The documents with a candidate line: `row, host, digest` and all their lines, in order, with
+    `frequent` and `context`, a key of the lines before and after."""
+    lines = measures.select("row", "host", "digest", F.explode("lines").alias("line")).select(
+        "*", F.col("line.h").alias("h")
+    )
+    found = lines.join(
+        candidates.withColumn("frequent", F.lit(True)), ["host", "h"], "left"
+    ).groupBy("row", "host", "digest").agg(
+        F.count("frequent").alias("n"),
+        F.array_sort(F.collect_list(F.struct("line.place", "line", "frequent"))).alias("lines"),
+    ).where(F.col("n") > 0)
+    around = F.transform("lines", lambda x, k: F.struct(
+        x["line"]["h"].alias("h"), x["line"]["place"].alias("place"), x["line"]["words"].alias("words"),
+        x["line"]["first"].alias("first"), x["line"]["second"].alias("second"),
+        F.coalesce(x["frequent"], F.lit(False)).alias("frequent"),
+        F.xxhash64(
+            F.lit("between"), F.get("lines", k - 1)["line"]["h"], F.get("lines", k + 1)["line"]["h"]
+        ).alias("context"),
+    ))
+    return found.select("row", "host", "digest", around.alias("lines"))
+
+
+def own_lines(touched: DataFrame) -> DataFrame:
+    """`row, own`: the smallest hash among a document's lines that are neither candidates nor edits of
+    one. Documents without such a line are absent."""
+    lines = touched.select("row", "host", "digest", F.explode("lines").alias("x")).select(
+        "row", "host", "digest", "x.*"
+    )
+    keys = F.array("first", "second", "context")
+    frequent = lines.where("frequent")
+    halves = frequent.select("host", F.explode(F.array("first", "second")).alias("key")).distinct()
+    contexts = frequent.select("host", F.col("context").alias("key"), "digest").distinct().groupBy(
+        "host", "key"
+    ).agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    known = halves.where(F.col("key").isNotNull()).unionByName(contexts).distinct().withColumn(
+        "known", F.lit(True)
     )
-    return counted.alias("c").join(
-        hosts.alias("s"), F.col("c.host").eqNullSafe(F.col("s.host"))
-    ).where(F.col("n_documents") > F.col("host_documents") * limits.share).select("c.host", "h")
+    other = lines.where(~F.col("frequent")).select("row", "host", "h", F.explode(keys).alias("key"))
+    return other.join(known, ["host", "key"], "left").groupBy("row", "h").agg(
+        F.count("known").alias("n")
+    ).where(F.col("n") == 0).groupBy("row").agg(F.min("h").alias("own"))
 
 
 def judged(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
-    limits: Limits = DEFAULT,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The verdict on every document, the lines to remove per host, and the lines of each row.
+    limits: Limits = DEFAULT, row: str | None = None,
+) -> DataFrame:
+    """The verdict on every document: `row, doc_id`, the counts, `n_removed_words, removed` (the
+    places of the lines to remove), `base_failed, depleted, kept`.
 
-    Verdicts: `row, doc_id, host, digest`, the counts, `n_removed_words, removed` (the hashes of the
-    lines to remove), `base_failed, depleted, kept`.
+    `row` names a column that tells rows apart; else they are numbered.
     """
-    measures = staged(
-        measured(docs, doc_id, text, host).withColumn("row", F.monotonically_increasing_id())
+    key = F.monotonically_increasing_id() if row is None else F.col(row)
+    keyed = docs.select(
+        F.struct(F.col(doc_id).alias("id"), key.alias("row")).alias("both"),
+        F.col(text).alias("text"), F.col(host).alias("host"),
+    )
+    measures = staged(measured(keyed, "both", "text", "host", limits).select(
+        F.col("doc_id.row").alias("row"), F.col("doc_id.id").alias("doc_id"), "host", "n_words",
+        "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "digest",
+    ))
+    hosts = measures.groupBy("host").agg(F.count("*").alias("host_documents"))
+    texts = measures.select("host", "digest", F.explode(F.array_distinct(
+        F.transform("lines", lambda x: x["h"])
+    )).alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
+    touched = staged(touched_documents(measures, above(texts, hosts, limits)))
+    hits = touched.join(own_lines(touched), "row", "left").select(
+        "row", "host", F.coalesce("own", F.unhex(F.lit(""))).alias("own"),
+        F.explode(F.filter("lines", lambda x: x["frequent"])).alias("x"),
+    ).select("row", "host", "own", "x.h", "x.place", "x.words")
+    counted = hits.select("host", "h", "own").distinct().groupBy("host", "h").agg(
+        F.count("*").alias("n")
     )
-    lines = exploded(measures)
-    frequent = frequent_lines(lines, measures, limits)
-    removed = lines.alias("l").join(
-        frequent.alias("f"),
-        F.col("l.host").eqNullSafe(F.col("f.host")) & (F.col("l.h") == F.col("f.h")),
-    ).groupBy("row").agg(
-        F.sum("words").alias("n_removed_words"), F.collect_set("l.h").alias("removed")
+    removed = hits.join(above(counted, hosts, limits), ["host", "h"]).groupBy("row").agg(
+        F.sum("words").alias("n_removed_words"), F.collect_list("place").alias("removed")
     )
-    verdicts = measures.drop("lines").join(removed, "row", "left").withColumn(
+    return measures.drop("lines", "host", "digest").join(removed, "row", "left").withColumn(
         "n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long"))
     ).withColumns({
         "base_failed": (F.col("n_words") < limits.min_words)
@@ -163,50 +228,43 @@ def judged(
         "depleted": 100 * (F.col("n_words") - F.col("n_removed_words"))
         < limits.left * F.col("n_words"),
     }).withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
-    return verdicts, frequent, lines
-
-
-def exploded(measures: DataFrame) -> DataFrame:
-    """One row per line occurrence: `row, host, digest, h, words, company`."""
-    lines = F.col("lines")
-    first = F.get(lines, F.lit(0))["h"]
-    second = F.get(F.filter(lines, lambda x: x["h"] != first), F.lit(0))["h"]
-    return measures.select(
-        "row", "host", "digest", first.alias("first"), second.alias("second"),
-        F.explode("lines").alias("x"),
-    ).select(
-        "row", "host", "digest", F.col("x.h").alias("h"), F.col("x.words").alias("words"),
-        F.when(F.col("x.h") == F.col("first"), F.col("second")).otherwise(F.col("first"))
-        .alias("company"),
-    )
 
 
 def quality_rules(docs: DataFrame, limits: Limits = DEFAULT, **columns: str) -> DataFrame:
     """The verdict on every document; see `judged`."""
-    return judged(docs, limits=limits, **columns)[0]
+    return judged(docs, limits=limits, **columns)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """A column name that isn't taken."""
+    while name in columns:
+        name += "_"
+    return name
 
 
 def cleaned(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source",
     limits: Limits = DEFAULT,
 ) -> DataFrame:
-    """The kept documents without the removed lines, `n_chars` counted anew where there is one."""
-    verdicts = judged(docs, doc_id, text, host, limits)[0]
-    changes = verdicts.where(~F.col("kept") | F.col("removed").isNotNull()).groupBy(
-        F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest")
-    ).agg(F.any_value("kept").alias("__kept"), F.any_value("removed").alias("__removed"))
-    rows = docs.join(
-        changes,
-        F.col(doc_id).eqNullSafe(F.col("__doc")) & (text_digest(text) == F.col("__digest")), "left",
-    ).where(F.coalesce("__kept", F.lit(True)))
+    """The kept documents without the removed lines, `n_chars` counted anew where there is one.
+
+    Rows are told apart by a key of their own, written with them, since ids may be null or repeated.
+    """
+    spark, key = docs.sparkSession, unused(docs.columns, "row_key")
+    gone, kept = unused(docs.columns, "removed_lines"), unused(docs.columns, "kept_row")
+    path = fresh_folder(spark, "quality-keyed")
+    docs.withColumn(key, F.monotonically_increasing_id()).write.option(
+        "compression", "zstd"
+    ).parquet(path)
+    keyed = spark.read.parquet(path)
+    changes = judged(keyed, doc_id, text, host, limits, row=key).where(
+        ~F.col("kept") | F.col("removed").isNotNull()
+    ).select(F.col("row").alias(key), F.col("removed").alias(gone), F.col("kept").alias(kept))
+    rows = keyed.join(changes, key, "left").where(F.coalesce(kept, F.lit(True)))
     left = F.array_join(F.filter(
-        F.split(F.col(text), "\n"),
-        lambda line: ~has_word(line)
-        | ~F.array_contains(F.col("__removed"), F.unhex(F.md5(normalised(line)))),
+        F.split(F.col(text), "\n"), lambda line, k: ~F.array_contains(F.col(gone), k)
     ), "\n")
-    out = rows.withColumn(
-        text, F.when(F.col("__removed").isNull(), F.col(text)).otherwise(left)
-    )
+    out = rows.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(left))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
@@ -232,33 +290,51 @@ WITH d AS (
   FROM (SELECT row, i, count(*) OVER (PARTITION BY row, win) AS n FROM win), range(3) r(k)
   WHERE n >= 2 GROUP BY row
 ), raw AS (
-  SELECT row, host, t, line FROM (SELECT row, host, t, unnest(string_split(t, chr(10))) AS line FROM d)
-  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  SELECT row, host, t, i, line FROM (
+    SELECT row, coalesce('=' || host, '') AS host, t, unnest(string_split(t, chr(10))) AS line,
+      generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d
+  ) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), dup AS (
   SELECT row, count(*) - count(DISTINCT line) AS n_dup_lines FROM raw GROUP BY row
 ), norm AS (
-  SELECT row, host, t, trim(regexp_replace(translate(line,
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'),
-    '[\x20\x09-\x0D]+', ' ', 'g')) AS line FROM raw
+  SELECT row, host, t, i, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line
+  FROM raw
 ), h AS (
-  SELECT row, host, t, line, md5(line) AS h, len(string_split(line, ' ')) AS words FROM norm
-), firsts AS (
-  SELECT row, min(h) AS first FROM h GROUP BY row
-), seconds AS (
-  SELECT row, first, min(h) FILTER (h <> first) AS second FROM h JOIN firsts USING (row)
-  GROUP BY row, first
-), c AS (
-  SELECT host, line, count(DISTINCT coalesce(CASE WHEN h = first THEN second ELSE first END, '')) AS n,
-    count(DISTINCT t) AS texts
-  FROM h JOIN seconds USING (row) GROUP BY host, line
+  SELECT row, host, t, i, line, md5(line) AS h, string_split(line, ' ') AS ws,
+    lag(line) OVER w AS line_before, lead(line) OVER w AS line_after
+  FROM norm WINDOW w AS (PARTITION BY row ORDER BY i)
+), keyed AS (
+  SELECT *, len(ws) AS words,
+    CASE WHEN len(ws) >= 6 THEN '1 ' || array_to_string(ws[1:len(ws) // 2], ' ') END AS first,
+    CASE WHEN len(ws) >= 6 THEN '2 ' || array_to_string(ws[len(ws) // 2 + 1:], ' ') END AS second,
+    '3 ' || coalesce(md5(line_before), '') || ' ' || coalesce(md5(line_after), '') AS context
+  FROM h
 ), hosts AS (
-  SELECT host, count(*) AS docs FROM d GROUP BY host
+  SELECT coalesce('=' || host, '') AS host, count(*) AS docs FROM d GROUP BY 1
+), candidates AS (
+  SELECT host, line FROM (
+    SELECT host, line, count(DISTINCT t) AS n FROM keyed GROUP BY host, line
+  ) JOIN hosts USING (host) WHERE n > 20 AND n > docs * 0.002
+), flagged AS (
+  SELECT k.*, c.line IS NOT NULL AS frequent,
+    bool_or(c.line IS NOT NULL) OVER (PARTITION BY k.row) AS touched
+  FROM keyed k LEFT JOIN candidates c ON k.host = c.host AND k.line = c.line
+), known AS (
+  SELECT host, first AS key FROM flagged WHERE frequent AND first IS NOT NULL
+  UNION SELECT host, second FROM flagged WHERE frequent AND second IS NOT NULL
+  UNION SELECT host, context FROM flagged WHERE frequent GROUP BY host, context
+    HAVING count(DISTINCT t) > 1
+), owns AS (
+  SELECT row, min(h) AS own FROM flagged f WHERE touched AND NOT frequent AND NOT EXISTS (
+    SELECT 1 FROM known k WHERE k.host = f.host AND k.key IN (f.first, f.second, f.context)
+  ) GROUP BY row
 ), frequent AS (
-  SELECT c.host, c.line FROM c JOIN hosts ON c.host IS NOT DISTINCT FROM hosts.host
-  WHERE n > 20 AND n > docs * 0.002 AND 100 * n >= 50 * texts
+  SELECT host, line FROM (
+    SELECT host, line, count(DISTINCT coalesce(own, '')) AS n
+    FROM flagged LEFT JOIN owns USING (row) WHERE frequent GROUP BY host, line
+  ) JOIN hosts USING (host) WHERE n > 20 AND n > docs * 0.002
 ), gone AS (
-  SELECT row, sum(words) AS n_removed_words FROM h JOIN frequent f
-  ON h.host IS NOT DISTINCT FROM f.host AND h.line = f.line GROUP BY row
+  SELECT row, sum(words) AS n_removed_words FROM keyed JOIN frequent USING (host, line) GROUP BY row
 ), m AS (
   SELECT d.doc_id, len(ws) AS n_words,
     length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from ledgerproof.llm.quality import Limits, cleaned, quality_rules
 
 PROSE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lam mu nu xi omicron pi".split()
@@ -91,3 +93,60 @@ def test_long_text(documents):
     text = "\n".join(prose(k, 50) for k in range(2000))
     row = quality_rules(documents((1, text))).first()
     assert row.n_words == 100_000 and row.kept
+
+
+@pytest.mark.parametrize("shared, own", [(1, 5), (5, 1), (10, 1), (10, 5), (20, 1), (20, 4)])
+@pytest.mark.parametrize("place", ["before", "within"])
+def test_blocks_of_shared_lines_go(documents, shared, own, place):
+    block = [prose(9000 + k, 12) for k in range(shared)]
+    rows = []
+    for k in range(60):
+        mine = [prose(100 * k + j, 14) for j in range(own)]
+        at = 0 if place == "before" else shared // 2
+        rows.append((k, "\n".join(block[:at] + mine + block[at:]), None, "a"))
+    got = quality_rules(documents(*rows)).collect()
+    assert {r.n_removed_words for r in got} == {12 * shared}
+    assert all(r.depleted == (100 * 14 * own < 30 * r.n_words) for r in got)
+
+
+def test_number_tables_stay(documents):
+    rng = random.Random(8)
+    rows = [
+        (k, "\n".join(f"{rng.randrange(10**6)} {rng.randrange(10**6)}" for _ in range(40)) + "\n" + prose(k, 30))
+        for k in range(100)
+    ]
+    got = quality_rules(documents(*rows)).collect()
+    assert all(r.kept and r.n_removed_words == 0 for r in got)
+
+
+def test_copies_with_changed_words_keep_their_lines(documents):
+    rng = random.Random(9)
+    lines = [prose(500 + k, 40).split(" ") for k in range(9)]
+    rows = []
+    for k in range(200):
+        own = [list(line) for line in lines]
+        for _ in range(3):
+            line = rng.choice(own)
+            line[rng.randrange(len(line))] = f"changed{rng.randrange(10**9)}"
+        rows.append((k, "\n".join(map(" ".join, own)), None, "a"))
+    got = quality_rules(documents(*rows)).collect()
+    assert all(r.kept and r.n_removed_words == 0 for r in got)
+
+
+def test_columns_of_any_name(spark, documents):
+    from pyspark.sql import functions as F
+
+    names = ["row_key", "removed_lines", "kept_row", "row", "digest", "host", "removed", "kept"]
+    docs = documents((1, prose(1)), (2, "few words"), extra="own").select(
+        "*", *[F.lit(k).alias(n) for k, n in enumerate(names)]
+    )
+    assert quality_rules(docs).count() == 2
+    assert [r.asDict()["removed_lines"] for r in cleaned(docs).collect()] == [1]
+
+
+def test_verdicts_follow_the_host_of_a_row(documents):
+    notice = "All rights reserved by the owner of this page"
+    rows = [(k, f"{prose(k)}\n{notice}", None, "a") for k in range(30)]
+    rows += [(5, f"{prose(5)}\n{notice}", None, "b")]  # the same id and text at another host
+    texts = sorted(r.text for r in cleaned(documents(*rows)).collect() if r.doc_id == 5)
+    assert texts == sorted([prose(5), f"{prose(5)}\n{notice}"])
