@@ -1,13 +1,16 @@
 """WARC archives with revisit resolution.
 
-Only headers (id, size, digest) are shuffled by payload digest to find the original of each group
-of equal payloads; the payloads stay with their rows until the archive is written. A revisit record
-holds no payload but names the record it repeats; on reading, revisits are joined to the originals.
-
-Files are written and read by Spark's text source: a record starts with `WARC/1.1` and ends with two
-line breaks, and the reader splits at the version line. A block that contains a version line itself
-is written as a WARC segmented record, cut inside that line, so that the split is always exact.
-`Content-Length` is checked on reading. Files are gzip streams of many records.
+Headers (id, URL, size, digest) are written once and shuffled by payload digest to find the original
+of each group of equal payloads. The ids of the revisits go to all tasks if there are at most
+`broadcast` of them; then payloads stay with their rows until the archive is written. Beyond that
+number the rows are joined by id and digest, which shuffles the payloads once. A revisit record holds
+no payload but names the record it repeats; on reading, revisits are joined to the originals.
+
+Files are written and read by Spark's text source, which names them `.txt.gz`: a record starts with
+`WARC/1.1` and ends with two line breaks, and the reader splits at the version line. A block that
+contains a version line itself is written as a WARC segmented record, cut inside that line, so that
+the split is always exact. `Content-Length` is checked on reading. Each file is one gzip stream of
+many records.
 
 Defined cases: a null payload is an empty one; a null id is always a response and never an original
 that others refer to; rows that share id and payload are all the same original; a null URL has no
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerproof.llm.common import fresh_folder, table
+from ledgerproof.llm.common import fresh_folder, staged, table
 
 VERSION = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -30,11 +33,13 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 @dataclass(frozen=True)
 class Options:
-    """`smallest`: payloads with fewer bytes are always responses. `date` stamps the records."""
+    """`smallest`: payloads with fewer bytes are always responses. `date` stamps the records.
+    `broadcast`: so many revisits, of some 200 bytes each, may go to all tasks."""
 
     smallest: int = 100
     date: str = "2024-01-01T00:00:00Z"
     compression: str = "gzip"
+    broadcast: int = 200_000
 
 
 DEFAULT = Options()
@@ -52,17 +57,20 @@ def captures(pages: DataFrame, record_id: str, url: str, payload: str) -> DataFr
 
 
 def originals(headers: DataFrame, options: Options = DEFAULT) -> DataFrame:
-    """`digest, original` of every payload that more than one record holds."""
+    """`digest, original, original_url` of every payload that more than one record holds."""
     return headers.where(F.col("n_bytes") >= options.smallest).groupBy("digest").agg(
-        F.min("id").alias("original"), F.count("*").alias("n")
+        F.min("id").alias("original"), F.min_by("url", "id").alias("original_url"),
+        F.count("*").alias("n"),
     ).where((F.col("n") > 1) & F.col("original").isNotNull()).drop("n")
 
 
 def revisits(headers: DataFrame, options: Options = DEFAULT) -> DataFrame:
-    """`id, digest, refers_to` of the records that repeat an earlier payload."""
+    """`id, digest, refers_to, refers_url` of the records that repeat an earlier payload."""
     return headers.join(originals(headers, options), "digest").where(
         (F.col("n_bytes") >= options.smallest) & (F.col("id") != F.col("original"))
-    ).select("id", "digest", F.col("original").alias("refers_to")).distinct()
+    ).groupBy("id", "digest").agg(
+        F.min("original").alias("refers_to"), F.min("original_url").alias("refers_url")
+    )
 
 
 def urn(record: Column) -> Column:
@@ -90,14 +98,16 @@ def safe_url(url: Column) -> Column:
 def segments(block: Column) -> Column:
     """The block cut inside every version line it contains; one piece for nearly all blocks."""
     # With the line break that follows the block, its end is looked at as well.
-    parts = F.split(F.concat(block, F.lit("\r\n")), "WARC/1\\.1\r\n")
+    ended = F.concat(block, F.lit("\r\n"))
+    parts = F.split(ended, "WARC/1\\.1\r\n")
     last = F.size(parts) - 1
     pieces = F.transform(parts, lambda part, k: F.concat(
         F.when(k > 0, "/1.1\r\n").otherwise(""), part, F.when(k < last, "WARC").otherwise("")
     ))
-    return F.transform(pieces, lambda piece, k: F.when(
+    cut = F.transform(pieces, lambda piece, k: F.when(
         k == last, F.substring(piece, F.lit(1), F.length(piece) - 2)
     ).otherwise(piece))
+    return F.when(F.contains(ended, F.lit(VERSION)), cut).otherwise(F.array(block))
 
 
 def record_texts(resolved: DataFrame, options: Options = DEFAULT) -> DataFrame:
@@ -107,16 +117,17 @@ def record_texts(resolved: DataFrame, options: Options = DEFAULT) -> DataFrame:
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.col("n_bytes").cast("string"), F.lit(END),
     )
-    cut = resolved.withColumn("urn", F.coalesce(urn(F.col("id")), F.lit("<urn:uuid:none>"))).select(
-        "id", "url", "digest", "refers_to", "urn",
-        F.posexplode(segments(
-            F.concat(http, F.when(revisit, "").otherwise(F.col("payload")))
-        )).alias("k", "piece"),
-        F.octet_length(F.concat(http, F.when(revisit, "").otherwise(F.col("payload"))))
-        .alias("total"),
-    )
+    cut = resolved.select(
+        "id", "url", "digest", "refers_to", "refers_url",
+        F.coalesce(urn(F.col("id")), F.lit("<urn:uuid:none>")).alias("urn"),
+        F.concat(http, F.when(revisit, "").otherwise(F.col("payload"))).alias("block"),
+    ).select(
+        "id", "url", "digest", "refers_to", "refers_url", "urn",
+        F.octet_length("block").alias("total"),
+        F.posexplode(segments(F.col("block"))).alias("k", "piece"),
+    ).withColumn("size", F.octet_length("piece"))
     first = F.col("k") == 0
-    whole = first & (F.octet_length("piece") == F.col("total"))
+    whole = first & (F.col("size") == F.col("total"))
     kind = F.when(~first, "continuation").when(revisit, "revisit").otherwise("response")
     return cut.select(F.concat(
         F.lit(VERSION),
@@ -128,13 +139,17 @@ def record_texts(resolved: DataFrame, options: Options = DEFAULT) -> DataFrame:
         header_line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         header_line("WARC-Profile", F.when(first & revisit, F.lit(PROFILE))),
         header_line("WARC-Refers-To", F.when(first & revisit, urn(F.col("refers_to")))),
+        header_line(
+            "WARC-Refers-To-Target-URI", F.when(first & revisit, safe_url(F.col("refers_url")))
+        ),
+        header_line("WARC-Refers-To-Date", F.when(first & revisit, F.lit(options.date))),
         header_line("WARC-Segment-Number", F.when(~whole, F.col("k") + 1)),
         header_line("WARC-Segment-Origin-ID", F.when(~first, F.col("urn"))),
         header_line("WARC-Segment-Total-Length", F.when(~whole, F.col("total"))),
         header_line("X-Source-ID", F.col("id")),
         header_line("X-Refers-To-Source-ID", F.when(first, F.col("refers_to"))),
         F.lit("Content-Type: application/http; msgtype=response\r\n"),
-        header_line("Content-Length", F.octet_length("piece")),
+        header_line("Content-Length", F.col("size")),
         F.lit("\r\n"), F.col("piece"),
     ).alias("value"))
 
@@ -146,7 +161,10 @@ def write_archives(
     """Write one record per page: the first of each group of equal payloads in full, the rest as
     revisits of it."""
     found = captures(pages, record_id, url, payload)
-    repeats = revisits(found.select("id", "n_bytes", "digest"), options)
+    headers = staged(found.drop("payload"))
+    repeats = staged(revisits(headers, options))
+    if repeats.limit(options.broadcast + 1).count() <= options.broadcast:
+        repeats = F.broadcast(repeats)
     resolved = found.join(repeats, ["id", "digest"], "left")
     record_texts(resolved, options).write.option("lineSep", END).option(
         "compression", options.compression
@@ -157,17 +175,20 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives: `warc_type, record_id, url, date, digest, refers_to_urn,
     source_id, refers_to, payload`, segments joined. `digest` is what the header states. A record
     whose block is not as long as stated is an error."""
-    head = F.substring_index("value", END, 1)
+    # Sizes are bytes; the blank line is looked for once per record, and nothing is cut twice.
     rows = spark.read.option("lineSep", VERSION).text(path).where(F.col("value") != "").select(
-        F.concat(head, F.lit("\r\n")).alias("head"),
-        F.expr(f"substring(value, length({_sql_head()}) + 5)").alias("rest"),
+        F.substring_index("value", END, 1).alias("head"), F.col("value").cast("binary").alias("bytes"),
+    ).select(
+        "head", F.split("head", "\r\n").alias("fields"),
+        F.expr("substring(bytes, octet_length(head) + 5, octet_length(bytes) - octet_length(head) - 8)")
+        .alias("block"),
     )
 
     def field(name: str) -> Column:
-        found = F.regexp_extract("head", f"(?:^|\n){name}: ([^\r\n]*)\r\n", 1)
-        return F.when(found != "", found)
+        line = F.get(F.filter("fields", lambda x: F.startswith(x, F.lit(f"{name}: "))), F.lit(0))
+        value = F.substring(line, len(name) + 3, 1 << 30)
+        return F.when(value != "", value)
 
-    block = F.expr("substring(rest, 1, length(rest) - 4)")
     records = rows.select(
         field("WARC-Type").alias("warc_type"), field("WARC-Record-ID").alias("record_id"),
         field("WARC-Target-URI").alias("url"), field("WARC-Date").alias("date"),
@@ -177,8 +198,10 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         field("X-Refers-To-Source-ID").cast("long").alias("refers_to"),
         field("WARC-Segment-Number").cast("int").alias("segment"),
         field("WARC-Segment-Origin-ID").alias("origin"),
-        field("WARC-Segment-Total-Length").cast("long").alias("total"),
-        F.when(F.octet_length(block) == field("Content-Length").cast("long"), block).otherwise(
+        F.when(
+            F.octet_length("block") == field("Content-Length").cast("long"),
+            F.col("block").cast("string"),
+        ).otherwise(
             F.raise_error(F.concat(F.lit("damaged WARC record: "), F.col("head")))
         ).alias("block"),
     )
@@ -194,22 +217,21 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn(
         "block", F.array_join(F.transform("pieces", lambda p: p["block"]), "")
     ).select(*plain, "block")
-    return single.unionByName(joined).withColumn(
-        "payload", F.expr("substring(block, instr(block, '\\r\\n\\r\\n') + 4)")
-    ).drop("block")
-
-
-def _sql_head() -> str:
-    return "substring_index(value, '\\r\\n\\r\\n', 1)"
+    # The HTTP head is cut off by bytes.
+    http = F.octet_length(F.substring_index("block", END, 1))
+    return single.unionByName(joined).withColumn("payload", F.substring(
+        F.col("block").cast("binary"), http + 5, F.octet_length("block")
+    ).cast("string")).drop("block")
 
 
 def resolved_records(records: DataFrame) -> DataFrame:
     """Every record with the size and digest of its full payload. Responses are measured; revisits
-    are joined to the response they refer to, by record id, and take its measures."""
-    measured = records.withColumns({
+    are joined to the response they refer to, by record id, and take its measures. The archives are
+    parsed once; what is measured is written."""
+    measured = staged(records.withColumns({
         "payload_bytes": F.octet_length("payload").cast("long"),
         "payload_digest": F.sha2(F.col("payload").cast("binary"), 256),
-    }).drop("payload")
+    }).drop("payload"))
     found = measured.where(F.col("warc_type") == "response").groupBy(
         F.col("record_id").alias("refers_to_urn"), F.col("payload_digest").alias("digest")
     ).agg(F.max("payload_bytes").alias("found_bytes"))

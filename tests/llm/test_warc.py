@@ -56,6 +56,21 @@ def test_segments_never_hold_a_version_line(spark):
         assert not any("WARC/1.1\r\n" in p + "\r\n" for p in pieces)
 
 
+def test_many_revisits_are_joined_by_id(spark, tmp_path):
+    rows = [(k, f"http://h/{k % 7}", f"{k % 5} " * 99) for k in range(60)]
+    found = {}
+    for bound in (0, 1000):
+        path = str(tmp_path / f"bound{bound}")
+        warc.write_archives(pages(spark, rows), path, options=warc.Options(broadcast=bound))
+        text = "".join(r.value for r in spark.read.option("lineSep", warc.VERSION).text(path).collect())
+        assert text.count("WARC-Refers-To-Target-URI: http://h/") == 55
+        assert text.count("WARC-Refers-To-Date: ") == 55
+        got = warc.resolved_records(warc.read_archives(spark, path)).collect()
+        found[bound] = sorted((r.source_id, r.warc_type, r.refers_to, r.payload_digest) for r in got)
+    assert found[0] == found[1000]
+    assert [r[2] for r in found[0]] == [None if k < 5 else k % 5 for k in range(60)]
+
+
 def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "none")
     warc.write_archives(pages(spark, []), path)
