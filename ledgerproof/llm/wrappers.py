@@ -3,10 +3,14 @@
 Pages of one host come from few templates. A wrapper is a union-free regular expression over tags and
 text: from a bounded sample of a host's pages, token streams are aligned one after another. Equal
 neighbours fold into repeated groups, what only some pages have becomes optional, and text becomes a
-slot. Each slot gets a role from its place (menus, headers, footers, adverts, forms, comments by tag
-and by class), from how it changes (the same text on all pages belongs to the template) and from its
-links. Every page is then matched with its host's wrapper and gives the text of the main slots. Parts
-of a page that the wrapper does not know are judged by the containers they stand in.
+slot. The article is found from marked containers or from where the text lies; parts of it that are
+menus, adverts, notices, forms or comments are told by their tags, roles and class words. A class
+word never counts against the article itself, what stands around it, or a part with its headline or
+most of its text. Every page is matched with its host's wrapper.
+
+The sample only aligns. A text that stands in one slot of several sampled pages is template if it
+stands there on `most` percent of all pages of the host, which are counted; and only blocks with that
+very text are left out, on pages that say something else as well.
 
 Defined cases: a null or empty page has an empty text; a null or odd URL belongs to the host "";
 broken and unclosed markup is read as far as it goes; a host with one page has that page as its
@@ -19,6 +23,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -32,27 +37,33 @@ from ledgerproof.llm.common import staged, table
 
 @dataclass(frozen=True)
 class Options:
-    """`sample` pages per host (smallest hash of the id) are aligned. Text that is the same on
-    `constant` pages or more, and on every one of them, is template. Wrappers, and the ids of the
-    sample, are broadcast up to `broadcast` bytes in all, and joined by a shuffle beyond that."""
+    """`sample` different pages per host (smallest digests) are aligned, with repeated groups of up
+    to `group` items. A text that stands in one slot of `constant` of them may be template, and is if
+    `most` percent of the host's pages hold it there. Wrappers, and the digests of the sample, are
+    broadcast up to `broadcast` bytes in all, and joined by a shuffle beyond that."""
 
     sample: int = 12
+    group: int = 12
     constant: int = 5
+    most: int = 90
     broadcast: int = 32 << 20
 
 
 DEFAULT = Options()
-ROW_BYTES = 100  # of an id and a host, about
+ROW_BYTES = 100  # of a digest and a host, about
 
 # Elements of HTML by their part in the text, and words that name page furniture.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby "
-    "rb rp rt s samp small span strike strong sub sup time tt u var wbr".split()
+    "rb rp rt s samp small span strike strong sub sup time tt u var wbr "
+    # Formulas, drawings and embedded objects stand within a text.
+    "math mi mo mn ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover "
+    "mtable mtr mtd mstyle semantics annotation svg g text tspan path object".split()
 )
 BLOCKS = frozenset(
     "p li dt dd h1 h2 h3 h4 h5 h6 tr td th caption figcaption legend option pre hr address".split()
 )
-RAW = frozenset("script style title textarea noscript template iframe xmp object svg math".split())
+RAW = frozenset("script style title textarea noscript template iframe xmp".split())
 VOID = frozenset("area base col embed input link meta param source track".split())
 FURNITURE_TAGS = frozenset(
     "nav footer aside form menu dialog button select head fieldset canvas audio video".split()
@@ -89,12 +100,52 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Pages as units
 
 
+class Paths:
+    """The places of containers as numbers: a place is the one around it and the container's key.
+    Numbers grow inwards, and what is asked about a place is kept beside it."""
+
+    def __init__(self):
+        self.parent, self.key, self.names = [0], [""], [""]
+        self.inside, self.barred, self.worded = [False], [False], [False]
+        self.child: dict[tuple[int, str], int] = {}
+
+    def at(self, parent: int, key: str) -> int:
+        found = self.child.get((parent, key))
+        if found is None:
+            found = self.child[parent, key] = len(self.key)
+            name = key.partition("|")[0]
+            inside = self.inside[parent]
+            self.parent.append(parent)
+            self.key.append(key)
+            self.names.append(name)
+            self.inside.append(inside or name in MAIN_TAGS)
+            self.barred.append(self.barred[parent] or barred(key, inside))
+            self.worded.append(worded(key, inside))
+        return found
+
+    def keys(self, place: int) -> list[str]:
+        """The keys from the outermost container to this one."""
+        out = []
+        while place:
+            out.append(self.key[place])
+            place = self.parent[place]
+        return out[::-1]
+
+    def find(self, keys: list[str]) -> int | None:
+        place = 0
+        for key in keys:
+            place = self.child.get((place, key))
+            if place is None:
+                return None
+        return place
+
+
 @dataclass
 class Unit:
-    """A container's start or end, or a block of text. `path` holds the containers around it."""
+    """A container's start or end, or a block of text. `place` is that of the containers around it."""
 
     key: str
-    path: tuple[str, ...]
+    place: int
     text: str | None = None
     links: int = 0
 
@@ -109,10 +160,12 @@ def container_key(name: str, rest: str) -> str:
     return "|".join(found)
 
 
-def units_of(page: str) -> list[Unit]:
+def units_of(page: str, paths: Paths | None = None) -> list[Unit]:
     """The containers and text blocks of a page in order."""
+    paths = paths or Paths()
     out: list[Unit] = []
-    stack: list[str] = []
+    stack: list[int] = [0]
+    open_names: Counter[str] = Counter()
     text: list[str] = []
     links = depth = 0
     block = ""
@@ -121,10 +174,16 @@ def units_of(page: str) -> list[Unit]:
         nonlocal links
         words = " ".join(entities.unescape("".join(text)).split())
         if words:
-            out.append(Unit(block, tuple(stack), words, links))
+            out.append(Unit(block, stack[-1], words, links))
         text.clear()
         links = 0
 
+    def closed() -> str:
+        place = stack.pop()
+        out.append(Unit("/" + paths.key[place], stack[-1]))
+        open_names[paths.names[place]] -= 1
+        return paths.names[place]
+
     def say(piece: str):
         nonlocal links
         text.append(piece)
@@ -152,13 +211,9 @@ def units_of(page: str) -> list[Unit]:
             block = ""
             if name in BLOCKS:
                 continue
-            open_names = [k.partition("|")[0] for k in stack]
-            if name in open_names:
-                while stack:
-                    key = stack.pop()
-                    out.append(Unit("/" + key, tuple(stack)))
-                    if key.partition("|")[0] == name:
-                        break
+            while open_names[name]:
+                if closed() == name:
+                    break
         elif name in RAW:
             if not hit["rest"].rstrip().endswith("/"):
                 end = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(page, place)
@@ -176,12 +231,12 @@ def units_of(page: str) -> list[Unit]:
             else:
                 block = ""
                 key = container_key(name, hit["rest"])
-                out.append(Unit(key, tuple(stack)))
-                stack.append(key)
+                out.append(Unit(key, stack[-1]))
+                stack.append(paths.at(stack[-1], key))
+                open_names[name] += 1
     flush()
-    while stack:
-        key = stack.pop()
-        out.append(Unit("/" + key, tuple(stack)))
+    while len(stack) > 1:
+        closed()
     return out
 
 
@@ -194,12 +249,12 @@ class Item:
     stand more than once in a row."""
 
     key: str
-    path: tuple[str, ...] = ()
+    place: int = 0
     optional: bool = False
     times: bool = False
     body: list[Item] | None = None
     pages: int = 1
-    texts: set = field(default_factory=set)
+    texts: Counter = field(default_factory=Counter)
     chars: int = 0
     links: int = 0
     slot: bool = False
@@ -210,9 +265,9 @@ class Item:
 
 def item_of(unit: Unit) -> Item:
     if unit.text is None:
-        return Item(unit.key, unit.path)
+        return Item(unit.key, unit.place)
     return Item(
-        "#" + unit.key, unit.path, texts={unit.text}, chars=len(unit.text), links=unit.links,
+        "#" + unit.key, unit.place, texts=Counter([unit.text]), chars=len(unit.text), links=unit.links,
         slot=True,
     )
 
@@ -220,10 +275,10 @@ def item_of(unit: Unit) -> Item:
 def joined(a: Item, b: Item, pages: bool) -> Item:
     """Two occurrences of one item as one: of two pages, or of one page (a repetition)."""
     out = Item(
-        a.key, a.path, a.optional or b.optional, a.times or b.times,
+        a.key, a.place, a.optional or b.optional, a.times or b.times,
         aligned(a.body, b.body, pages) if a.body and b.body else a.body or b.body,
         a.pages + b.pages if pages else max(a.pages, b.pages),
-        a.texts | b.texts if len(a.texts | b.texts) <= 3 else a.texts, a.chars + b.chars,
+        a.texts + b.texts if pages and not (a.times or b.times) else Counter(), a.chars + b.chars,
         a.links + b.links, a.slot,
     )
     if not pages:
@@ -231,11 +286,10 @@ def joined(a: Item, b: Item, pages: bool) -> Item:
     return out
 
 
-def folded(items: list[Item]) -> list[Item]:
-    """Equal neighbours as one repeated item; equal neighbouring groups of up to 12 items as one
-    repeated group."""
+def folded(items: list[Item], options: Options = DEFAULT) -> list[Item]:
+    """Equal neighbours as one repeated item; equal neighbouring groups as one repeated group."""
     out = list(items)
-    for size in range(1, 13):
+    for size in range(1, options.group + 1):
         done: list[Item] = []
         k = 0
         while k < len(out):
@@ -254,7 +308,7 @@ def folded(items: list[Item]) -> list[Item]:
                     end += size
                 if end > k + size:
                     done.append(merged[0] if size == 1 else Item(
-                        "(" + group[0].key, group[0].path, body=merged, times=True,
+                        "(" + group[0].key, group[0].place, body=merged, times=True,
                         pages=merged[0].pages,
                     ))
                     k = end
@@ -316,92 +370,134 @@ def aligned(a: list[Item], b: list[Item], pages: bool = True) -> list[Item]:
     return out + [passed(x) for x in a[i:]] + [passed(x) for x in b[j:]]
 
 
-def furniture(key: str, inside: bool) -> bool:
-    """Whether a container holds something other than the article. `inside`: it stands in one."""
+def barred(key: str, inside: bool) -> bool:
+    """Whether a container's tag or role says that it is no article. `inside`: it stands in one."""
     name, *attributes = key.split("|")
     if name in FURNITURE_TAGS or name == "header" and not inside:
         return True
-    for attribute in attributes:
-        kind, _, value = attribute.partition("=")
-        if kind == "hidden" or kind == "role" and value.lower() in FURNITURE_ROLES:
-            return True
-        if kind in ("class", "id") and name not in ("html", "body", "main"):
-            if any(w.lower() in FURNITURE_WORDS for w in WORDS.findall(value)):
-                return True
-    return False
-
-
-def ending_in(path: tuple[str, ...], tag: str) -> tuple[str, ...] | None:
-    """The path up to its outermost container of this tag."""
-    return next((path[:k + 1] for k, key in enumerate(path) if key.partition("|")[0] == tag), None)
-
-
-def outside(path: tuple[str, ...]) -> bool:
-    """Whether a place lies in furniture."""
-    inside = False
-    for key in path:
-        if furniture(key, inside):
-            return True
-        inside = inside or key.partition("|")[0] in MAIN_TAGS
-    return False
-
-
-def chosen_containers(blocks: list[tuple[tuple[str, ...], int]]) -> list[tuple[str, ...]]:
-    """Where the article is, from places of text and their sizes: marked containers, else the
-    container named like content, else the deepest one with most of the text."""
-    places = [(path, size) for path, size in blocks if not outside(path)]
+    pairs = (a.partition("=") for a in attributes)
+    return any(
+        kind == "hidden" or kind == "role" and value.lower() in FURNITURE_ROLES
+        for kind, _, value in pairs
+    )
+
+
+def worded(key: str, inside: bool) -> bool:
+    """Whether a container's classes or id name furniture. An article that stands in no other one is
+    not judged by them."""
+    name, *attributes = key.split("|")
+    if name in ("html", "body", "main") or name == "article" and not inside:
+        return False
+    return any(
+        a.startswith(("class=", "id=")) and any(w.lower() in FURNITURE_WORDS for w in WORDS.findall(a[3:]))
+        for a in attributes
+    )
+
+
+def subtotals(paths: Paths, sizes: Counter) -> list[int]:
+    """The characters in each place and the places in it."""
+    total = [0] * len(paths.key)
+    for place, size in sizes.items():
+        total[place] += size
+    for place in range(len(total) - 1, 0, -1):
+        total[paths.parent[place]] += total[place]
+    return total
+
+
+def main_places(paths: Paths, sizes: Counter) -> list[int]:
+    """Where the article is, from the places of text and their sizes: marked containers, else the
+    container named like content, else the deepest one with most of the text. Containers with class
+    words of furniture are left aside where others exist."""
+    aside = [False] * len(paths.key)
+    for place in range(1, len(aside)):
+        aside[place] = aside[paths.parent[place]] or paths.worded[place]
+    free = Counter({p: n for p, n in sizes.items() if not paths.barred[p]})
+    total = subtotals(paths, free)
     for tag in MAIN_TAGS:
-        marked = {m for path, _ in places if (m := ending_in(path, tag))}
+        marked = [
+            p for p in range(1, len(aside)) if total[p] and paths.names[p] == tag
+            and not (paths.inside[paths.parent[p]] and _within(paths, p, tag))
+        ]
+        plain = [p for p in marked if not aside[p]]
+        if plain:
+            return plain
         if marked:
-            return sorted(marked)
-    total: dict[tuple[str, ...], int] = {}
-    for path, size in places:
-        for k in range(len(path) + 1):
-            total[path[:k]] = total.get(path[:k], 0) + size
-    whole = total.get((), 0)
+            return [max(marked, key=lambda p: (total[p], -p))]
+    clear = Counter({p: n for p, n in free.items() if not aside[p]})
+    total = subtotals(paths, clear or free)
+    held = [p for p in range(len(total)) if total[p]] or [0]
     named = [
-        p for p in total if p and total[p] * 2 >= whole and any(
-            w.lower() in MAIN_WORDS for part in p[-1].split("|")[1:]
+        p for p in held if p and total[p] * 2 >= total[0] and any(
+            w.lower() in MAIN_WORDS for part in paths.key[p].split("|")[1:]
             for w in WORDS.findall(part.partition("=")[2])
         )
     ]
-    rich = [p for p in total if total[p] * 10 >= whole * 8]
-    best = max(named or rich or [()], key=lambda p: (len(p), p))
-    return [best]
+    rich = [p for p in held if total[p] * 10 >= total[0] * 8]
+    return [max(named or rich)]
+
+
+def _within(paths: Paths, place: int, tag: str) -> bool:
+    """Whether a place stands in a container of this tag."""
+    place = paths.parent[place]
+    while place and paths.names[place] != tag:
+        place = paths.parent[place]
+    return place != 0
+
+
+def kept_places(
+    paths: Paths, main: list[int], sizes: Counter, headlines: set[int], known: dict[int, bool],
+) -> tuple[list[bool], dict[int, bool]]:
+    """Whether text at each place belongs to the article, and for containers in it with class words
+    whether they do all the same: those with the headline or most of the text. `known` verdicts go
+    before those of this page."""
+    total = subtotals(paths, sizes)
+    headline = subtotals(paths, Counter(dict.fromkeys(headlines, 1)))
+    around: set[int] = set()
+    for place in main:
+        while place not in around:
+            around.add(place)
+            place = paths.parent[place]
+    inside, kept, verdicts = [False] * len(total), [False] * len(total), {}
+    whole = max((total[p] for p in main), default=0)
+    for place in range(len(total)):
+        parent, start = paths.parent[place], place in main
+        inside[place] = start or bool(place) and inside[parent]
+        kept[place] = inside[place] and (start or kept[parent]) and not paths.barred[place]
+        if kept[place] and paths.worded[place] and place not in around:
+            own = bool(headline[place]) or total[place] * 2 > whole
+            verdicts[place] = kept[place] = known.get(place, own)
+    return kept, verdicts
 
 
 def inferred(pages: list[str], options: Options = DEFAULT) -> dict:
-    """The wrapper of the pages of one host: where the article is, and the items with their roles."""
+    """The wrapper of the pages of one host: where the article is, which containers in it with class
+    words belong to it, the items, and texts that may be template.
+
+    The role of a slot: 1 for text, 0 for lists of links, 2 + k where text k may be template.
+    """
+    paths = Paths()
     streams = {}
     for page in pages:
-        units = units_of(page)
+        units = units_of(page, paths)
         streams.setdefault(tuple((u.key, u.text) for u in units), units)  # copies count once
     wrapper: list[Item] = []
     for k, units in enumerate(streams.values()):
-        items = folded([item_of(u) for u in units])
-        wrapper = items if k == 0 else folded(aligned(wrapper, items))
-    count = len(streams)
-    slots: list[Item] = []
-
-    def collect(items):
-        for i in items:
-            if i.slot:
-                slots.append(i)
-            if i.body:
-                collect(i.body)
-
-    collect(wrapper)
-    main = chosen_containers([(s.path, s.chars) for s in slots])
+        items = folded([item_of(u) for u in units], options)
+        wrapper = items if k == 0 else folded(aligned(wrapper, items), options)
+    sizes, headlines = Counter(), set()
+    for units in streams.values():
+        measure(units, sizes, headlines)
+    main = main_places(paths, sizes)
+    kept, verdicts = kept_places(paths, main, sizes, headlines, {})
+    marked = any(paths.names[p] in MAIN_TAGS for p in main)
+    constant: list[str] = []
 
     def role(i: Item) -> int:
-        """1 for the main text, 0 for the rest."""
-        if outside(i.path) or not any(i.path[:len(m)] == m for m in main):
-            return 0
-        if not i.times and len(i.texts) == 1 and i.pages == count >= options.constant:
-            return 0
-        if i.key == "#li" and i.times and i.links * 10 >= i.chars * 9:
-            return 0
-        return 1
+        text, n = i.texts.most_common(1)[0] if i.texts else ("", 0)
+        if n >= options.constant and kept[i.place]:
+            constant.append(text)
+            return 1 + len(constant)
+        return int(marked or not (i.key == "#li" and i.times and i.links * 10 >= i.chars * 9))
 
     def plain(items):
         return [
@@ -410,7 +506,19 @@ def inferred(pages: list[str], options: Options = DEFAULT) -> dict:
             for i in items
         ]
 
-    return {"main": [list(m) for m in main], "items": plain(wrapper)}
+    return {
+        "main": [paths.keys(p) for p in main], "items": plain(wrapper), "constant": constant,
+        "worded": [[paths.keys(p), v] for p, v in verdicts.items()],
+    }
+
+
+def measure(units: list[Unit], sizes: Counter, headlines: set[int]) -> None:
+    """Add up the characters per place, and note the places of headlines."""
+    for u in units:
+        if u.text is not None:
+            sizes[u.place] += len(u.text)
+            if u.key == "h1":
+                headlines.add(u.place)
 
 
 def matched(items: list, units: list[Unit]) -> list[int | None]:
@@ -450,24 +558,47 @@ def matched(items: list, units: list[Unit]) -> list[int | None]:
     return roles
 
 
-def extracted(page: str | None, wrapper: dict | None) -> str:
-    """The main text of a page, blocks joined by line breaks."""
-    units = units_of(page or "")
-    if wrapper is None:
-        wrapper = {"main": [], "items": []}
-    main = [tuple(m) for m in wrapper["main"]]
+def judged(page: str | None, wrapper: dict | None) -> list[tuple[str, int | None]]:
+    """The blocks of a page's article, each with its text and the role of its slot."""
+    paths = Paths()
+    units = units_of(page or "", paths)
+    wrapper = wrapper or {"main": [], "items": [], "worded": []}
+    sizes, headlines = Counter(), set()
+    measure(units, sizes, headlines)
+    main = [p for m in wrapper["main"] if (p := paths.find(m)) is not None]
+    found = subtotals(paths, sizes)
+    if not any(found[p] for p in main):
+        main = main_places(paths, sizes)
+    known = {p: v for keys, v in wrapper["worded"] if (p := paths.find(keys)) is not None}
+    kept, _ = kept_places(paths, main, sizes, headlines, known)
     roles = matched(wrapper["items"], units)
-    if not any(u.path[:len(m)] == m for u in units if u.text for m in main):
-        main = chosen_containers([(u.path, len(u.text)) for u in units if u.text])
-    lines = []
-    for unit, role in zip(units, roles):
-        if unit.text is None:
-            continue
-        if role is None or role == 1:
-            role = int(not outside(unit.path) and any(unit.path[:len(m)] == m for m in main))
-        if role:
-            lines.append(unit.text)
-    return "\n".join(lines)
+    return [
+        (u.text, role) for u, role in zip(units, roles)
+        if u.text is not None and role != 0 and kept[u.place]
+    ]
+
+
+def template_texts(blocks: list[tuple[str, int | None]], wrapper: dict | None) -> list[int]:
+    """Which of the wrapper's texts that may be template stand in their slots."""
+    return [
+        role - 2 for text, role in blocks
+        if role is not None and role >= 2 and text == wrapper["constant"][role - 2]
+    ]
+
+
+def extracted(page: str | None, wrapper: dict | None) -> str:
+    """The main text of a page, blocks joined by line breaks. Texts that the wrapper has as
+    `confirmed` are left out (all that may be template, if it doesn't say), unless nothing else is
+    there."""
+    blocks = judged(page, wrapper)
+    out = set(template_texts(blocks, wrapper))
+    if wrapper and "confirmed" in wrapper:
+        out &= set(wrapper["confirmed"])
+    left = [
+        text for text, role in blocks
+        if not (role and role - 2 in out and text == wrapper["constant"][role - 2])
+    ]
+    return "\n".join(left or [text for text, _ in blocks])
 
 
 # Spark
@@ -478,30 +609,72 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_replace(host, "^.*@", ""))
 
 
-def host_wrappers(
-    pages: DataFrame, page_id: str, url: str, html: str, options: Options
-) -> DataFrame:
-    """`host, wrapper` (JSON) of each host."""
+def host_wrappers(pages: DataFrame, url: str, html: str, options: Options) -> DataFrame:
+    """`host, wrapper` (JSON) and `n_constant` of each host."""
     rows = pages.select(
-        F.col(page_id).alias("id"), host_of(F.col(url)).alias("host"), F.col(html).alias("html"),
-    )
-    order = Window.partitionBy("host").orderBy("h", "id")
-    chosen = rows.select("id", "host").distinct().withColumn("h", F.xxhash64("id")).withColumn(
+        host_of(F.col(url)).alias("host"), F.coalesce(F.col(html), F.lit("")).alias("html"),
+    ).withColumn("digest", F.unhex(F.md5("html")))
+    order = Window.partitionBy("host").orderBy("digest")
+    chosen = staged(rows.select("host", "digest").distinct().withColumn(
         "n", F.row_number().over(order)
-    ).where(F.col("n") <= options.sample).select("id", "host")
-    chosen = staged(chosen)
-    # Few hosts: their sample reaches the pages, and the pages are not shuffled.
+    ).where(F.col("n") <= options.sample).select("host", "digest"))
+    # Few hosts: their sample reaches the pages, and the pages are not shuffled. Copies of a page
+    # come down to one in each task.
     few = chosen.count() * ROW_BYTES <= options.broadcast
-    sample = rows.alias("r").join(
-        (F.broadcast(chosen) if few else chosen).alias("c"),
-        F.col("r.id").eqNullSafe(F.col("c.id")) & (F.col("r.host") == F.col("c.host")),
-    ).select("r.host", "r.html")
+    sample = rows.join(
+        F.broadcast(chosen) if few else chosen, ["host", "digest"]
+    ).groupBy("host", "digest").agg(F.any_value("html").alias("html"))
 
     def infer(key, group: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(t for t in group["html"].tolist() if isinstance(t, str))[:options.sample]
-        return pd.DataFrame({"host": [key[0]], "wrapper": [json.dumps(inferred(texts, options))]})
+        found = inferred(sorted(group["html"].tolist()), options)
+        return pd.DataFrame({
+            "host": [key[0]], "wrapper": [json.dumps(found)], "n_constant": [len(found["constant"])]
+        })
+
+    return sample.groupBy("host").applyInPandas(
+        infer, "host string, wrapper string, n_constant long"
+    )
 
-    return sample.groupBy("host").applyInPandas(infer, "host string, wrapper string")
+
+def confirmed_texts(pages: DataFrame, wrappers: DataFrame, options: Options) -> DataFrame:
+    """`host, confirmed`: the texts that enough of all pages of a host hold. `pages` has
+    `host, html`; tasks count before anything is shuffled."""
+
+    def run(parts):
+        counts = Counter()
+
+        def handed():
+            keys = list(counts)
+            return pa.RecordBatch.from_pydict({
+                "host": pa.array([k[0] for k in keys], pa.string()),
+                "text": pa.array([k[1] for k in keys], pa.int64()),
+                "n": pa.array([counts[k] for k in keys], pa.int64()),
+            })
+
+        for part in parts:
+            for host, page, wrapper in zip(*part.columns):
+                host, wrapper = host.as_py(), _read(wrapper.as_py())
+                counts[host, -1] += 1
+                for k in set(template_texts(judged(page.as_py(), wrapper), wrapper)):
+                    counts[host, k] += 1
+                if len(counts) > 100_000:
+                    yield handed()
+                    counts.clear()
+        yield handed()
+
+    counted = pages.join(wrappers.where("n_constant > 0"), "host").select(
+        "host", "html", "wrapper"
+    ).mapInArrow(run, "host string, text long, n long").groupBy("host", "text").agg(
+        F.sum("n").alias("n")
+    )
+    # As many rows per host as its wrapper has such texts.
+    return counted.groupBy("host").agg(
+        F.max(F.when(F.col("text") < 0, F.col("n"))).alias("pages"),
+        F.collect_list(F.when(F.col("text") >= 0, F.struct("text", "n"))).alias("texts"),
+    ).select("host", F.transform(
+        F.filter("texts", lambda t: t["n"] * 100 >= F.col("pages") * options.most),
+        lambda t: t["text"],
+    ).alias("confirmed"))
 
 
 @lru_cache(maxsize=256)
@@ -509,18 +682,27 @@ def _read(wrapper: str | None) -> dict | None:
     return json.loads(wrapper) if wrapper else None
 
 
+def _wrapper(cell) -> dict | None:
+    return _read(cell.as_py())
+
+
 def main_texts(
     pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
     options: Options = DEFAULT,
 ) -> DataFrame:
     """`page_id, url, text` of every page."""
-    wrappers = staged(host_wrappers(pages, page_id, url, html, options))
-    held = wrappers.agg(F.sum(F.length("wrapper") + F.length("host")).alias("n")).first()["n"] or 0
     rows = pages.select(
         F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"),
         host_of(F.col(url)).alias("host"),
     )
-    known = F.broadcast(wrappers) if held <= options.broadcast else wrappers
+    wrappers = staged(host_wrappers(pages, url, html, options))
+    held = wrappers.agg(F.sum(F.length("wrapper") + F.length("host")).alias("n")).first()["n"] or 0
+
+    def sized(found: DataFrame) -> DataFrame:
+        return F.broadcast(found) if held <= options.broadcast else found
+
+    confirmed = staged(confirmed_texts(rows.select("host", "html"), sized(wrappers), options))
+    known = sized(wrappers.join(confirmed, "host", "left").drop("n_constant"))
     kind = dict(rows.dtypes)["page_id"]
 
     def run(parts):
@@ -528,17 +710,17 @@ def main_texts(
             for start in range(0, part.num_rows, 500):
                 some = part.slice(start, 500)
                 texts = [
-                    extracted(h.as_py(), _read(w.as_py()))
-                    for h, w in zip(some.column(2), some.column(3))
+                    extracted(h.as_py(), w and w | {"confirmed": c.as_py() or []})
+                    for h, w, c in zip(some.column(2), map(_wrapper, some.column(3)), some.column(4))
                 ]
                 yield pa.RecordBatch.from_arrays(
                     [some.column(0), some.column(1), pa.array(texts, pa.string())],
                     ["page_id", "url", "text"],
                 )
 
-    return rows.join(known, "host", "left").select("page_id", "url", "html", "wrapper").mapInArrow(
-        run, f"page_id {kind}, url string, text string"
-    )
+    return rows.join(known, "host", "left").select(
+        "page_id", "url", "html", "wrapper", "confirmed"
+    ).mapInArrow(run, f"page_id {kind}, url string, text string")
 
 
 def op6_inferred_wrappers(spark: SparkSession, folder: str) -> DataFrame:

@@ -77,3 +77,76 @@ def test_table_with_nulls_and_clashes(spark):
         assert got[5] == [wanted(5, 3)] and got[3] == [wanted(3, 3)] * 2 and got[None] == [wanted(50, 2)]
         assert got[60] == [wanted(60, 1)] and got[61] == [""] and got[62] == [""] and got[63] == ["x"]
     assert W.main_texts(pages.where("false")).count() == 0
+
+
+def hosted(spark, texts):
+    rows = [(k, f"http://host/{k}", t) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def texts_of(df):
+    return [r.text for r in sorted(W.main_texts(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_only_the_very_text_is_template(spark):
+    pages = [f"<article><p>Read us daily<h1>H{k}</h1><p>Text {k}</article>" for k in range(40)]
+    pages[7] = "<article><p>An own first paragraph<h1>H7</h1><p>Text 7</article>"
+    pages[9] = "<article><p>Read us daily</article>"
+    got = texts_of(hosted(spark, pages))
+    assert got[7] == "An own first paragraph\nH7\nText 7" and got[9] == "Read us daily"
+    assert all(got[k] == f"H{k}\nText {k}" for k in range(40) if k not in (7, 9))
+
+
+def test_texts_of_few_pages_are_no_template(spark):
+    # The sample may see one text only; a third of all pages say something else.
+    pages = [
+        f"<article><p>{'Opinion' if k % 3 else f'Report {k}'}<h1>H{k}</h1><p>Text {k}</article>"
+        for k in range(60)
+    ]
+    assert texts_of(hosted(spark, pages)) == [
+        f"{'Opinion' if k % 3 else f'Report {k}'}\nH{k}\nText {k}" for k in range(60)
+    ]
+
+
+def test_copies_of_a_page_are_one_page(spark):
+    pages = ["<article><h1>Same</h1><p>Copied text</article>"] * 200
+    pages += [f"<article><h1>H{k}</h1><p>Text {k}</article>" for k in range(3)]
+    assert texts_of(hosted(spark, pages))[:200] == ["Same\nCopied text"] * 200
+
+
+def test_class_words_never_take_the_article():
+    for text, expected in [
+        ("<div class='post-12 post category-legal tag-search'><article><h1>H</h1><p>Text</article></div>"
+         "<div class=comments><p>Nice</div>", "H\nText"),
+        ("<article class='post has-sidebar share-enabled'><h1>H</h1><p>Text</article>", "H\nText"),
+        ("<article><div class='article-header'><h1>H</h1><p>by me</div><p>Text</article>", "H\nby me\nText"),
+        ("<article><p>Text<div class='social-body'><p>" + "much more " * 9 + "</div></article>",
+         "Text\n" + ("much more " * 9).strip()),
+        ("<div class=comments><article><p>Longer than all of it, a reader says</article></div>"
+         "<article><p>Text</article>", "Text"),
+        ("<div class='search page'><div class='legal'><p>All of the text is here</div></div>",
+         "All of the text is here"),
+    ]:
+        assert W.extracted(text, W.inferred([text])) == expected
+
+
+def test_links_and_formulas_of_the_article_stay():
+    sources = "".join(f"<li><a href=/{k}>Source {k}</a></li>" for k in range(5))
+    text = f"<article><p>A <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b<ul>{sources}</ul></article>"
+    assert W.extracted(text, W.inferred([text])) == "\n".join(
+        ["A x=2 b", *[f"Source {k}" for k in range(5)]]
+    )
+
+
+def test_deep_pages_are_linear():
+    import time
+
+    def seconds(depth):
+        text = "<div>" * depth + "<p>deep" + "</div>" * depth
+        start = time.process_time()
+        units = W.units_of(text)
+        assert W.extracted(text, None) == "deep" and len(units) == 2 * depth + 1
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(40_000) < 40 * max(seconds(4_000), 0.02)
