@@ -149,3 +149,21 @@ def test_empty_table_and_long_texts(documents):
     assert alignment.counted_links(documents((1, "x")).limit(0)).collect() == []
     row = alignment.counted_links(documents((1, "some words " * 60_000))).collect()[0]
     assert row.n_links >= row.n_a > 100_000
+
+
+def test_ranks_encode_as_the_library_does():
+    """Every code point between letters, digits, blanks and others; words; white space."""
+    model = alignment.ByteLevel(A_PATH)
+    assert model.ranked is not None
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = []
+    for start in range(0, len(points), 1000):
+        part = points[start:start + 1000]
+        texts += ["a".join(part), "1 ".join(part), " .".join(part), "".join(part)]
+    rng = random.Random(7)
+    parts = ["'s", "'LL", " '", "the", "The", "é", "12", "  ", "\n", "\r\n", "\t", "\xa0", "　", "!?", "日", "🙂", "\x85"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    texts += ["x" * 5000, " " * 5000, "ab\n" * 3000]
+    found = model.encode(texts)
+    ranked, model.ranked = model.ranked, None
+    assert found == model.encode(texts)
