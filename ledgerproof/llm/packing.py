@@ -82,13 +82,14 @@ def sized(
     cluster: Column | None,
 ) -> DataFrame:
     """`doc_id, size, source, cluster`: by default the number of words, and a digest of the text
-    without regard to case and white space."""
+    without regard to case and white space. Source and cluster are text, so that null stays apart from
+    every value of any type."""
     plain = F.trim(F.regexp_replace(lower_ascii(F.col(text)), WORD_GAP, " "))
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.size(words_of(F.col(text))) if size is None else size).cast("long").alias("size"),
-        F.col(source).alias("source"),
-        (F.unhex(F.md5(plain)) if cluster is None else cluster).alias("cluster"),
+        F.col(source).cast("string").alias("source"),
+        (F.md5(plain) if cluster is None else cluster.cast("string")).alias("cluster"),
     )
 
 
@@ -115,10 +116,11 @@ def packed(
         order = np.lexsort((shard["item"], -rest))
         order = order[~alone[order]]
         some = shard.iloc[order]
-        items = [
-            (int(s), None if isinstance(a, float) else a, None if isinstance(c, float) else c)
-            for s, a, c in zip(rest[order], some["source"], some["cluster"])
-        ]
+        # A null is None, or NaN in a column of nulls only.
+        source, cluster = (
+            [x if isinstance(x, str) else None for x in some[c]] for c in ("source", "cluster")
+        )
+        items = list(zip(rest[order].tolist(), source, cluster))
         placed, bins = pack(items, capacity)
         pieces = [
             (shard["item"].iat[k], int(full[k]), int(full[k]) * capacity, size, b, at)

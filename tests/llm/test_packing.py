@@ -68,3 +68,25 @@ def test_pieces_fill_documents_and_bins(documents):
 
 def test_empty_table(documents):
     assert packed(documents((1, "a")).where("false")).count() == 0
+
+
+def test_numbers_and_nulls_as_source_and_cluster(spark):
+    from pyspark.sql import functions as F
+
+    big = 2**60
+    rows = [(k, "w " * 4, None if k % 5 == 0 else big + k % 2, None if k % 4 == 0 else big + k % 3) for k in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source long, cluster long")
+    got = packed(docs, size=F.lit(4), cluster=F.col("cluster"), options=Options(capacity=64)).collect()
+    bins = {}
+    for r in got:
+        bins.setdefault(r.bin, []).append(rows[r.doc_id])
+    for held in bins.values():
+        sources, clusters = [r[2] for r in held], [r[3] for r in held if r[3] is not None]
+        assert len(set(sources)) == len(sources) and len(set(clusters)) == len(clusters)
+    assert any(len(held) > 1 for held in bins.values()) and {r.n_tokens for r in got} == {4}
+
+
+def test_very_long_text(documents):
+    got = packed(documents((1, "word " * 500_000), (2, "a b")), options=Options(capacity=2048)).collect()
+    assert sum(r.n_tokens for r in got if r.doc_id == 1) == 500_000
+    assert max(r.n_tokens for r in got) == 2048
