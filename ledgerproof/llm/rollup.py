@@ -4,8 +4,9 @@ An insert adds a document and its tokens to its (source, language, tokenizer ver
 takes them away, and a revised count adds the difference. Sums are additive, so a batch is reduced
 to one small row per key before it is written, and totals are the sum over batches.
 
-A batch is one partition of the delta table and is replaced as a whole when it is committed again:
-a replayed batch changes nothing, and a batch that died half-way is simply repeated.
+A batch is one folder of the delta table and is replaced as a whole when it is committed again, also
+by fewer rows or none: a replayed batch changes nothing, and a batch that died half-way is simply
+repeated. `compact` adds up old batches into one, in a new table that knows how far it goes.
 
 Defined cases: null source and language are keys of their own; a null text has no tokens; a null
 document id is a document like any other; repeated rows count each; an empty batch leaves the totals
@@ -14,6 +15,7 @@ as they are; other columns are ignored.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,22 +51,53 @@ def _signed(counted: DataFrame, version: str, documents, tokens) -> DataFrame:
     )
 
 
-def commit(deltas: DataFrame, path: str, batch_id: int) -> None:
-    """Reduce a batch and write it as its partition, replacing an earlier attempt."""
-    deltas.groupBy(*KEYS).agg(
+def summed(deltas: DataFrame) -> DataFrame:
+    return deltas.groupBy(*KEYS).agg(
         F.sum("n_documents").alias("n_documents"), F.sum("n_tokens").alias("n_tokens")
-    ).withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode(
-        "overwrite"
-    ).option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+    )
+
+
+def commit(deltas: DataFrame, path: str, batch_id: int) -> None:
+    """Reduce a batch and write it as its folder, replacing an earlier attempt. A batch that a
+    compaction has taken in is left as it is."""
+    if batch_id > compacted_up_to(deltas.sparkSession, path):
+        # The folder itself is overwritten: a batch without rows replaces one with rows.
+        summed(deltas).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+
+def batches_of(spark: SparkSession, path: str) -> DataFrame:
+    schema = "source STRING, lang STRING, version STRING, n_documents LONG, n_tokens LONG, batch_id LONG"
+    return spark.read.schema(schema).parquet(path)
 
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
     """`source, lang, version, n_documents, n_tokens` after all committed batches. Keys without
     documents and tokens are left out."""
-    schema = "source STRING, lang STRING, version STRING, n_documents LONG, n_tokens LONG, batch_id LONG"
-    return spark.read.schema(schema).parquet(path).groupBy(*KEYS).agg(
-        F.sum("n_documents").alias("n_documents"), F.sum("n_tokens").alias("n_tokens")
-    ).where((F.col("n_documents") != 0) | (F.col("n_tokens") != 0))
+    return summed(batches_of(spark, path)).where(
+        (F.col("n_documents") != 0) | (F.col("n_tokens") != 0)
+    )
+
+
+def compact(spark: SparkSession, path: str, into: str, up_to: int) -> None:
+    """Write the table anew to the folder `into`, the batches up to number `up_to` as one. It may be
+    repeated when it died half-way; readers and writers change to the new table when it is done."""
+    deltas = batches_of(spark, path)
+    summed(deltas.where(F.col("batch_id") <= up_to)).withColumn(
+        "batch_id", F.lit(up_to).cast("long")
+    ).unionByName(deltas.where(F.col("batch_id") > up_to)).write.mode("overwrite").partitionBy(
+        "batch_id"
+    ).parquet(into)
+    spark.range(up_to, up_to + 1).write.mode("overwrite").parquet(f"{into}/_compacted")
+
+
+def compacted_up_to(spark: SparkSession, path: str) -> int:
+    """The last batch that a compaction has taken in; -1 for a table that was never compacted."""
+    try:
+        return spark.read.schema("id LONG").parquet(f"{path}/_compacted").first()["id"]
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return -1
 
 
 def counted_documents(docs: DataFrame) -> DataFrame:

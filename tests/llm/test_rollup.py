@@ -41,3 +41,39 @@ def test_empty_table(spark, tmp_path):
     path = str(tmp_path / "none")
     rollup.commit(rollup.inserts(counted(spark, []), "n", "v"), path, 1)
     assert rollup.totals(spark, path).count() == 0
+
+
+COLUMNS = ("source", "lang", "version", "n_documents", "n_tokens")
+
+
+def test_a_replay_with_fewer_rows_replaces(spark, tmp_path):
+    path = str(tmp_path / "d")
+    docs = counted(spark, [(1, "a", "en", 10, 0), (2, "b", "en", 5, 0)])
+    rollup.commit(rollup.inserts(docs, "n", "v"), path, 1)
+    rollup.commit(rollup.inserts(docs.where("doc_id = 1"), "n", "v"), path, 1)
+    assert rows_of(rollup.totals(spark, path), *COLUMNS) == [("a", "en", "v", 1, 10)]
+    rollup.commit(rollup.inserts(docs.where("false"), "n", "v"), path, 1)
+    assert rollup.totals(spark, path).count() == 0
+
+
+def test_compaction_keeps_totals_and_knows_its_batches(spark, tmp_path):
+    path, into = str(tmp_path / "d"), str(tmp_path / "e")
+    docs = counted(spark, [(k, "ab"[k % 2], None, k, 0) for k in range(20)])
+    for batch in range(4):
+        rollup.commit(rollup.inserts(docs.where(f"doc_id % 4 = {batch}"), "n", "v"), path, batch)
+    before = rows_of(rollup.totals(spark, path), *COLUMNS)
+    for _ in range(2):
+        rollup.compact(spark, path, into, 2)
+    assert rows_of(rollup.totals(spark, into), *COLUMNS) == before
+    rollup.commit(rollup.inserts(docs, "n", "v"), into, 1)  # taken in already
+    assert rows_of(rollup.totals(spark, into), *COLUMNS) == before
+    rollup.commit(rollup.inserts(docs.where("false"), "n", "v"), into, 3)
+    rollup.commit(rollup.inserts(docs.where("doc_id % 4 = 3"), "n", "v"), into, 4)
+    assert rows_of(rollup.totals(spark, into), *COLUMNS) == before
+
+
+def test_clashing_columns_and_long_texts(spark, documents):
+    from pyspark.sql import functions as F
+
+    docs = documents((1, "word " * 300_000)).withColumns({c: F.lit("x") for c in ("words", "digest", "t")})
+    assert rollup.counted_documents(docs).first().words == 300_000
