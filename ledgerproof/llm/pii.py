@@ -5,10 +5,10 @@ hold a digit or an `@`, and those that hold or repeat what the secret pattern ma
 tokens are observed as ordinary words. Neighbouring tokens share chain potentials. Tokens that are
 equal, or have the same long digits, share skip potentials over any distance: each is linked with
 the evidence among them, or with the first of them where there is none, so that the last repeat
-hears of it as the first does. Loopy message passing, until the messages settle, makes the labels of
-a document consistent, with the base spans as evidence, so that a number written out once as a phone
-number is found again where it stands without its prefix. The field adds spans and a further kind,
-`secret`; base spans stay.
+hears of it as the first does. Loopy message passing, until the messages settle or for a stated
+number of rounds, makes the labels of a document consistent, with the base spans as evidence, so that
+a number written out once as a phone number is found again where it stands without its prefix. The
+field adds spans and a further kind, `secret`; base spans stay.
 
 The weights are trained by pseudo-likelihood on a bounded sample of the documents, with the patterns
 as labels. All texts are read whole; patterns are written so that none of them is quadratic.
@@ -37,14 +37,17 @@ LABELS = ("", *KINDS)  # "" is an ordinary token
 
 @dataclass(frozen=True)
 class Options:
-    """`sample` documents (smallest hash of the id among those with a token to label) of at most
-    `sample_tokens` tokens each train the field. Messages are passed for `rounds` rounds at least and
-    until they settle; `sure` is the belief from which a span is added."""
+    """`sample` texts of at most `sample_tokens` tokens each train the field: among the `drawn` texts
+    with the smallest hashes, those with something to label. Messages are passed for `rounds` rounds
+    at least and until they settle, or for `most_rounds`; `sure` is the belief from which a span is
+    added."""
 
+    drawn: int = 30_000
     sample: int = 1500
     sample_tokens: int = 200
     steps: int = 300
     rounds: int = 12
+    most_rounds: int = 2000
     sure: float = 0.8
 
 
@@ -69,8 +72,8 @@ WORD = re.compile(r"\S+")
 EDGE = "\"'()[]{}<>,.;:!?"
 
 # Messages have settled when none changes by more. Each `SLOWER` rounds they are damped more, so that
-# those that swing settle as well; after `MOST_ROUNDS` they are taken as they are.
-SETTLED, SLOWER, MOST_ROUNDS = 1e-7, 200, 2000
+# those that swing settle as well.
+SETTLED, SLOWER = 1e-7, 200
 
 
 def luhn(digits: str) -> bool:
@@ -298,10 +301,13 @@ def trained(
     return Field(weights[:d], both(weights[d:d + size]), both(weights[d + size:]))
 
 
-def beliefs(field: Field, graph: Graph, fixed: np.ndarray, rounds: int) -> np.ndarray:
+def beliefs(
+    field: Field, graph: Graph, fixed: np.ndarray, rounds: int,
+    most_rounds: int = DEFAULT.most_rounds,
+) -> np.ndarray:
     """Label probabilities of each token after loopy message passing, for `rounds` rounds at least
-    and until the messages settle. `fixed` holds the labels that are evidence, -1 where there is
-    none."""
+    and until the messages settle, or for `most_rounds`. `fixed` holds the labels that are evidence,
+    -1 where there is none."""
     n, size = len(graph.spans), len(LABELS)
     own = graph.features @ field.node
     known = fixed >= 0
@@ -317,7 +323,7 @@ def beliefs(field: Field, graph: Graph, fixed: np.ndarray, rounds: int) -> np.nd
         back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
         message = np.zeros((len(ways), size))
         share = 0.5
-        for turn in range(1, max(rounds, MOST_ROUNDS) + 1):
+        for turn in range(1, max(rounds, most_rounds) + 1):
             total = own.copy()
             np.add.at(total, target, message)
             out = total[source] - message[back]
@@ -346,7 +352,7 @@ def added_spans(
         return []
     fixed = labels_of(graph, base)
     fixed[fixed == 0] = -1
-    belief = beliefs(field, graph, fixed, options.rounds)
+    belief = beliefs(field, graph, fixed, options.rounds, options.most_rounds)
     label = np.where(belief.max(axis=1) >= options.sure, belief.argmax(axis=1), 0)
     joined = {tuple(x) for x in graph.chain.tolist()}
     out: list[tuple[str, int, int]] = []
@@ -368,12 +374,14 @@ def added_spans(
 
 
 def train(docs: DataFrame, options: Options = DEFAULT) -> Field | None:
-    """The field, from a sample of the documents `doc_id, text`. The driver gets the features of at
-    most `sample * sample_tokens` tokens."""
-    usable = docs.where(F.col("text").rlike("[0-9@]") | F.col("text").rlike(SECRET.pattern))
-    chosen = usable.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(
-        options.sample
-    ).select("doc_id")
+    """The field, from a sample of the texts: of the `drawn` texts with the smallest hashes, copies
+    counting once, the first `sample` with a digit, an at sign or a secret. The driver gets the
+    features of at most `sample * sample_tokens` tokens."""
+    hashed = docs.select("text", F.xxhash64("text").alias("h")).where(F.col("text").isNotNull())
+    chosen = hashed.select("h").distinct().orderBy("h").limit(options.drawn)
+    usable = hashed.join(F.broadcast(chosen), "h").where(
+        F.col("text").rlike("[0-9@]") | F.col("text").rlike(SECRET.pattern)
+    ).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(options.sample)
 
     def graphs(parts):
         for part in parts:
@@ -394,7 +402,7 @@ def train(docs: DataFrame, options: Options = DEFAULT) -> Field | None:
                                                      for c in columns[1:]],
             ], ["features", "labels", "chain", "skip"])
 
-    rows = usable.join(F.broadcast(chosen), "doc_id").select("text").mapInArrow(
+    rows = usable.select("text").mapInArrow(
         graphs, "features binary, labels array<long>, chain array<long>, skip array<long>"
     ).collect()
     rows.sort(key=lambda r: (bytes(r.features), r.chain, r.skip))

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from ledgerproof.llm import pii
@@ -175,3 +177,35 @@ def test_secrets_of_letters_enter_the_field():
     assert pii.labels_of(graph, pii.secret_spans(text)).tolist() == [pii.LABELS.index("secret"), 0, 0]
     long = "password=abcdefghijklmnop " * 20_000
     assert len(pii.graph_of(long).spans) == 20_000
+
+
+def test_sample_is_bounded_whatever_the_ids(spark, documents):
+    seen = spark.sparkContext.accumulator(0)
+    options = pii.Options(sample=20, drawn=60, steps=3)
+    plain = pii.graph_of
+
+    def counting(*given):
+        seen.add(1)
+        return plain(*given)
+
+    pii.graph_of = counting
+    try:
+        for ids in ([7] * 400, [None] * 400, range(400)):
+            rows = [(i, f"Write to user{k % 90}@mail.example.org or call {k % 90}") for k, i in enumerate(ids)]
+            before = seen.value
+            assert pii.train(documents(*rows).select("doc_id", "text"), options) is not None
+            assert seen.value - before <= 20
+    finally:
+        pii.graph_of = plain
+
+
+def test_messages_of_a_long_chain_end():
+    field = pii.Field(np.zeros((pii.N_FEATURES, len(pii.LABELS))), *[
+        np.full((len(pii.LABELS),) * 2, 0.1) + 2 * np.eye(len(pii.LABELS))
+    ] * 2)
+    text = " ".join(f"{k % 50}{k}" for k in range(5000))
+    graph = pii.graph_of(text)
+    fixed = np.full(len(graph.spans), -1)
+    fixed[0] = 1
+    belief = pii.beliefs(field, graph, fixed, 12, 30)
+    assert np.isfinite(belief).all() and belief[0, 1] > 0.99
