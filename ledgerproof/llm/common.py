@@ -21,8 +21,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def staged(df: DataFrame) -> DataFrame:
     """`df` written once to the shared checkpoint folder.
 
-    Cuts the lineage so that no branch is computed twice, and survives lost executors. Spark's
-    cleaner removes the files when nothing refers to them any more.
+    Cuts the lineage so that no branch is computed twice, and survives lost executors. The files are
+    removed when nothing refers to them any more if the session was started with
+    `spark.cleaner.referenceTracking.cleanCheckpoints`; else by who empties the folder.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:

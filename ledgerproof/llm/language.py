@@ -30,8 +30,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 @dataclass(frozen=True)
 class Options:
-    """Training is bounded per language: the `sample_rows` labelled rows whose ids have the smallest
-    hashes, `excerpt` characters of each, `dictionary` bytes in all. Texts are compressed in blocks
+    """Training is bounded per language: the `sample_rows` labelled texts with the smallest hashes,
+    copies counting once, `excerpt` characters of each, `dictionary` bytes in all. Texts are compressed in blocks
     of `block` bytes. An answer is rejected when the runner-up is less than `margin` larger."""
 
     sample_rows: int = 200
@@ -56,18 +56,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learned(labelled: DataFrame, options: Options = DEFAULT) -> dict[str, bytes]:
-    """The dictionary of each language, from rows `doc_id, text, lang`. The sample is bounded per
-    language, so the driver gets a few hundred kilobytes per language at most."""
-    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    spread = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = usable.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn(
+    """The dictionary of each language, from rows `text, lang`. The sample is bounded per language,
+    however often a text or an id stands, so the driver gets `sample_rows` excerpts per language."""
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", F.substring("text", 1, options.excerpt).alias("text")
+    ).withColumn("h", F.xxhash64("text"))
+    spread = Window.partitionBy("lang").orderBy("h")
+    chosen = usable.select("lang", "h").distinct().withColumn(
         "n", F.row_number().over(spread)
-    ).where(F.col("n") <= options.sample_rows).select("doc_id", "lang", "n")
-    rows = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select(
-        "lang", "n", F.substring("text", 1, options.excerpt).alias("text")
+    ).where(F.col("n") <= options.sample_rows).drop("n")
+    rows = usable.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(
+        F.min("text").alias("text")
     ).collect()
     samples: dict[str, dict] = {}
-    for row in sorted(rows, key=lambda r: (r.lang, r.n, r.text)):
+    for row in sorted(rows, key=lambda r: (r.lang, r.h)):
         words = plain(row.text)
         if any(c.isalpha() for c in row.text):
             samples.setdefault(row.lang, {})[words] = None  # copies count once

@@ -364,13 +364,19 @@ def linked_classes(
     source = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), *key
     )
+    # What a row is found by again: its key, or its id and a hash of its text.
+    found_by = ["row"] if row else ["doc_id", "h"]
+    source = source if row else source.withColumn("h", F.xxhash64("text"))
     rows = staged(sketched(source, "text", "s", options).select(
-        "doc_id", *(["row"] if row else []), "s.n", "s.digest", "s.registers"
+        "doc_id", *(["row"] if row else ["h"]), "s.n", "s.digest", "s.registers"
     ))
     classes = staged(rows.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("first"), F.any_value("n").alias("n"),
-        F.any_value("registers").alias("registers"),
-    ).withColumn("node", F.monotonically_increasing_id()))
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", found_by[-1])).alias("x"),
+        F.any_value("n").alias("n"), F.any_value("registers").alias("registers"),
+    ).select(
+        "digest", F.col("x.doc_id").alias("first"), F.col(f"x.{found_by[-1]}").alias("first_key"),
+        "n", "registers", F.monotonically_increasing_id().alias("node"),
+    ))
     width = 2 * options.rows
     bands = classes.select("node", "n", F.explode(F.transform(
         F.sequence(F.lit(0), F.lit(options.registers // options.rows - 1)),
@@ -378,14 +384,19 @@ def linked_classes(
     )).alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     buckets = staged(bands.join(shared, "key", "left_semi").select("key", "node", "n"))
-    # The texts of the candidates, by the smallest id of each class.
+    # The texts of the candidates, by the first row of each class.
     wanted = buckets.select("node").distinct().join(classes, "node")
+    same = F.col(f"d.{found_by[-1]}") == F.col("w.first_key")
+    if not row:
+        same &= F.col("d.doc_id").eqNullSafe(F.col("w.first"))
     path = fresh_folder(spark, "candidates")
-    source.alias("d").join(
-        wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.first"))
-    ).select("node", "n", "digest", "registers", "text").mapInArrow(
-        same_set(options.words), "node long, n long, registers binary, text string"
-    ).write.option("compression", "zstd").parquet(path)
+    texts = source.alias("d").join(wanted.alias("w"), same).select(
+        "node", "n", "digest", "registers", "text"
+    ).mapInArrow(same_set(options.words), "node long, n long, registers binary, text string")
+    # Rows that repeat id and text are found once.
+    (texts if row else texts.groupBy("node").agg(
+        *[F.any_value(c).alias(c) for c in ("n", "registers", "text")]
+    )).write.option("compression", "zstd").parquet(path)
     members = spark.read.schema(
         "node long, n long, registers binary, text string"
     ).parquet(path)
@@ -409,7 +420,7 @@ def near_duplicates(
     )
     names = named.groupBy("component").agg(F.min("first").alias("component_id"))
     found = named.join(names, "component").select("digest", "component_id")
-    out = rows.drop("registers").join(found, "digest", "left").select(
+    out = rows.drop("registers", "h").join(found, "digest", "left").select(
         "doc_id", *(["row"] if row else []), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         .alias("component_id"),

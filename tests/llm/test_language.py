@@ -55,3 +55,49 @@ def test_narrow_margin_is_rejected():
     model = Classifier({"a": b"one two three four", "b": b"one two three four"}, Options())
     lang, score, rejected = model.classify("one two three four")
     assert (lang, score, rejected) == ("a", 0.0, True)
+
+
+def test_same_as_compressing_with_every_dictionary(documents):
+    import re
+
+    import zstandard
+
+    from ledgerproof.llm import language
+
+    words = {"en": EN, "de": DE, "xx": EN[:7] + DE[:7]}
+    rows = [(k, text(words[lang], k, 40), lang, "s") for k, lang in enumerate(list(words) * 40)]
+    rows += [(900 + k, text(EN + DE, k, 70), None, "s") for k in range(30)]
+    docs = documents(*rows)
+    options = Options()
+    learned = language.learned(docs.where(~held_out(F.col("doc_id"))), options)
+    assert set(learned) == set(words)
+
+    def size(plain, content):
+        shared = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        total = 0
+        for at in range(0, len(plain), options.block):
+            one = zstandard.ZstdCompressor(
+                level=options.level, dict_data=shared, write_checksum=False, write_content_size=False,
+                write_dict_id=False,
+            )
+            total += len(one.compress(plain[at:at + options.block]))
+        return total
+
+    got = {r.doc_id: r for r in language_id(docs, options).select("doc_id", "language.*").collect()}
+    for doc_id, t, *_ in rows:
+        plain = " ".join(re.findall(r"[^\W\d_]+", t.lower())).encode()
+        sizes = sorted((size(plain, content), lang) for lang, content in learned.items())
+        margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        r = got[doc_id]
+        assert (r.lang_pred, r.rejected) == (sizes[0][1], margin < options.margin)
+        assert abs(r.score - margin) < 1e-9
+
+
+def test_sample_is_bounded_whatever_the_ids(documents):
+    from ledgerproof.llm import language
+
+    options = Options(sample_rows=5, excerpt=200)
+    for ids in ([7] * 300, [None] * 300, range(300)):
+        rows = [(i, text(EN, k % 60), "en", "s") for k, i in enumerate(ids)]
+        found = language.learned(documents(*rows), options)
+        assert found["en"].count(b"\n") == 4

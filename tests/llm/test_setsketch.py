@@ -100,3 +100,13 @@ def test_empty_table_and_long_text(documents):
     long = " ".join(f"w{k}" for k in range(60_000))
     got = {r.doc_id: r for r in S.near_duplicates(documents((2, long), (5, long + " x"), (1, "b"))).collect()}
     assert got[5].component_id == 2 and not got[5].kept and got[2].n_shingles == 59_996
+
+
+def test_ids_that_are_null_or_repeated(documents):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(20)]
+    rows = [(None, t) for t in texts] + [(None, t + " more") for t in texts] + [(None, texts[0])] * 5
+    rows += [(5, t) for t in (texts[3], texts[4], texts[3] + " end")]
+    got = S.near_duplicates(documents(*rows)).collect()
+    assert len(got) == len(rows) and {r.component_id for r in got} == {None, 5}
+    assert sum(r.component_id == 5 for r in got) == 2 * 2 + 3
