@@ -23,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerproof.llm.common import ASCII_SPACE, fresh_folder, staged, table
+from ledgerproof.llm.common import ASCII_SPACE, fresh_folder, table
 
 SYMBOL = "[#*$%&|<>]"
 
@@ -32,7 +32,8 @@ SYMBOL = "[#*$%&|<>]"
 class Limits:
     """A line is removed when more documents of a host hold it than the larger of `documents` and
     `share` of the host's documents. A document is depleted when less than `left` percent of its
-    words stay. Halves of lines are compared from `half` words on."""
+    words stay. Halves of lines are compared from `half` words on. Lists of up to `broadcast` lines, of
+    some 40 bytes each, go to all tasks; beyond that they are joined by a shuffle."""
 
     documents: int = 20
     share: float = 0.002
@@ -40,6 +41,7 @@ class Limits:
     min_words: int = 50
     repeated: int = 50
     half: int = 3
+    broadcast: int = 500_000
 
 
 DEFAULT = Limits()
@@ -92,6 +94,11 @@ def covered(places: Column) -> Column:
     return F.aggregate(steps, F.lit(0).cast("long"), lambda total, step: total + step)
 
 
+def hash60(text: Column) -> Column:
+    """The first 60 bits of a digest, as a positive number."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def line_entry(line: Column, place: Column, limits: Limits) -> Column:
     """A line's place, hash and words, and keys of its first and second half."""
     n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
@@ -102,13 +109,14 @@ def line_entry(line: Column, place: Column, limits: Limits) -> Column:
         return F.when(n >= 2 * limits.half, F.xxhash64(F.lit(name), words))
 
     return F.struct(
-        place.alias("place"), F.unhex(F.md5(line)).alias("h"), n.cast("int").alias("words"),
+        place.alias("place"), hash60(line).alias("h"), n.cast("int").alias("words"),
         half("first", first).alias("first"), half("second", first - n.cast("int")).alias("second"),
     )
 
 
 def measured(docs: DataFrame, doc_id: str, text: str, host: str, limits: Limits) -> DataFrame:
-    """One row per document: the base counts, its lines in order, and `host` without nulls."""
+    """One row per document: the base counts, arrays that describe its lines in order, and `host`
+    without nulls."""
     blank = F.lit(ASCII_SPACE)
     return docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -127,7 +135,7 @@ def measured(docs: DataFrame, doc_id: str, text: str, host: str, limits: Limits)
             F.transform("plain", lambda line, k: F.when(line != "", line_entry(line, k, limits))),
             lambda entry: entry.isNotNull(),
         ).alias("lines"),
-        F.unhex(F.md5("t")).alias("digest"),
+        hash60(F.col("t")).alias("digest"),
     ).withColumn("hashes", window_hashes(F.col("w"))).withColumns({
         "n_words": F.size("w").cast("long"), "windows": sorted_windows(F.col("hashes")),
     }).drop("w", "hashes").withColumn("places", repeated(F.col("windows"))).select(
@@ -136,6 +144,19 @@ def measured(docs: DataFrame, doc_id: str, text: str, host: str, limits: Limits)
     )
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a compressed table in the shared folder."""
+    path = fresh_folder(df.sparkSession, f"quality-{name}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame, name: str, limits: Limits) -> DataFrame:
+    """A written list, marked to go to all tasks if its size is checked to be small."""
+    table = written(df, name)
+    return F.broadcast(table) if table.count() <= limits.broadcast else table
+
+
 def above(counted: DataFrame, hosts: DataFrame, limits: Limits) -> DataFrame:
     """The lines whose `n` documents are more than the limits of their host: `host, h`."""
     return counted.where(F.col("n") > limits.documents).join(hosts, "host").where(
@@ -143,48 +164,34 @@ def above(counted: DataFrame, hosts: DataFrame, limits: Limits) -> DataFrame:
     ).select("host", "h")
 
 
-def touched_documents(measures: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The documents with a candidate line: `row, host, digest` and all their lines, in order, with
-    `frequent` and `context`, a key of the lines before and after."""
-    lines = measures.select("row", "host", "digest", F.explode("lines").alias("line")).select(
-        "*", F.col("line.h").alias("h")
-    )
-    found = lines.join(
-        candidates.withColumn("frequent", F.lit(True)), ["host", "h"], "left"
-    ).groupBy("row", "host", "digest").agg(
-        F.count("frequent").alias("n"),
-        F.array_sort(F.collect_list(F.struct("line.place", "line", "frequent"))).alias("lines"),
-    ).where(F.col("n") > 0)
-    around = F.transform("lines", lambda x, k: F.struct(
-        x["line"]["h"].alias("h"), x["line"]["place"].alias("place"), x["line"]["words"].alias("words"),
-        x["line"]["first"].alias("first"), x["line"]["second"].alias("second"),
-        F.coalesce(x["frequent"], F.lit(False)).alias("frequent"),
-        F.xxhash64(
-            F.lit("between"), F.get("lines", k - 1)["line"]["h"], F.get("lines", k + 1)["line"]["h"]
-        ).alias("context"),
-    ))
-    return found.select("row", "host", "digest", around.alias("lines"))
+def lines_of(measures: DataFrame) -> DataFrame:
+    """One row per line: `row, host, digest`, the line's fields, and `context`, a key of the lines
+    before and after it."""
+    fields = ["place", "h", "words", "first", "second"]
+    around = F.transform("h", lambda h, k: F.xxhash64(
+        F.lit("between"), F.get("h", k - 1), F.get("h", k + 1)
+    )).alias("context")
+    return measures.select("row", "host", "digest", *fields, around).select(
+        "row", "host", "digest", F.explode(F.arrays_zip(*fields, "context")).alias("x")
+    ).select("row", "host", "digest", "x.*")
 
 
-def own_lines(touched: DataFrame) -> DataFrame:
+def own_lines(flagged: DataFrame, frequent: DataFrame, limits: Limits) -> DataFrame:
     """`row, own`: the smallest hash among a document's lines that are neither candidates nor edits of
     one. Documents without such a line are absent."""
-    lines = touched.select("row", "host", "digest", F.explode("lines").alias("x")).select(
-        "row", "host", "digest", "x.*"
+    halves = frequent.select("host", F.explode(F.array("first", "second")).alias("key")).where(
+        F.col("key").isNotNull()
     )
-    keys = F.array("first", "second", "context")
-    frequent = lines.where("frequent")
-    halves = frequent.select("host", F.explode(F.array("first", "second")).alias("key")).distinct()
     contexts = frequent.select("host", F.col("context").alias("key"), "digest").distinct().groupBy(
         "host", "key"
     ).agg(F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    known = halves.where(F.col("key").isNotNull()).unionByName(contexts).distinct().withColumn(
-        "known", F.lit(True)
+    known = sized(halves.unionByName(contexts).distinct(), "edits", limits)
+    other = flagged.where(F.col("frequent").isNull()).select(
+        "row", "host", "h", "first", "second", "context"
     )
-    other = lines.where(~F.col("frequent")).select("row", "host", "h", F.explode(keys).alias("key"))
-    return other.join(known, ["host", "key"], "left").groupBy("row", "h").agg(
-        F.count("known").alias("n")
-    ).where(F.col("n") == 0).groupBy("row").agg(F.min("h").alias("own"))
+    for key in ("first", "second", "context"):
+        other = other.join(known.withColumnRenamed("key", key), ["host", key], "left_anti")
+    return other.groupBy("row").agg(F.min("h").alias("own"))
 
 
 def judged(
@@ -201,26 +208,32 @@ def judged(
         F.struct(F.col(doc_id).alias("id"), key.alias("row")).alias("both"),
         F.col(text).alias("text"), F.col(host).alias("host"),
     )
-    measures = staged(measured(keyed, "both", "text", "host", limits).select(
-        F.col("doc_id.row").alias("row"), F.col("doc_id.id").alias("doc_id"), "host", "n_words",
-        "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "digest",
-    ))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    measures = written(measured(keyed, "both", "text", "host", limits).select(
+        F.col("doc_id.row").alias("row"), F.col("doc_id.id").alias("doc_id"), "host", "digest",
+        *counts, "lines.place", "lines.h", "lines.words", "lines.first", "lines.second",
+    ), "measures")
     hosts = measures.groupBy("host").agg(F.count("*").alias("host_documents"))
-    texts = measures.select("host", "digest", F.explode(F.array_distinct(
-        F.transform("lines", lambda x: x["h"])
-    )).alias("h")).distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
-    touched = staged(touched_documents(measures, above(texts, hosts, limits)))
-    hits = touched.join(own_lines(touched), "row", "left").select(
-        "row", "host", F.coalesce("own", F.unhex(F.lit(""))).alias("own"),
-        F.explode(F.filter("lines", lambda x: x["frequent"])).alias("x"),
-    ).select("row", "host", "own", "x.h", "x.place", "x.words")
+    texts = measures.select(
+        "host", "digest", F.explode(F.array_distinct("h")).alias("h")
+    ).distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
+    candidates = sized(above(texts, hosts, limits), "candidates", limits)
+    flagged = lines_of(measures).join(
+        candidates.withColumn("frequent", F.lit(True)), ["host", "h"], "left"
+    )
+    frequent = written(flagged.where("frequent"), "frequent")
+    hits = frequent.join(own_lines(flagged, frequent, limits), "row", "left").select(
+        "row", "host", F.coalesce("own", F.lit(-1)).alias("own"), "h", "place", "words"
+    )
     counted = hits.select("host", "h", "own").distinct().groupBy("host", "h").agg(
         F.count("*").alias("n")
     )
-    removed = hits.join(above(counted, hosts, limits), ["host", "h"]).groupBy("row").agg(
+    removed = frequent.join(
+        sized(above(counted, hosts, limits), "removed", limits), ["host", "h"]
+    ).groupBy("row").agg(
         F.sum("words").alias("n_removed_words"), F.collect_list("place").alias("removed")
     )
-    return measures.drop("lines", "host", "digest").join(removed, "row", "left").withColumn(
+    return measures.select("row", "doc_id", *counts).join(removed, "row", "left").withColumn(
         "n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long"))
     ).withColumns({
         "base_failed": (F.col("n_words") < limits.min_words)
@@ -300,7 +313,7 @@ WITH d AS (
   SELECT row, host, t, i, trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line
   FROM raw
 ), h AS (
-  SELECT row, host, t, i, line, md5(line) AS h, string_split(line, ' ') AS ws,
+  SELECT row, host, t, i, line, left(md5(line), 15) AS h, string_split(line, ' ') AS ws,
     lag(line) OVER w AS line_before, lead(line) OVER w AS line_after
   FROM norm WINDOW w AS (PARTITION BY row ORDER BY i)
 ), keyed AS (
