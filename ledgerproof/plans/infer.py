@@ -2,8 +2,8 @@
 
 The model is the caller's function; it sees pandas batches inside tasks. Its
 answers are written before anything reads them, so that no branch of the plan
-calls the model a second time and a lost executor costs no repeated calls for
-finished work.
+calls the model a second time. With a folder for answers, calls are kept there
+and a run that was interrupted asks only about the rest; see `resume`.
 """
 
 from __future__ import annotations
@@ -13,12 +13,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ledgerproof import registry
 from ledgerproof.config import ALL_FIELDS, DEFAULTS, NUMBER_FIELDS, Settings
 from ledgerproof.operators.classify import normalize_answers
 from ledgerproof.operators.pages import classify_input
 from ledgerproof.operators.record import build_records, model_cost
+from ledgerproof.plans.resume import ask
 from ledgerproof.plans.trust import check_answers
 from ledgerproof.session import materialise
 
@@ -36,8 +38,20 @@ PAGE_ANSWERS = "struct<pages:array<struct<page_no:int,doc_type:string,confidence
 Model = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def call_model(requests: DataFrame, model: Model, name: str, schema: str = RESPONSE) -> DataFrame:
-    """Apply `model` to batches of `requests` and return the written answers."""
+def call_model(
+    requests: DataFrame, model: Model, name: str, schema: str = RESPONSE,
+    answers: str | None = None, settings: Settings = DEFAULTS,
+) -> DataFrame:
+    """Apply `model` to batches of `requests` and return the written answers.
+
+    With `answers`, a folder, the stage can be resumed and failing calls are retried.
+    """
+    if answers is not None:
+        key = StructType.fromDDL(schema).names[0]
+        return ask(
+            materialise(requests, f"{name}-requests"), model, f"{answers}/{name}", schema, key,
+            settings=settings,
+        )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -80,11 +94,14 @@ def review_requests(built: DataFrame) -> DataFrame:
 
 
 def call_reviewer(
-    built: DataFrame, reviewer: Model, tier: str, settings: Settings = DEFAULTS
+    built: DataFrame, reviewer: Model, tier: str, settings: Settings = DEFAULTS,
+    folder: str | None = None,
 ) -> DataFrame:
     """`extraction_id, review, review_cost_usd, review_latency_ms` of a reviewer that sees values and
     source texts only, not the document."""
-    answers = call_model(review_requests(built), reviewer, f"review-{tier}", REVIEW_RESPONSE)
+    answers = call_model(
+        review_requests(built), reviewer, f"review-{tier}", REVIEW_RESPONSE, folder, settings
+    )
     return model_cost(answers.withColumn("tier", F.lit(tier)), settings).select(
         "extraction_id", "review", F.col("cost_usd").alias("review_cost_usd"),
         F.col("latency_ms").alias("review_latency_ms"),
@@ -92,7 +109,8 @@ def call_reviewer(
 
 
 def call_classifier(
-    pages: DataFrame, classifier: Model, settings: Settings = DEFAULTS
+    pages: DataFrame, classifier: Model, settings: Settings = DEFAULTS,
+    folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Page types as the classifier sees them, and what each call cost.
 
@@ -100,7 +118,7 @@ def call_classifier(
     answer that is no JSON, or has no pages, leaves all pages of its document unknown.
     """
     requests = classify_input(pages, settings)
-    answers = call_model(requests, classifier, "classify", CLASSIFY_RESPONSE)
+    answers = call_model(requests, classifier, "classify", CLASSIFY_RESPONSE, folder, settings)
     costs = model_cost(answers.withColumn("tier", F.lit("cheap")), settings).select(
         "document_id", "cost_usd", "latency_ms"
     )
@@ -114,7 +132,7 @@ def call_classifier(
 
 def two_pass(
     requests: DataFrame, pages: DataFrame, cheap: Model, strong: Model,
-    settings: Settings = DEFAULTS, reviewer: Model | None = None,
+    settings: Settings = DEFAULTS, reviewer: Model | None = None, folder: str | None = None,
 ) -> DataFrame:
     """Ask the cheap model about every document, the strong one about doubts.
 
@@ -123,23 +141,24 @@ def two_pass(
     reasons. Returns the answers of both attempts. With a `reviewer`, each
     attempt's answers go through it by its own call, whose cost and latency are
     added as columns; without one, `review` is what the model itself returned.
+    With a `folder` for answers, all calls can be resumed.
     """
     def reviewed(attempt, tier):
         if reviewer is None:
             return attempt
         built = build_records(attempt).where(F.col("build_error").isNull())
         return attempt.drop("review").join(
-            call_reviewer(built, reviewer, tier, settings), "extraction_id", "left"
+            call_reviewer(built, reviewer, tier, settings, folder), "extraction_id", "left"
         )
 
-    first = reviewed(
-        _as_attempt(call_model(requests, cheap, "cheap"), requests, 1, "cheap", settings), "cheap"
-    )
+    def asked(of, model, attempt_no, tier):
+        found = call_model(of, model, tier, RESPONSE, folder, settings)
+        return reviewed(_as_attempt(found, of, attempt_no, tier, settings), tier)
+
+    first = asked(requests, cheap, 1, "cheap")
     doubts = check_answers(first, pages, settings).where("suspect").select(
         "document_id", F.concat(F.lit("- "), F.array_join("reasons", "\n- ")).alias("prior_issues")
     )
     again = requests.join(doubts, "document_id")
-    second = reviewed(
-        _as_attempt(call_model(again, strong, "strong"), requests, 2, "strong", settings), "strong"
-    )
+    second = asked(again, strong, 2, "strong")
     return first.unionByName(second)
