@@ -21,6 +21,10 @@ from ledgerproof.operators.trust import (
 from ledgerproof.session import materialise
 
 
+#: What the duplicate check reads of another document.
+CANDIDATE = ("document_id", "tenant_id", "supplier", "invoice_number")
+
+
 def check_records(
     built: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS, doc_type: str = "invoice"
 ) -> DataFrame:
@@ -80,9 +84,13 @@ def record_issues(checked: DataFrame, stage=materialise) -> DataFrame:
 def trust_flow(
     answers: DataFrame, pages: DataFrame, suppliers: DataFrame,
     settings: Settings = DEFAULTS, stage=materialise, doc_type: str = "invoice",
+    earlier: DataFrame | None = None,
 ) -> DataFrame:
     """One row per document: decided, waiting for a second answer, or failed.
 
+    Duplicates are looked for among these documents and, when given, the `earlier` ones:
+    `document_id, tenant_id, supplier, invoice_number` of each.
+
     A document fails when its first answer is no record, or when it needs a second one and that is
     none. Answers are parsed once and written (`stage`), because the record is read twice. The
     decision depends only on the document's own answers. Its narrow result is written once too: the
@@ -103,7 +111,10 @@ def trust_flow(
         "n_errors", "n_warnings",
     )
     decided = stage(decide(final, settings), "decided")
-    cross = kind.cross_check(decided, decided, suppliers).groupBy("extraction_id").agg(
+    others = decided.select(*CANDIDATE)
+    if earlier is not None:
+        others = others.unionByName(earlier.select(*CANDIDATE))
+    cross = kind.cross_check(decided, others, suppliers).groupBy("extraction_id").agg(
         F.count_if(F.col("rule") == "duplicate_invoice_number").alias("n_duplicate"),
         F.count_if(F.col("rule") == "unknown_supplier").alias("n_unknown"),
     )
