@@ -31,9 +31,14 @@ def intake(
     return admit(gate(uploads, settings), documents)
 
 
-def gate(uploads: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """The gate's verdict and the hash of each upload, without its bytes."""
+def gate(
+    uploads: DataFrame, settings: Settings = DEFAULTS, any_hash: str | None = None
+) -> DataFrame:
+    """The gate's verdict and the hash of each upload, without its bytes. `file_hash` is that of
+    accepted uploads; `any_hash` names a column for the hash of all."""
     hashed = content_hash(upload_gate(uploads, settings))
+    if any_hash is not None:
+        hashed = hashed.withColumn(any_hash, F.col("file_hash"))
     return hashed.withColumn("file_hash", F.when(F.col("accepted"), F.col("file_hash"))).drop("content")
 
 

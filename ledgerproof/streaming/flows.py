@@ -1,15 +1,15 @@
 """The batch operators run per micro-batch over tables in a shared folder.
 
-Each sink writes under the partition of its own stream and batch (`stream_id, batch_id`) and replaces
-only that, so a batch that is run again after a failure leaves the same rows as one run, and a second
-stream over the same table, or one with a new checkpoint, never touches what is there.
+Each sink writes the folder of its own stream and batch (`stream_id, batch_id`) and replaces it as a
+whole, so a batch that is run again after a failure leaves the same rows as one run, also if there are
+none now, and a second stream over the same table, or one with a new checkpoint, never touches what is
+there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -17,8 +17,8 @@ from pyspark.sql.streaming.query import StreamingQuery
 from ledgerproof.config import DEFAULTS, Settings
 from ledgerproof.operators.ingest import approved_outbox
 from ledgerproof.plans.intake import admit, gate
-from ledgerproof.schemas import DOCUMENTS
 from ledgerproof.session import materialise
+from ledgerproof.sources import keyindex
 from ledgerproof.sources.files import write_stage
 
 
@@ -27,43 +27,38 @@ def _stream_id(spark: SparkSession) -> str:
     return spark.sparkContext.getLocalProperty("sql.streaming.queryId")
 
 
-def _others(spark: SparkSession, path: str, schema: str, batch_id: int) -> DataFrame:
-    """The rows of all other batches and streams; a re-run does not see its own."""
-    try:
-        table = spark.read.schema(f"{schema}, stream_id string, batch_id bigint").parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-    own = (F.col("stream_id") == _stream_id(spark)) & (F.col("batch_id") == batch_id)
-    return table.where(~own).drop("stream_id", "batch_id")
-
-
 def _write(df: DataFrame, path: str, batch_id: int) -> None:
-    rows = df.withColumns({
-        "stream_id": F.lit(_stream_id(df.sparkSession)), "batch_id": F.lit(batch_id).cast("bigint"),
-    })
-    write_stage(rows, path, "stream_id", "batch_id")
+    write_stage(df, f"{path}/stream_id={_stream_id(df.sparkSession)}/batch_id={batch_id}")
 
 
 def ingest_stream(
     uploads: DataFrame, documents_path: str, refused_path: str, checkpoint: str,
     settings: Settings = DEFAULTS, available_now: bool = True,
-    page_facts: Callable[[DataFrame], DataFrame] | None = None,
+    page_facts: Callable[[DataFrame], DataFrame] | None = None, keys_path: str | None = None,
+    digits: int = keyindex.DIGITS,
 ) -> StreamingQuery:
     """Gate and deduplicate a stream of uploads into the documents table.
 
-    Whether content was seen before is asked of the table itself, so the answer holds forever
-    without streaming state that grows with it. `page_facts` fills in `open_error, is_encrypted,
+    Whether content was seen before is asked of an index by hash prefix (`keys_path`, by default
+    beside the documents), so the answer holds forever without streaming state, and a batch reads the
+    prefixes of its own uploads and nothing of the documents table. `page_facts` fills in `open_error, is_encrypted,
     page_count` of a batch, which the bytes alone do not tell. The bytes are read once per batch:
     what the gate finds is narrow, and is written before it is used twice.
     """
 
+    keys = keys_path or f"{documents_path.rstrip('/')}-keys"
+
     def each(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         facts = batch if page_facts is None else page_facts(batch)
-        gated = materialise(gate(facts, settings), "gated")
-        known = _others(batch.sparkSession, documents_path, DOCUMENTS, batch_id)
-        fresh, refused = admit(gated, known)
+        gated = materialise(gate(facts, settings, "content_hash"), "gated")
+        asked = gated.select("tenant_id", F.col("content_hash").alias("file_hash"))
+        own = (_stream_id(spark), batch_id)
+        known = keyindex.known_keys(spark, keys, keyindex.prefixes_of(asked, digits), own)
+        fresh, refused = admit(gated.drop("content_hash"), known)
+        fresh = materialise(fresh, "fresh")
+        # Keys first: a batch that dies in between leaves keys of its own, which it does not see.
+        keyindex.add_keys(asked, fresh, keys, *own, digits)
         _write(fresh, documents_path, batch_id)
         _write(refused, refused_path, batch_id)
 
