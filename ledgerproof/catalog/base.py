@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerproof.catalog.core import Tables
+from ledgerproof.catalog.core import Tables, derived
 from ledgerproof.functions.text import fixed2
 from ledgerproof.schemas import LINE_ITEM, WORD
 
@@ -23,6 +23,7 @@ def _cents(x: Column) -> Column:
     return F.rint(x * 100).cast("bigint")
 
 
+@derived
 def lines(t: Tables) -> DataFrame:
     """Totals per order: plain sums of whole cents, combined before the shuffle."""
     price = F.col("l_extendedprice")
@@ -42,6 +43,7 @@ def lines(t: Tables) -> DataFrame:
     )
 
 
+@derived
 def base(t: Tables) -> DataFrame:
     """One row per document with the values printed on it."""
     orders = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
@@ -133,6 +135,7 @@ base AS (
 """
 
 
+@derived
 def suppliers(t: Tables) -> DataFrame:
     """The known suppliers of every tenant: those with a non-negative balance."""
     known = t.supplier.where(F.col("s_acctbal") >= 0).select(F.col("s_name").alias("name"))
@@ -163,6 +166,7 @@ def _page_total() -> Column:
     return F.when(_every(20), F.col("sum_total")).otherwise(F.col("total"))
 
 
+@derived
 def pages(t: Tables) -> DataFrame:
     """Two pages per document, with a box for every word."""
 
@@ -203,6 +207,7 @@ def word_boxes(text: Column) -> Column:
     ).cast(f"array<{WORD}>")
 
 
+@derived
 def answers(t: Tables) -> DataFrame:
     """Two answers per document in the grounded JSON shape, plus a review.
 

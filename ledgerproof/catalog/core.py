@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerproof.session import materialise
+
 
 class Tables:
     """The tables of one folder, read when first used."""
@@ -18,10 +21,39 @@ class Tables:
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
 
+#: Written inputs by folder and name, for a caller that prepares them (see `prepared`); else None.
+PREPARED: dict[tuple[str, str], DataFrame] | None = None
+
+
+def derived(fn):
+    """Marks an input that is derived from the given tables. It is part of every query's plan, unless
+    the caller had it written before."""
+    @wraps(fn)
+    def of(t: Tables) -> DataFrame:
+        key = (t._folder, fn.__name__)
+        if PREPARED is None:
+            return fn(t)
+        if key not in PREPARED:
+            PREPARED[key] = materialise(fn(t), f"input-{fn.__name__}")
+        return PREPARED[key]
+
+    DERIVED.append(of)
+    return of
+
+
+DERIVED: list[Callable[[Tables], DataFrame]] = []
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def prepared(t: Tables) -> None:
+    """Write all derived inputs of a folder, so that queries read them from then on."""
+    global PREPARED
+    PREPARED = PREPARED if PREPARED is not None else {}
+    for make in DERIVED:
+        make(t)
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
