@@ -126,10 +126,10 @@ def no_matches() -> Column:
     return F.array().cast(f"array<{MATCH}>")
 
 
-def ground_records(
+def matches_of(
     records: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:
-    """Add `matches`: the hints of each record that were found on their page.
+    """`extraction_id, matches`: the hints of each record that were found on their page.
 
     `records` has `extraction_id, document_id, hints`; `pages` has
     `document_id, page_no, words` and is already cut to the document's own
@@ -159,11 +159,20 @@ def ground_records(
     )
     # At most one entry per field of an extraction, so the list is bounded.
     match = F.struct("field", "page_no", "bbox", "source_text").cast(MATCH)
-    per_record = boxed.groupBy("extraction_id").agg(
+    return boxed.groupBy("extraction_id").agg(
         F.collect_list(F.when(F.col("bbox").isNotNull(), match)).alias("matches")
     )
-    return records.join(per_record, "extraction_id", "left").withColumn(
-        "matches", F.coalesce("matches", no_matches())
+
+
+def ground_records(
+    records: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """Add `matches` to the records; see `matches_of`."""
+    return with_matches(records, matches_of(records, pages, settings))
+
+
+def with_matches(records: DataFrame, matches: DataFrame) -> DataFrame:
+    return records.join(matches, "extraction_id", "left").withColumn(        "matches", F.coalesce("matches", no_matches())
     )
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerproof import registry
-from ledgerproof.config import DEFAULTS, Settings
-from ledgerproof.operators.ground import ground_records
+from ledgerproof.config import ALL_FIELDS, DEFAULTS, Settings
+from ledgerproof.operators.ground import ground_records, matches_of, with_matches
 from ledgerproof.operators.record import build_records, review_normalize
 from ledgerproof.operators.rules import issue_rows
 from ledgerproof.operators.trust import (
@@ -40,6 +40,22 @@ def check_records(
     return with_signals(with_escalation(with_facts(checked)))
 
 
+def flagged(built: DataFrame, settings: Settings, doc_type: str) -> DataFrame:
+    """What the decision needs of built records but the matches: the issues, what the reviewer said,
+    and which fields are there (`record` holds true for them), in place of the record itself. So the
+    join with the matches carries flags, not records."""
+    checked = registry.get(doc_type).validate(review_normalize(built), settings)
+    there = F.struct(*[
+        F.when(F.col(f"record.{f}").isNotNull(), F.lit(True)).alias(f) for f in ALL_FIELDS
+    ])
+    return checked.select(
+        "extraction_id", "document_id", "tenant_id", "attempt_no", "agreements",
+        F.col("record.supplier").alias("supplier"),
+        F.col("record.invoice_number").alias("invoice_number"),
+        F.concat("pre_issues", "rule_issues").alias("issues"), there.alias("record"),
+    )
+
+
 def check_answers(
     answers: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS
 ) -> DataFrame:
@@ -100,12 +116,10 @@ def trust_flow(
     kind = registry.get(doc_type)
     built = stage(kind.build(answers), "records")
     failures = failures_of(built)
-    checked = severity_counts(check_records(
-        built.where(F.col("build_error").isNull()).drop("build_error"), pages, settings, doc_type
-    )).withColumns({
-        "supplier": F.col("record.supplier"),
-        "invoice_number": F.col("record.invoice_number"),
-    })
+    sound = built.where(F.col("build_error").isNull()).drop("build_error")
+    checked = severity_counts(with_signals(with_escalation(with_facts(with_matches(
+        flagged(sound, settings, doc_type), matches_of(sound, pages, settings)
+    )))))
     final = final_attempts(
         checked, "extraction_id", "tenant_id", "supplier", "invoice_number", "signals",
         "n_errors", "n_warnings",
