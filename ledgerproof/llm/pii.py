@@ -379,9 +379,13 @@ def train(docs: DataFrame, options: Options = DEFAULT) -> Field | None:
     features of at most `sample * sample_tokens` tokens."""
     hashed = docs.select("text", F.xxhash64("text").alias("h")).where(F.col("text").isNotNull())
     chosen = hashed.select("h").distinct().orderBy("h").limit(options.drawn)
-    usable = hashed.join(F.broadcast(chosen), "h").where(
-        F.col("text").rlike("[0-9@]") | F.col("text").rlike(SECRET.pattern)
-    ).groupBy("h").agg(F.min("text").alias("text")).orderBy("h").limit(options.sample)
+    # The patterns are tried behind the aggregate, on the drawn texts only: Spark would push them below
+    # the join and try them on all texts.
+    usable = hashed.join(F.broadcast(chosen), "h").groupBy("h").agg(
+        F.min("text").alias("text")
+    ).where(F.col("text").rlike("[0-9@]") | F.col("text").rlike(SECRET.pattern)).orderBy("h").limit(
+        options.sample
+    )
 
     def graphs(parts):
         for part in parts:
