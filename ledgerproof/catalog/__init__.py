@@ -6,6 +6,7 @@ from importlib import import_module
 
 MODULES = (
     "checks", "intake", "splitting", "words", "records", "reviewing", "joblog", "accuracy",
+    "maintained",
 )
 
 

@@ -174,11 +174,16 @@ def effective_corrections(
     """
     asked = corrections.join(latest.select("document_id", "extraction_id"), "document_id")
     current = field_values.select("extraction_id", "field", F.col("value").alias("first_value"))
+    return changing(asked.join(current, ["extraction_id", "field"]))
+
+
+def changing(asked: DataFrame) -> DataFrame:
+    """Of corrections with the `first_value` of their field those that change something, with
+    `old_value`."""
     order = Window.partitionBy("extraction_id", "field").orderBy("seq")
     # An unchanged value leaves what the one before it left, so looking one back is enough.
     return (
-        asked.join(current, ["extraction_id", "field"])
-        .withColumn("nth", F.row_number().over(order))
+        asked.withColumn("nth", F.row_number().over(order))
         .withColumn("before", F.lag("new_value").over(order))
         .withColumn(
             "old_value",
