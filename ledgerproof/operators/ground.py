@@ -64,7 +64,7 @@ def _search(words: Column, text: Column, target: Column, max_window: int) -> Col
 def _scan(words: Column, target: Column, max_window: int) -> Column:
     """The same on any page: try every start with every window size.
 
-    Only pages with odd words come here.
+    Only what `_search_odd` leaves open comes here.
     """
     n = F.size(words)
     texts = words["text"]
@@ -83,14 +83,63 @@ def _scan(words: Column, target: Column, max_window: int) -> Column:
     return F.get(F.filter(windows, lambda x: x["size"].isNotNull()), F.lit(0))
 
 
+# Beyond so many tokens a pattern would need too deep a stack; the scan answers instead.
+PATTERN_TOKENS = 200
+
+
+def marked_text(words: Column) -> Column:
+    """The normalised words with a line end before and after each. Normalised words hold no line end
+    themselves, so it marks where words begin and end, also blank ones."""
+    each = F.transform(words["text"], lambda w: F.coalesce(normalize(w), F.lit("")))
+    return F.concat(F.lit("\n"), F.array_join(each, "\n"), F.lit("\n"))
+
+
+def _line_ends(s: Column) -> Column:
+    return F.char_length(s) - F.char_length(F.replace(s, F.lit("\n"), F.lit("")))
+
+
+def _search_odd(words: Column, marked: Column, target: Column, max_window: int) -> Column:
+    """The same on pages with odd words, by one search in the marked text.
+
+    A blank of the target may be one inside a word or a word's end, with blank words behind it; the
+    hit begins and ends with a word. Blank words before it make its window start earlier. Where the
+    first hit is too wide, a later one may fit, and the scan looks for it.
+    """
+    quoted = F.replace(target, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    body = F.replace(quoted, F.lit(" "), F.lit("\\E[ \n]\n*\\Q"))
+    pattern = F.concat(F.lit("(?s)\\A(.*?)\n(\\Q"), body, F.lit("\\E)(?=\n)"))
+
+    def part(k):
+        return F.call_function("regexp_extract", marked, pattern, F.lit(k))
+
+    def window(m):
+        size = _line_ends(m["run"]) + 1
+        blank = F.char_length(m["before"]) - F.char_length(F.rtrim(m["before"], F.lit("\n")))
+        more = F.least(blank, F.lit(max_window) - size)
+        return F.when(m["run"] == "", F.lit(None)).when(
+            size > max_window, _scan(words, target, max_window)
+        ).otherwise(
+            F.struct((_line_ends(m["before"]) + 1 - more).alias("start"), (size + more).alias("size"))
+        )
+
+    short = _blanks(target) < PATTERN_TOKENS
+    somewhere = F.regexp_replace(marked, "\n+", " ").contains(target)
+    return F.when(short, let(F.struct(part(1).alias("before"), part(2).alias("run")), window)).when(
+        somewhere, _scan(words, target, max_window)
+    )
+
+
 def find_window(
-    words: Column, text: Column, plain: Column, target: Column, max_window: int
+    words: Column, text: Column, plain: Column, target: Column, max_window: int,
+    marked: Column | None = None,
 ) -> Column:
-    """Start (from 1) and size of the first, then smallest, matching window."""
+    """Start (from 1) and size of the first, then smallest, matching window; `marked` is the marked
+    text of pages that are not plain, without it they are scanned."""
     usable = (target != "") & (F.size(words) > 0)
-    return F.when(usable & plain, _search(words, text, target, max_window)).when(
-        usable, _scan(words, target, max_window)
+    odd = _scan(words, target, max_window) if marked is None else _search_odd(
+        words, marked, target, max_window
     )
+    return F.when(usable & plain, _search(words, text, target, max_window)).when(usable, odd)
 
 
 def _box_at(words: Column, window: Column) -> Column:
@@ -107,18 +156,27 @@ def find_bbox(
     `method="scan"` forces the general search everywhere (used by tests).
     """
     target = F.coalesce(normalize(phrase), F.lit(""))
+    scan = method == "scan"
 
-    def search(text):
-        plain = is_plain(words, text) if method == "auto" else F.lit(False)
+    def search(page):
+        plain = F.lit(False) if scan else page["plain"]
         return let(
             target,
             lambda t: let(
-                find_window(words, text, plain, t, settings.max_window),
+                find_window(
+                    words, page["text"], plain, t, settings.max_window,
+                    None if scan else page["marked"],
+                ),
                 lambda w: _box_at(words, w),
             ),
         )
 
-    return let(page_text(words), search)
+    def page_of(text):
+        plain = is_plain(words, text)
+        marked = F.when(F.lit(not scan) & ~plain, marked_text(words))
+        return F.struct(text.alias("text"), plain.alias("plain"), marked.alias("marked"))
+
+    return let(page_text(words), lambda text: let(page_of(text), search))
 
 
 def no_matches() -> Column:
@@ -145,9 +203,12 @@ def matches_of(
     )
     searchable = pages.select(
         "document_id", "page_no", "words", page_text(F.col("words")).alias("page_text")
-    ).withColumn("plain", is_plain(F.col("words"), F.col("page_text")))
+    ).withColumn("plain", is_plain(F.col("words"), F.col("page_text"))).withColumn(
+        "marked", F.when(~F.col("plain"), marked_text(F.col("words")))
+    )
     window = find_window(
-        F.col("words"), F.col("page_text"), F.col("plain"), F.col("target"), settings.max_window
+        F.col("words"), F.col("page_text"), F.col("plain"), F.col("target"), settings.max_window,
+        F.col("marked"),
     )
     boxed = (
         asked.join(searchable, ["document_id", "page_no"])
@@ -172,7 +233,8 @@ def ground_records(
 
 
 def with_matches(records: DataFrame, matches: DataFrame) -> DataFrame:
-    return records.join(matches, "extraction_id", "left").withColumn(        "matches", F.coalesce("matches", no_matches())
+    return records.join(matches, "extraction_id", "left").withColumn(
+        "matches", F.coalesce("matches", no_matches())
     )
 
 
