@@ -109,8 +109,9 @@ def _search_odd(words: Column, marked: Column, target: Column, max_window: int)
     body = F.replace(quoted, F.lit(" "), F.lit("\\E[ \n]\n*\\Q"))
     pattern = F.concat(F.lit("(?s)\\A(.*?)\n(\\Q"), body, F.lit("\\E)(?=\n)"))
 
-    def part(k):
-        return F.call_function("regexp_extract", marked, pattern, F.lit(k))
+    def parts(text):
+        before, run = [F.call_function("regexp_extract", text, pattern, F.lit(k)) for k in (1, 2)]
+        return F.struct(before.alias("before"), run.alias("run"))
 
     def window(m):
         size = _line_ends(m["run"]) + 1
@@ -124,7 +125,7 @@ def _search_odd(words: Column, marked: Column, target: Column, max_window: int)
 
     short = _blanks(target) < PATTERN_TOKENS
     somewhere = F.regexp_replace(marked, "\n+", " ").contains(target)
-    return F.when(short, let(F.struct(part(1).alias("before"), part(2).alias("run")), window)).when(
+    return F.when(short, let(let(marked, parts), window)).when(
         somewhere, _scan(words, target, max_window)
     )
 
@@ -158,25 +159,18 @@ def find_bbox(
     target = F.coalesce(normalize(phrase), F.lit(""))
     scan = method == "scan"
 
-    def search(page):
-        plain = F.lit(False) if scan else page["plain"]
+    def search(text):
+        plain = F.lit(False) if scan else is_plain(words, text)
+        marked = None if scan else marked_text(words)
         return let(
             target,
             lambda t: let(
-                find_window(
-                    words, page["text"], plain, t, settings.max_window,
-                    None if scan else page["marked"],
-                ),
+                find_window(words, text, plain, t, settings.max_window, marked),
                 lambda w: _box_at(words, w),
             ),
         )
 
-    def page_of(text):
-        plain = is_plain(words, text)
-        marked = F.when(F.lit(not scan) & ~plain, marked_text(words))
-        return F.struct(text.alias("text"), plain.alias("plain"), marked.alias("marked"))
-
-    return let(page_text(words), lambda text: let(page_of(text), search))
+    return let(page_text(words), search)
 
 
 def no_matches() -> Column:
