@@ -249,10 +249,15 @@ def issue_profile(t):
 
 # --- trust decision --------------------------------------------------------
 
-def checked(t):
-    """Both attempts judged; the parsed answers are written once, as they are read twice."""
-    built = materialise(build_records(b.answers(t)).where(F.col("build_error").isNull()), "records")
-    return plan.check_records(built.drop("build_error"), b.pages(t))
+def sound(t):
+    """The records of both attempts; the parsed answers are written once, as they are read twice."""
+    built = build_records(b.answers(t)).where(F.col("build_error").isNull())
+    return materialise(built, "records").drop("build_error")
+
+
+def checked(t, built=None):
+    """Both attempts judged, from the `sound` records."""
+    return plan.check_records(sound(t) if built is None else built, b.pages(t))
 
 
 def final(t, rows=None):
@@ -261,6 +266,12 @@ def final(t, rows=None):
                                 "n_warnings")
 
 
+def decided(t, rows=None):
+    """The decision with its scores, written first: the filter on the list of scores that `inline`
+    brings would otherwise be pushed below the steps that make it."""
+    return materialise(trust.decide(final(t, rows)).select("extraction_id", "scores"), "decided")
+
+
 REASONS_SQL = """
 concat_ws(chr(10), CASE WHEN e_supplier = 1 THEN 'Required field ''supplier'' is missing' END,
   CASE WHEN e_number = 1 THEN 'Required field ''invoice_number'' is missing' END,
@@ -306,7 +317,7 @@ SIGNAL_SQL = {
     f"SELECT extraction_id, '{f}' AS field, ({c} + CASE WHEN escalated THEN 0 ELSE 1 END) / 4e0 "
     "AS confidence FROM final" for f, c in SIGNAL_SQL.items()))
 def field_confidence(t):
-    return trust.decide(final(t)).select("extraction_id", F.inline("scores"))
+    return decided(t).select("extraction_id", F.inline("scores"))
 
 
 @query("document_confidence", WITH_ANS + "SELECT document_id, confidence FROM final")
@@ -413,9 +424,11 @@ WHERE supplier <> '' AND NOT EXISTS (SELECT 1 FROM known WHERE known.tenant_id =
   AND lower(known.name) = lower(trim(judged.supplier)))""")
 def extraction_issues(t):
     """The issue table over both attempts: what was dropped, the rules, unknown suppliers."""
-    rows = checked(t)
+    built = sound(t)
+    rows = checked(t, built)
     columns = ("extraction_id", "document_id", "rule", "severity", "field")
-    unknown = cross.unknown_suppliers(plan.targets_of(rows), b.suppliers(t)).select(
+    # The targets are read from the records: those of `rows` would be checked once more.
+    unknown = cross.unknown_suppliers(plan.targets_of(built), b.suppliers(t)).select(
         "extraction_id", "document_id", F.lit("unknown_supplier").alias("rule"),
         F.lit("warning").alias("severity"), F.lit("supplier").alias("field"),
     )
@@ -429,12 +442,14 @@ def extraction_issues(t):
     for f, c in SIGNAL_SQL.items())
     + " UNION ALL SELECT extraction_id, 'line_items', CAST(NULL AS DOUBLE) FROM judged")
 def confidence_write_back(t):
-    rows = checked(t)
+    built = sound(t)
+    rows = checked(t, built)
     fields = F.array(*[F.lit(f) for f in (*ALL_FIELDS, "line_items")])
-    values = rows.select("extraction_id", F.explode(fields).alias("field")).withColumn(
+    # One value per record and field, read from the records: `rows` would be checked once more.
+    values = built.select("extraction_id", F.explode(fields).alias("field")).withColumn(
         "confidence", F.lit(None).cast("double")
     )
-    return trust.write_back(values, trust.decide(final(t, rows))).select(
+    return trust.write_back(values, decided(t, rows)).select(
         "extraction_id", "field", "confidence"
     )
 
@@ -445,6 +460,7 @@ def confidence_write_back(t):
     for f, g in zip(ALL_FIELDS, ("g_supplier", "g_number", "g_date", "g_due", "g_currency",
                                  "g_subtotal", "g_tax", "g_total"))))
 def grounding_coverage(t):
-    return ground.grounding_coverage(
-        ground.ground_records(build_records(b.answers(t)), b.pages(t))
+    built = materialise(
+        build_records(b.answers(t)).select("extraction_id", "document_id", "record", "hints"), "records"
     )
+    return ground.grounding_coverage(ground.ground_records(built, b.pages(t)))
