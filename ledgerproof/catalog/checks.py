@@ -249,22 +249,26 @@ def issue_profile(t):
 
 # --- trust decision --------------------------------------------------------
 
+def built_once(t):
+    """The records of both attempts and failures, for a plan that reads them once."""
+    return build_records(b.answers(t)).select(
+        "extraction_id", "document_id", "tenant_id", "attempt_no", "review", "record", "hints",
+        "pre_issues", "build_error",
+    )
+
+
 def sound(t):
-    """The records of both attempts; the parsed answers are written once, as they are read twice.
+    """The records of both attempts, written once for plans that read them twice.
 
     Failures are left out on reading: before the write, the filter would be pushed below the parsing,
     where each answer would be made and parsed again for it.
     """
-    built = build_records(b.answers(t)).select(
-        "extraction_id", "document_id", "tenant_id", "attempt_no", "review", "record", "hints",
-        "pre_issues", "build_error",
-    )
-    return materialise(built, "records").where(F.col("build_error").isNull()).drop("build_error")
+    return materialise(built_once(t), "records").where(F.col("build_error").isNull()).drop("build_error")
 
 
 def checked(t, built=None):
-    """Both attempts judged, from the `sound` records; flags stand in for the record."""
-    return plan.judge_flags(sound(t) if built is None else built, b.pages(t))
+    """Both attempts judged, also from `sound` records; flags stand in for the record."""
+    return plan.judge_flags(built_once(t) if built is None else built, b.pages(t))
 
 
 def final(t, rows=None):

@@ -28,10 +28,47 @@ PLAIN_ITEMS = (
 )
 
 
-def parse_answers(extractions: DataFrame) -> DataFrame:
+def _plain_answer() -> str:
+    """JSON text of a record from `supplier` on, with its keys in field order, each at most once, and
+    values of the type they are wanted in, or null; strings hold no escapes, and numbers are short
+    enough to be exact.
+
+    Such text says the same to any reader of JSON. Repeated parts are possessive, so that long texts
+    need no deep stack.
+    """
+    blank = r"[ \t\r\n]*+"
+    text = r'(?:"[^"\\\x00-\x1f]*+"|null)'
+    number = r"(?:(?:-?[1-9][0-9]{0,14}|0)(?:\.[0-9]{1,15})?(?:[eE][+-]?[0-9]{1,2})?|null)"
+    page = r"(?:[1-9][0-9]{0,8}|0|null)"
+
+    def entry(name, value):
+        return rf'"{name}"{blank}:{blank}{value}{blank}'
+
+    def rest(*entries):
+        return "".join(rf"(?:,{blank}{x})?+" for x in entries)
+
+    def cell(f):
+        value = entry("value", number if f in NUMBER_FIELDS else text)
+        return rf"\{{{blank}{value}{rest(entry('page_no', page), entry('source_text', text))}\}}"
+
+    first, *others = [entry(n, text if n == "description" else number) for n in ITEM_FIELDS]
+    item = rf"\{{{blank}{first}{rest(*others)}\}}{blank}"
+    items = rf"\[{blank}(?:{item}(?:,{blank}{item})*+)?+\]"
+    first, *others = [entry(f, cell(f)) for f in ALL_FIELDS]
+    return rf"\A{blank}\{{{blank}{first}{rest(*others, entry('line_items', items))}\}}{blank}\z"
+
+
+PLAIN_ANSWER = _plain_answer()
+PLAIN_PARTS = ",".join(
+    f"{f} struct<value:{'double' if f in NUMBER_FIELDS else 'string'},page_no:int,source_text:string>"
+    for f in ALL_FIELDS
+) + f",line_items array<{LINE_ITEM}>"
+
+
+def parse_answers(extractions: DataFrame, raw: str = "raw") -> DataFrame:
     """Add `answer`, the VARIANT of the JSON object in `raw`; NULL for anything else."""
-    is_object = F.col("raw").rlike(r"^\s*\{")
-    return extractions.withColumn("answer", F.when(is_object, F.try_parse_json("raw")))
+    is_object = F.col(raw).rlike(r"^\s*\{")
+    return extractions.withColumn("answer", F.when(is_object, F.try_parse_json(raw)))
 
 
 def _page_number(v: Column) -> Column:
@@ -203,8 +240,47 @@ def coerce_record(unwrapped: DataFrame) -> DataFrame:
 
 
 def build_records(extractions: DataFrame) -> DataFrame:
-    """JSON answers to `record`, `hints`, `pre_issues` and `build_error`."""
-    return coerce_record(unwrap_grounded(parse_answers(extractions))).drop("answer")
+    """JSON answers to `record`, `hints`, `pre_issues` and `build_error`.
+
+    A plain answer (see `_plain_answer`) is read at once; the others go part by part through
+    `unwrap_grounded` and `coerce_record`, which find no answer in the rows read before.
+    """
+    rows = _read_plain(extractions)
+    rows = rows.withColumn("raw_left", F.when(F.col("plain_items").isNull(), F.col("raw")))
+    rows = coerce_record(unwrap_grounded(parse_answers(rows, "raw_left")))
+    plain = F.col("plain_items").isNotNull()
+
+    def of(f):
+        return F.col(f"plain_{f}") if f in DATE_FIELDS else F.col(f"plain.{f}.value")
+
+    record = F.struct(*[of(f).alias(f) for f in ALL_FIELDS], F.col("plain_items").alias("line_items"))
+    hints = F.array(*[
+        F.struct(
+            F.lit(f).alias("field"), F.col(f"plain.{f}.page_no").alias("page_no"),
+            F.col(f"plain.{f}.source_text").alias("source_text"),
+        ).cast(HINT)
+        for f in ALL_FIELDS
+    ])
+    return rows.withColumns({
+        "record": F.when(plain, record).otherwise(F.col("record")),
+        "hints": F.when(plain, hints).otherwise(F.col("hints")),
+        "build_error": F.when(~plain, F.col("build_error")),
+    }).drop("answer", "raw_left", "plain", "plain_items", *[f"plain_{f}" for f in DATE_FIELDS])
+
+
+def _read_plain(extractions: DataFrame) -> DataFrame:
+    """Add `plain`, the typed parts of a plain answer, its dates, and `plain_items`, which is null
+    unless all of it could be read."""
+    is_plain = F.col("raw").rlike(PLAIN_ANSWER) & F.is_valid_utf8("raw")
+    rows = extractions.withColumn("plain", F.from_json(F.when(is_plain, F.col("raw")), PLAIN_PARTS))
+    rows = rows.withColumns({
+        f"plain_{f}": c.date_from_text(F.col(f"plain.{f}.value")) for f in DATE_FIELDS
+    })
+    read = F.col("plain").isNotNull()
+    for f in DATE_FIELDS:
+        read = read & (F.col(f"plain_{f}").isNotNull() | F.col(f"plain.{f}.value").isNull())
+    none = F.array().cast(f"array<{LINE_ITEM}>")
+    return rows.withColumn("plain_items", F.when(read, F.coalesce("plain.line_items", none)))
 
 
 def field_values_long(records: DataFrame) -> DataFrame:
