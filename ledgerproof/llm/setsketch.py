@@ -35,7 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerproof.llm.common import dropping_shuffles, fresh_folder, staged, table, with_python
+from ledgerproof.llm.common import (
+    dropping_shuffles,
+    fresh_folder,
+    staged,
+    staged_round,
+    table,
+    with_python,
+)
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -194,7 +201,7 @@ def components(links: DataFrame) -> DataFrame:
     there = links.where("a <> b").select("a", "b")
     back = there.select(F.col("b").alias("a"), F.col("a").alias("b"))
     edges = staged(there.unionByName(back).distinct().repartition("b"))
-    labels = staged(edges.groupBy(F.col("b").alias("node")).agg(
+    labels = staged_round(edges.groupBy(F.col("b").alias("node")).agg(
         F.least("b", F.min("a")).alias("component")
     ))
     before = None
@@ -204,7 +211,9 @@ def components(links: DataFrame) -> DataFrame:
         )
         best = labels.unionByName(near).groupBy("node").agg(F.min("component").alias("component"))
         up = best.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        labels = staged(best.join(up, "component").select("node", F.col("next").alias("component")))
+        labels = staged_round(
+            best.join(up, "component").select("node", F.col("next").alias("component"))
+        )
         now = labels.agg(F.count("*"), F.sum(F.col("component").cast("decimal(38,0)"))).first()
         if now == before:
             return labels
@@ -304,7 +313,7 @@ def apart(buckets: DataFrame, labels: DataFrame) -> DataFrame:
         F.max_by("comp", F.struct("part", -F.col("comp"))).alias("cluster"),
         F.count("*").alias("parts"),
     ).where("parts > 1").drop("parts")
-    return staged(rows.join(clusters, "key"))
+    return staged_round(rows.join(clusters, "key"))
 
 
 def links_between(members: DataFrame, buckets: DataFrame, options: Options) -> DataFrame:

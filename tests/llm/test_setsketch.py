@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerproof.llm import setsketch as S
 
@@ -110,3 +111,22 @@ def test_ids_that_are_null_or_repeated(documents):
     got = S.near_duplicates(documents(*rows)).collect()
     assert len(got) == len(rows) and {r.component_id for r in got} == {None, 5}
     assert sum(r.component_id == 5 for r in got) == 2 * 2 + 3
+
+
+def test_the_estimated_size_does_not_grow_with_the_rounds(spark):
+    def digits(df):
+        return len(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().__str__())
+
+    links = spark.range(9).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    labels = S.components(links)
+    for _ in range(2):
+        stars = labels.where("node <> component").select(
+            F.col("node").alias("a"), F.col("component").alias("b")
+        )
+        labels = S.components(links.unionByName(stars))
+    buckets = labels.select(F.lit(1).cast("bigint").alias("key"), "node", F.lit(1).alias("n"))
+    active = S.apart(buckets, labels.where("node < 5"))
+    again = S.apart(active.select("key", "node", "n"), labels.where("node < 5"))
+    assert {r.component for r in labels.collect()} == {0} and labels.count() == 10
+    assert {r.node for r in again.collect()} == set(range(10))
+    assert max(map(digits, (labels, active, again))) < 25
