@@ -172,14 +172,16 @@ def write_back(field_values: DataFrame, decided: DataFrame) -> DataFrame:
 
     `decided` has `extraction_id` (of the final attempt) and `scores`.
     """
-    scores = decided.select("extraction_id", F.inline("scores")).withColumnRenamed(
-        "confidence", "new_confidence"
-    )
-    return (
-        field_values.join(scores, ["extraction_id", "field"], "left")
-        .withColumn("confidence", F.coalesce("new_confidence", "confidence"))
-        .drop("new_confidence")
+    # The lists of scores are joined, not a row per score: of those there are many more than the size
+    # of what is read tells, and a join that trusts it would gather them all on the driver.
+    lists = decided.select("extraction_id", "scores").groupBy("extraction_id").agg(
+        F.flatten(F.collect_list("scores")).alias("scores")
     )
+    hits = F.filter("scores", lambda x: x["field"] == F.col("field"))
+    rows = field_values.join(lists.hint("merge"), "extraction_id", "left")
+    return rows.withColumn("score", F.explode_outer(hits)).withColumn(
+        "confidence", F.coalesce("score.confidence", "confidence")
+    ).drop("scores", "score")
 
 
 def severity_counts(evaluated: DataFrame) -> DataFrame:
