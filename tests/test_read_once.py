@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from ledgerproof.catalog import checks, records
+from ledgerproof.catalog import accuracy, checks, records
 from ledgerproof.catalog.core import Tables
 
 DAY = datetime.datetime(2026, 1, 2)
@@ -50,3 +50,19 @@ def test_scores_are_written_before_they_become_rows(tables, query):
     df = query(tables)
     assert "try_variant_get" not in _plan(df) and "array_distinct" not in _plan(df)
     assert {"total", "supplier"} <= {r.field for r in df.select("field").distinct().collect()}
+
+
+def test_scored_records_are_shuffled_once(tables, monkeypatch):
+    spark, seen = tables.spark, []
+    keep = lambda df, name: seen.append(df) or df
+    monkeypatch.setattr(accuracy, "materialise", keep, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        runs = accuracy.attempts(tables)
+        plan = (seen or [runs])[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    by_document = [x for x in plan.split("\n") if "Exchange hashpartitioning(document_id" in x]
+    assert len(by_document) == 1  # the pages; records and labels are dealt by sample
+    assert runs.count() == 30
