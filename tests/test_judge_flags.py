@@ -1,12 +1,13 @@
 """The flags that stand in for records and matches, and items read at once."""
 
+import datetime
 import json
 
 from pyspark.sql import functions as F
 
-from ledgerproof.config import ALL_FIELDS
+from ledgerproof.config import ALL_FIELDS, DATE_FIELDS, NUMBER_FIELDS
 from ledgerproof.functions.issues import given
-from ledgerproof.operators import ground, record
+from ledgerproof.operators import evaluate, ground, record
 from ledgerproof.plans import trust as plan
 from ledgerproof.schemas import HINT, WORD
 
@@ -86,3 +87,20 @@ def test_given_drops_nulls_and_keeps_the_order(spark):
     )
     got = rows.select(given(F.col("x"), F.col("y"), F.col("z")).alias("g")).collect()
     assert [[s.a for s in r.g] for r in got] == [[1, 3], []]
+
+
+def test_dates_are_matched_without_being_written_as_text(spark):
+    fields = ", ".join(f"{f} {'double' if f in NUMBER_FIELDS else 'date' if f in DATE_FIELDS else 'string'}"
+                       for f in ALL_FIELDS)
+    day, other = datetime.date(2024, 1, 2), datetime.date(2024, 1, 3)
+    kinds = {f: (1.0, 2.0) if f in NUMBER_FIELDS else (day, other) if f in DATE_FIELDS else ("Ab", "b")
+             for f in ALL_FIELDS}
+    sides = [[kinds[f][0] for f in ALL_FIELDS], [kinds[f][1] for f in ALL_FIELDS], [None] * len(ALL_FIELDS)]
+    labels = spark.createDataFrame([(f"s{i}", *x) for i, x in enumerate(sides)], f"sample string, {fields}")
+    records = spark.createDataFrame(
+        [(f"s{i}", tuple(x)) for i in range(3) for x in sides],
+        f"sample string, record struct<{fields.replace(' ', ':').replace(',:', ',')}>")
+    rows = evaluate.score_records(labels, records)
+    assert sorted(tuple(r.ok) for r in rows.collect()) == [(0,) * 8] * 6 + [(1,) * 8] * 3
+    plan = rows.select("ok")._jdf.queryExecution().optimizedPlan().toString()
+    assert "as string)" not in plan

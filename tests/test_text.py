@@ -26,3 +26,10 @@ def test_fixed2_matches_python(spark):
     assert [r.t for r in rows] == [f"{r.v:.2f}" for r in rows]
     odd = spark.createDataFrame([(math.nan,), (math.inf,), (-math.inf,)], "v double")
     assert [r[0] for r in odd.select(text.fixed2(F.col("v"))).collect()] == ["nan", "inf", "-inf"]
+
+
+def test_fold_strips_and_lowers_any_text(spark):
+    texts = ["", " ", "a", "A b", " A", "B ", "a\tb", "\ta", "É ", "　É", "x ", "a  B", "\x00a", "a\n", None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.f for r in rows.select("i", text.fold(F.col("t")).alias("f")).collect()}
+    assert got == {i: None if t is None else t.strip().lower() for i, t in enumerate(texts)}
